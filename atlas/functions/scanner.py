@@ -12,16 +12,11 @@ import sys
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 # Ship the scanner inside the task, so that workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SCAN_TYPE = (
-    "struct<templates: array<struct<name: string, "
-    "params: array<struct<name: string, value: string, positional: boolean>>>>, "
-    "links: array<string>, plain: string>"
-)
-
 _PARAM = pa.struct([("name", pa.string()), ("value", pa.string()), ("positional", pa.bool_())])
 _TEMPLATE = pa.struct([("name", pa.string()), ("params", pa.list_(_PARAM))])
 _SCAN = pa.struct([
@@ -136,7 +131,7 @@ def scan_text(text: str) -> dict:
     }
 
 
-@F.arrow_udf(SCAN_TYPE)
+@F.arrow_udf(from_arrow_type(_SCAN))
 def _scan(texts: pa.Array) -> pa.Array:
     return pa.array([scan_text(t.as_py() or "") for t in texts], type=_SCAN)
 

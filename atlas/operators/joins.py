@@ -54,11 +54,11 @@ def pending(needed: DataFrame, done: DataFrame, key: str, force: bool = False) -
 
 
 def translate(df: DataFrame, dim: DataFrame, column: str, key: str, value: str, default=None) -> DataFrame:
-    """Replace ``column`` by its ``value`` in a constant-size dimension.
+    """Replace ``column`` by its ``value`` in a dimension.
 
     Without a default, rows that have no match are dropped.
     """
-    pairs = F.broadcast(dim.select(F.col(key).alias("_key"), F.col(value).alias("_value")))
+    pairs = dim.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
     how = "inner" if default is None else "left"
     new = F.col("_value") if default is None else F.coalesce("_value", F.lit(default))
     return df.join(pairs, df[column] == F.col("_key"), how).withColumn(column, new).drop("_key", "_value")

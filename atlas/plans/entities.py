@@ -15,9 +15,7 @@ from atlas.sources.dumps import read_entities
 
 def entity_names(entities: DataFrame) -> DataFrame:
     """``id, name``: English article title, else English label; unnamed entities are left out."""
-    name = F.coalesce(
-        F.nullif(F.col("sitelinks")["enwiki"]["title"], F.lit("")),
-        F.col("labels")["en"]["value"])
+    name = F.coalesce(F.nullif("wikipedia_id", F.lit("")), "title")
     return (
         entities.select("id", name.alias("name")).where("name IS NOT NULL")
         .groupBy("id").agg(F.max("name").alias("name"))
@@ -26,20 +24,15 @@ def entity_names(entities: DataFrame) -> DataFrame:
 
 def linked_entities(entities: DataFrame) -> DataFrame:
     """Entities with an English article and label, one per article (lowest id)."""
-    flat = entities.select(
-        F.col("sitelinks")["enwiki"]["title"].alias("wikipedia_id"),
-        F.col("labels")["en"]["value"].alias("title"),
-        F.col("id").alias("wikidata_id"),
-        F.col("descriptions")["en"]["value"].alias("description"),
-    ).where(pr.linked_entity(F.col("wikipedia_id"), F.col("title")))
+    flat = entities.where(pr.linked_entity(F.col("wikipedia_id"), F.col("title"))).select(
+        "wikipedia_id", "title", F.col("id").alias("wikidata_id"), "description")
     return keep_first(flat, ["wikipedia_id"], [F.length("wikidata_id"), "wikidata_id"])
 
 
 def entity_claims(entities: DataFrame) -> DataFrame:
     """One row per claim that has a value and counts (preferred or normal rank)."""
-    properties = entities.where(pr.linked_entity(
-        F.col("sitelinks")["enwiki"]["title"], F.col("labels")["en"]["value"]
-    )).select(F.col("id").alias("qid"), F.posexplode("claims").alias("prop_pos", "prop_id", "_claims"))
+    properties = entities.where(pr.linked_entity(F.col("wikipedia_id"), F.col("title"))).select(
+        F.col("id").alias("qid"), F.posexplode("claims").alias("prop_pos", "prop_id", "_claims"))
     claims = properties.select("qid", "prop_pos", "prop_id", F.posexplode("_claims").alias("pos", "_c"))
     data = F.col("_c.mainsnak.datavalue")
     rank = F.when(F.col("_c.rank") == "preferred", 1).when(F.col("_c.rank") == "normal", 2)
@@ -94,14 +87,14 @@ def name_properties(collapsed: DataFrame, names: DataFrame) -> DataFrame:
     return keep_last(named, ["qid", "prop_name"], ["prop_pos"]).drop("prop_id", "prop_pos")
 
 
-def entity_properties(entities: DataFrame, spread_claims=stage) -> DataFrame:
-    """The long property table of an entity dump.
+def entity_properties(entities: DataFrame, keep=stage) -> DataFrame:
+    """The long property table of staged entities.
 
     Names and claims are written once, slim, instead of reading the dump twice or
     holding every name in memory.
     """
-    names = spread_claims(entity_names(entities), "names")
-    claims = spread_claims(entity_claims(entities), "claims")
+    names = keep(entity_names(entities), "names")
+    claims = keep(entity_claims(entities), "claims")
     linked = linked_entities(entities).select(F.col("wikidata_id").alias("qid"), "wikipedia_id")
     found = name_properties(best_rank(resolve_ids(claims, names)), names)
     return found.join(linked, "qid").select(
@@ -141,8 +134,8 @@ def entity_table(linked: DataFrame, long: DataFrame) -> DataFrame:
 
 
 def import_entities(spark: SparkSession, dump: str, path: str) -> DataFrame:
-    """An entity dump into the entity table."""
-    entities = read_entities(spark, dump)
+    """An entity dump into the entity table; the dump is read and parsed once."""
+    entities = stage(read_entities(spark, dump), "entities")
     return write_entities(entity_table(linked_entities(entities), entity_properties(entities)), path)
 
 

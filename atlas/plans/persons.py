@@ -46,7 +46,7 @@ def person_facts(triples: DataFrame, born: Column | None = None) -> DataFrame:
     sampled = [F.min(F.when(p == pid, o)).alias(name) for name, pid in _SAMPLED.items()]
     listed = [F.collect_set(F.when(p == pid, tx.uri_tail(o))).alias(name) for name, pid in _LISTED.items()]
     name = F.min(F.when((p == fv.LABEL) & (F.col("lang") == "en"), o)).alias("name")
-    dob = F.max_by(F.when(is_birth, o), F.when(is_birth, tx.iso_year(o))).alias("dob")
+    dob = F.max(F.when(is_birth, F.struct(tx.iso_year(o), o)))["o"].alias("dob")
     human = F.bool_or((p == fv.INSTANCE_OF) & (tx.uri_tail(o) == fv.HUMAN)).alias("human")
     wanted = [fv.DATE_OF_BIRTH, fv.INSTANCE_OF, fv.LABEL, *_SAMPLED.values(), *_LISTED.values()]
     return triples.where(p.isin(wanted)).groupBy("s").agg(human, dob, name, *sampled, *listed).where(

@@ -74,7 +74,7 @@ def find_locations(people: DataFrame, pages: DataFrame, polygons: DataFrame, cod
         "location", "lat", "lng",
         F.col("name").alias("country"), "continent",
         geo.fix_country_code(F.col("name"), F.col("iso_a3")).alias("iso_a3"))
-    alpha2 = F.broadcast(codes.select(F.col("alpha3").alias("iso_a3"), F.col("alpha2").alias("country_code")))
+    alpha2 = codes.select(F.col("alpha3").alias("iso_a3"), F.col("alpha2").alias("country_code"))
     known = found.join(alpha2, "iso_a3", "left").drop("iso_a3")
     candidates = F.concat("locations", "wikilinks")
     placed = first_resolved(people, "person_name", candidates, known, "location")

@@ -15,9 +15,9 @@ PAGES = """
 
 ENTITY_JSON = """
     id STRING,
-    labels MAP<STRING, STRUCT<value: STRING>>,
-    descriptions MAP<STRING, STRUCT<value: STRING>>,
-    sitelinks MAP<STRING, STRUCT<title: STRING>>,
+    labels STRUCT<en: STRUCT<value: STRING>>,
+    descriptions STRUCT<en: STRUCT<value: STRING>>,
+    sitelinks STRUCT<enwiki: STRUCT<title: STRING>>,
     claims MAP<STRING, ARRAY<STRUCT<rank: STRING,
         mainsnak: STRUCT<datavalue: STRUCT<type: STRING, value: STRING>>>>>
 """

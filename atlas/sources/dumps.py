@@ -29,13 +29,20 @@ def read_pages(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 
 def entity_lines(lines: DataFrame) -> DataFrame:
-    """Entities of a JSON array written one object per line; other lines are skipped."""
+    """Entities of a JSON array written one object per line; other lines are skipped.
+
+    ``id, wikipedia_id, title, description, claims``, with the English parts of a
+    record picked while it is parsed.  Stage the result before asking several
+    things of it: a filter on a parsed column would parse each line again.
+    """
     line = F.regexp_replace(F.trim("value"), r"^\s+|\s+$", "")
-    return (
-        lines.select(line.alias("value")).where(F.startswith("value", F.lit("{")))
-        .select(F.from_json(F.regexp_replace("value", ",$", ""), schemas.ENTITY_JSON).alias("e"))
-        .select("e.*")
-    )
+    record = F.from_json(F.regexp_replace(line, ",$", ""), schemas.ENTITY_JSON)
+    return lines.where(F.startswith(line, F.lit("{"))).select(record.alias("e")).select(
+        "e.id",
+        F.col("e.sitelinks.enwiki.title").alias("wikipedia_id"),
+        F.col("e.labels.en.value").alias("title"),
+        F.col("e.descriptions.en.value").alias("description"),
+        "e.claims")
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
