@@ -25,9 +25,13 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tidy_triples(df: DataFrame) -> DataFrame:
-    """Subjects and predicates without their address, objects as they are."""
+    """Predicates and subjects without their address; articles and objects as they are.
+
+    An article's address is kept whole, as its title may contain a slash.
+    """
+    article = F.contains("s", F.lit("/wiki/"))
     return df.select(
-        tx.uri_tail(F.col("s")).alias("s"),
+        F.when(article, F.col("s")).otherwise(tx.uri_tail(F.col("s"))).alias("s"),
         F.regexp_extract("p", r"([^/#]+)$", 1).alias("p"),
         "o", "lang")
 
