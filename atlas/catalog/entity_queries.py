@@ -40,7 +40,7 @@ UNION ALL SELECT concat('Q', n_nationkey), 0 FROM nation
 UNION ALL SELECT concat('P', r_regionkey), 0 FROM region
 """)
 def entity_lines(spark, folder):
-    """A JSON array written one entity per line in bz2 text files, read back."""
+    """A JSON array written one entity per line in text files, read back."""
     return _entities(spark, folder).select("id", F.size("claims").alias("n_claims"))
 
 

@@ -374,10 +374,10 @@ _DUMPS: dict[tuple[str, str], str] = {}
 
 
 def entity_dump(spark: SparkSession, folder: str) -> str:
-    """Path of the derived entity dump: bz2 text, written once per session and folder."""
+    """Path of the derived entity dump, written once per session and folder."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _DUMPS:
         path = f"{scratch_dir(spark)}/entity-dump"
-        in_spark(spark, folder, ENTITY_LINES).write.text(path, compression="bzip2")
+        in_spark(spark, folder, ENTITY_LINES).write.text(path)
         _DUMPS[key] = path
     return _DUMPS[key]

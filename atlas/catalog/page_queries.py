@@ -10,13 +10,13 @@ from atlas.catalog.registry import query
 from atlas.functions import geo, markup as mk, text as tx
 from atlas.operators.joins import first_resolved, points_in_polygons
 from atlas.plans import pages, pageviews, trends
-from atlas.session import scratch_dir
+from atlas.session import scratch_dir, spread
 from atlas.sinks import tables as sinks
 from atlas.sources import dumps, tables
 
 
 def _articles(spark, folder):
-    return inputs.in_spark(spark, folder, inputs.ARTICLES)
+    return spread(inputs.in_spark(spark, folder, inputs.ARTICLES))
 
 
 def _places(spark, folder):
@@ -105,13 +105,13 @@ def page_tags(spark, folder):
 
 @query(_TAGS)
 def page_import(spark, folder):
-    """Pages written as a bz2 XML dump, imported from there into the page table."""
+    """Pages written as an XML dump, imported from there into the page table."""
     root = scratch_dir(spark)
     text = F.struct(F.col("wikitext").alias("_VALUE"), F.length("wikitext").alias("_bytes"))
     _raw_pages(spark, folder).select(
         "title", F.lit(0).alias("ns"), F.col("wiki_id").alias("id"),
         F.struct((F.col("wiki_id") + 7).alias("id"), text.alias("text")).alias("revision"),
-    ).write.xml(f"{root}/dump", rowTag="page", compression="bzip2")
+    ).write.xml(f"{root}/dump", rowTag="page")
     return _tags(pages.import_pages(spark, f"{root}/dump", f"{root}/pages"))
 
 
@@ -119,9 +119,9 @@ def page_import(spark, folder):
 SELECT wiki_id, round(lng, 6) AS lng, round(lat, 6) AS lat FROM [PLACES] p
 """)
 def page_coordinates(spark, folder):
-    places = _places(spark, folder).select("wiki_id", mk.scan(F.col("wikitext")).alias("m"))
-    at = mk.page_coordinate(F.col("m.templates"))
-    return places.select("wiki_id", at.alias("at")).select(
+    scanned = _places(spark, folder).select("wiki_id", mk.scan(F.col("wikitext")).alias("m"))
+    values = scanned.select("wiki_id", mk.coordinate_values(F.col("m.templates")).alias("values"))
+    return values.select("wiki_id", mk.best_coordinate(F.col("values")).alias("at")).select(
         "wiki_id", F.round("at.lng", 6).alias("lng"), F.round("at.lat", 6).alias("lat"))
 
 
@@ -328,7 +328,7 @@ def gender_scores(spark, folder):
     people = trends.parse_people(articles.select(
         "title", "wiki_id", F.col("kind").alias("infobox"), "wikitext", F.size(years).alias("times")
     ).where("times > 0"), "times")
-    return trends.assign_genders(people, "times")
+    return trends.assign_genders(people, trends.first_name_scores(people, "times")).select("person_name", "gender")
 
 
 _VOTES = """

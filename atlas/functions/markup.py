@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from atlas import fixed_values as fv
-from atlas.functions import text as tx
-from atlas.functions.scanner import scan  # noqa: F401
+from atlas.functions import scanner, text as tx
+
+# Templates whose parameters are read; those of citations and the like never leave the scanner.
+_READ = ("infobox", *fv.COORDINATE_TEMPLATE_PREFIXES)
+
+
+def scan(text: Column, wanted: tuple[str, ...] = _READ) -> Column:
+    """``struct<templates, links, plain>`` of a markup column.
+
+    Every template is named, in document order; parameters are given for those
+    whose lower-case name starts with one of ``wanted``.
+    """
+    return scanner.scan(text, wanted)
 
 
 def link_targets(text: Column) -> Column:
@@ -67,12 +78,10 @@ def parse_coordinates(values: Column) -> Column:
     return F.when(F.size(values) == 2, plain).otherwise(folded)
 
 
-def page_coordinate(templates: Column) -> Column:
-    """``struct<lng, lat>`` of a page, NULL unless both parts are known.
+def coordinate_values(templates: Column) -> Column:
+    """Positional values of each coordinate template of a page.
 
-    The first coordinate template with two non-zero parts wins, else the last
-    one that could be read.  A repeated template keeps its first place and its
-    last parameters.
+    A repeated template keeps its first place and its last parameters.
     """
     def is_coordinate(t):
         name = F.lower(t["name"])
@@ -84,16 +93,22 @@ def page_coordinate(templates: Column) -> Column:
     mine = F.filter(templates, is_coordinate)
     names = F.array_distinct(F.transform(mine, lambda t: t["name"]))
     params = F.transform(names, lambda n: F.element_at(F.filter(mine, lambda t: t["name"] == n), -1)["params"])
-    found = F.filter(
-        F.transform(params, lambda p: parse_coordinates(positional_values(p))),
-        lambda c: c.isNotNull(),
-    )
-    full = F.filter(found, lambda c: (c.lat != 0) & (c.lng != 0))
-    best = F.coalesce(F.try_element_at(full, F.lit(1)), F.try_element_at(found, F.lit(-1)))
-    return F.when(
-        best.lat.isNotNull() & best.lng.isNotNull(),
-        F.struct(best.lng.alias("lng"), best.lat.alias("lat")),
-    )
+    return F.transform(params, positional_values)
+
+
+def best_coordinate(values: Column) -> Column:
+    """``struct<lng, lat>`` of a page, NULL unless both parts are known.
+
+    The first template with two non-zero parts wins, else the last readable one.
+    """
+    read = F.filter(F.transform(values, parse_coordinates), lambda c: c.isNotNull())
+    last = F.array_size(values)
+    ranked = F.transform(read, lambda c, i: F.struct(
+        F.when((c.lat != 0) & (c.lng != 0), i).otherwise(last + last - i).alias("order"), c.alias("at")))
+    best = F.slice(F.array_sort(ranked), 1, 1)
+    return F.get(F.transform(
+        F.filter(best, lambda b: b["at"].lat.isNotNull() & b["at"].lng.isNotNull()),
+        lambda b: F.struct(b["at"].lng.alias("lng"), b["at"].lat.alias("lat"))), F.lit(0))
 
 
 def infobox_params(templates: Column) -> Column:

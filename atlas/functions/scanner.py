@@ -34,20 +34,25 @@ _COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
 
 
 class _Open:
-    """A bracket that is still open: where it starts and its top-level bars and equals signs."""
+    """A bracket that is still open: where it starts and its top-level bars and equals signs.
 
-    __slots__ = ("kind", "start", "body", "bars", "equals")
+    ``broken`` marks a link with another link in its target, which is no link.
+    """
+
+    __slots__ = ("kind", "start", "body", "bars", "equals", "broken")
 
     def __init__(self, kind, start, body):
         self.kind, self.start, self.body = kind, start, body
-        self.bars, self.equals = [], []
+        self.bars, self.equals, self.broken = [], [], False
 
 
-def _template(text, frame, end):
+def _template(text, frame, end, wanted):
+    name = _COMMENT.sub("", text[frame.body:frame.bars[0] if frame.bars else end]).strip()
+    params, position = [], 0
+    if not name.lower().startswith(wanted):
+        return {"name": name, "params": params}
     cuts = [frame.body - 1, *frame.bars, end]
     pieces = [(a + 1, b) for a, b in zip(cuts, cuts[1:])]
-    name = _COMMENT.sub("", text[slice(*pieces[0])]).strip()
-    params, position = [], 0
     equals = iter(frame.equals)
     mark = next(equals, None)
     for start, stop in pieces[1:]:
@@ -62,11 +67,12 @@ def _template(text, frame, end):
     return {"name": name, "params": params}
 
 
-def scan_text(text: str) -> dict:
+def scan_text(text: str, wanted: tuple[str, ...] = ("",)) -> dict:
     """Templates and links by opening position, and the text outside markup.
 
     A closing bracket ends the nearest open one of its kind; openers left inside
-    it, or never closed at all, are ordinary text.
+    it, or never closed at all, are ordinary text.  Parameters are given for
+    templates whose lower-case name starts with one of ``wanted``.
     """
     stack, counts = [], {"{": 0, "[": 0}
     templates, links, hidden = [], [], []
@@ -99,15 +105,19 @@ def scan_text(text: str) -> dict:
                 if width == 3 and run < 3:
                     width, frame.start = 2, frame.start + 1
                 if width == 2:
-                    templates.append((frame.start, _template(text, frame, here)))
+                    templates.append((frame.start, _template(text, frame, here, wanted)))
                 hidden.append((frame.start, here + width))
                 run, here = run - width, here + width
         elif token == "[[":
+            if stack and stack[-1].kind == "[" and not stack[-1].bars:
+                stack[-1].broken = True
             stack.append(_Open("[", at, match.end()))
             counts["["] += 1
         elif token == "]]":
             if counts["["]:
                 frame = close("[")
+                if frame.broken:
+                    continue
                 title_end = frame.bars[0] if frame.bars else at
                 title = text[frame.body:title_end]
                 if title and "\n" not in title:
@@ -131,11 +141,10 @@ def scan_text(text: str) -> dict:
     }
 
 
-@F.arrow_udf(from_arrow_type(_SCAN))
-def _scan(texts: pa.Array) -> pa.Array:
-    return pa.array([scan_text(t.as_py() or "") for t in texts], type=_SCAN)
-
+def scan(text: Column, wanted: tuple[str, ...] = ("",)) -> Column:
+    """``struct<templates, links, plain>`` of a markup column; see ``scan_text``."""
+    @F.arrow_udf(from_arrow_type(_SCAN))
+    def scanned(texts: pa.Array) -> pa.Array:
+        return pa.array([scan_text(t.as_py() or "", wanted) for t in texts], type=_SCAN)
 
-def scan(text: Column) -> Column:
-    """``struct<templates, links, plain>`` of a markup column."""
-    return _scan(text)
+    return scanned(text)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from atlas.session import stage
+
 
 def _columns(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -29,6 +31,31 @@ def keep_last(df: DataFrame, keys, order) -> DataFrame:
     return _one_per_key(df, keys, [c.desc() for c in _columns(order)])
 
 
+def drop_repeats(df: DataFrame, key: str, order: str, keep=stage) -> DataFrame:
+    """``keep_first`` for wide rows whose keys hardly ever repeat.
+
+    Repeated keys are found in a narrow pass and written down.  Rows that come
+    after the first of their key are then dropped by an anti-join with that
+    table, which Spark broadcasts if its size on disk allows, so that the wide
+    rows are not shuffled.  Only rows equal in key and order need a window.
+    """
+    per_row = df.select(F.col(key).alias("_key"), F.col(order).alias("_order")).groupBy("_key", "_order").count()
+    per_key = per_row.groupBy("_key").agg(
+        F.min(F.struct("_order", "count")).alias("_least"), F.sum("count").alias("_rows"))
+    repeated = keep(per_key.where("_rows > 1").select(
+        "_key", "_least._order", (F.col("_least.count") > 1).alias("_tied")), "repeated")
+    if repeated.isEmpty():
+        return df
+    later = (df[key] == F.col("_key")) & (df[order] > F.col("_order"))
+    first = df.join(repeated, later, "left_anti")
+    tied = repeated.where("_tied").select("_key")
+    if tied.isEmpty():
+        return first
+    single = first.join(tied, first[key] == tied["_key"], "left_anti")
+    several = first.join(tied, first[key] == tied["_key"], "left_semi")
+    return single.unionByName(keep_first(several, [key], [order]))
+
+
 def last_wins_map(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """``key -> value`` where the value with the greatest ``order`` wins."""
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))

@@ -75,19 +75,23 @@ def labelled(top: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return named.withColumn("label", F.coalesce("label", column)).drop("_qid")
 
 
-def first_resolved(df: DataFrame, key: str, candidates: Column, dim: DataFrame, dim_key: str) -> DataFrame:
-    """Per row, the columns of the first candidate found in ``dim``; NULLs if none is.
+def first_hits(df: DataFrame, key: str, candidates: Column, dim: DataFrame, dim_key: str) -> DataFrame:
+    """Per row with a candidate found in ``dim``, the columns of the first such.
 
     ``dim`` is unique on ``dim_key``.  Only candidates that resolve are shuffled
-    back, and their minimum is taken before that shuffle.
+    to their row's key, and their minimum is taken before that shuffle.
     """
     exploded = df.select(F.col(key), F.posexplode(candidates).alias("_pos", dim_key))
     values = [c for c in dim.columns if c != dim_key]
     hits = lookup(exploded, dim, dim_key, [key, "_pos"], "inner")
-    first = hits.groupBy(key).agg(
+    return hits.groupBy(key).agg(
         F.min_by(F.struct(dim_key, *values), "_pos").alias("_first")
     ).select(key, "_first.*")
-    return df.join(first, key, "left")
+
+
+def first_resolved(df: DataFrame, key: str, candidates: Column, dim: DataFrame, dim_key: str) -> DataFrame:
+    """Every row with the columns of its first candidate found in ``dim``; NULLs if none is."""
+    return df.join(first_hits(df, key, candidates, dim, dim_key), key, "left")
 
 
 def _cells(x_low: Column, x_high: Column, y_low: Column, y_high: Column, size: float) -> Column:
@@ -116,8 +120,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, size: f
         key, "lng", "lat",
         F.floor(F.col("lng") / size).cast("int").alias("cx"),
         F.floor(F.col("lat") / size).cast("int").alias("cy"))
+    near = placed.join(cells, ["cx", "cy"]).drop("cx", "cy")
     hits = (
-        placed.join(cells, ["cx", "cy"]).join(polygons, "poly_id")
+        lookup(near, polygons, "poly_id", [key], "inner")
         .where(geo.inside(F.col("rings"), F.col("lng"), F.col("lat")))
         .groupBy(key).agg(F.max_by(F.struct(*attributes), "poly_id").alias("_hit"))
         .select(key, "_hit.*")

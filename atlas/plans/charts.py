@@ -9,6 +9,7 @@ from atlas.functions.predicates import born_between
 from atlas.operators import stats
 from atlas.operators.dedupe import rank_top
 from atlas.operators.joins import labelled, translate
+from atlas.session import stage
 from atlas.sinks.tables import chart_payload
 
 
@@ -53,9 +54,13 @@ def top_occupations(persons: DataFrame, n: int = fv.TOP_OCCUPATIONS) -> DataFram
     return rank_top(stats.list_counts(persons, "occupation_qids", "qid"), n, "n", "qid")
 
 
-def top_occupations_over_time(persons: DataFrame, labels: DataFrame, n: int = fv.TOP_OCCUPATIONS) -> DataFrame:
-    """``series, x, y, share``: slots filled by each top occupation per year of birth."""
-    top = labelled(top_occupations(persons, n), labels, "qid")
+def top_occupations_over_time(persons: DataFrame, labels: DataFrame, n: int = fv.TOP_OCCUPATIONS,
+                              keep=stage) -> DataFrame:
+    """``series, x, y, share``: slots filled by each top occupation per year of birth.
+
+    The short list of occupations is written first, as three joins need it.
+    """
+    top = keep(labelled(keep(top_occupations(persons, n), "top"), labels, "qid"), "labelled")
     chosen = persons.where(F.col("occupation_qids").isNotNull() & born_between(F.col("year_born")))
     slots = stats.slots_by_year(chosen, "year_born", "occupation_qids", top, "qid", n)
     return stats.composition(slots.select(F.col("label").alias("series"), "x", "y"), "x", "y").orderBy("x", "series")

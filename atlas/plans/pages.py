@@ -22,11 +22,12 @@ def tag_pages(pages: DataFrame) -> DataFrame:
         "title", "wiki_id", "wikitext",
         names.alias("_names"),
         tx.normalise_tags(tx.categories(F.col("_m.links"))).alias("categories"),
-        mk.page_coordinate(F.col("_m.templates")).alias("lng_lat"))
+        mk.coordinate_values(F.col("_m.templates")).alias("_at"))
     return tagged.select(
         "title", "wiki_id", tx.infobox_type(F.col("_names")).alias("infobox"), "wikitext",
         F.array_sort("_names").alias("templates"), "categories",
-        tx.normalise_tags(F.transform("categories", tx.generalise)).alias("general"), "lng_lat",
+        tx.normalise_tags(F.transform("categories", tx.generalise)).alias("general"),
+        mk.best_coordinate(F.col("_at")).alias("lng_lat"),
     ).where(F.coalesce(F.length("infobox"), F.lit(0)) <= fv.MAX_NAME_CHARS)
 
 

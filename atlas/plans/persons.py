@@ -17,6 +17,10 @@ _SAMPLED = {
     "sitelink_count": fv.SITELINKS,
 }
 _LISTED = {"occupation_qids": fv.OCCUPATION, "field_qids": fv.FIELD_OF_WORK}
+_READ = [
+    fv.INSTANCE_OF, fv.DATE_OF_BIRTH, fv.LABEL, *_SAMPLED.values(), *_LISTED.values(), fv.ARTICLE_ABOUT,
+    fv.ARTICLE_SITE, fv.CITIZENSHIP, fv.COUNTRY_ALPHA2, fv.COORDINATES, fv.COUNTRY,
+]
 
 
 def humans(triples: DataFrame) -> DataFrame:
@@ -42,13 +46,13 @@ def person_facts(triples: DataFrame, born: Column | None = None) -> DataFrame:
     year's import would replace an earlier one's row.
     """
     p, o = F.col("p"), F.col("o")
+    wanted = [fv.DATE_OF_BIRTH, fv.INSTANCE_OF, fv.LABEL, *_SAMPLED.values(), *_LISTED.values()]
     is_birth = p == fv.DATE_OF_BIRTH if born is None else (p == fv.DATE_OF_BIRTH) & born
     sampled = [F.min(F.when(p == pid, o)).alias(name) for name, pid in _SAMPLED.items()]
     listed = [F.collect_set(F.when(p == pid, tx.uri_tail(o))).alias(name) for name, pid in _LISTED.items()]
     name = F.min(F.when((p == fv.LABEL) & (F.col("lang") == "en"), o)).alias("name")
     dob = F.max(F.when(is_birth, F.struct(tx.iso_year(o), o)))["o"].alias("dob")
     human = F.bool_or((p == fv.INSTANCE_OF) & (tx.uri_tail(o) == fv.HUMAN)).alias("human")
-    wanted = [fv.DATE_OF_BIRTH, fv.INSTANCE_OF, fv.LABEL, *_SAMPLED.values(), *_LISTED.values()]
     return triples.where(p.isin(wanted)).groupBy("s").agg(human, dob, name, *sampled, *listed).where(
         "human AND dob IS NOT NULL AND sitelink_count IS NOT NULL").drop("human")
 
@@ -83,9 +87,12 @@ def persons(triples: DataFrame, start: int = 1800, end: int = 2000, keep=stage)
     """The persons table: humans with a date of birth, an English article and a site-link count.
 
     Years ``start`` to ``end`` inclusive.  Place of birth and death are one place
-    each, with the coordinates and country of that place.
+    each, with the coordinates and country of that place.  The statements needed
+    are written once, a folder per predicate, so that each step reads its own.
     """
     year = tx.iso_year(F.col("o"))
+    triples = keep(triples.where(
+        F.col("p").isin(_READ) & ((F.col("p") != fv.LABEL) | (F.col("lang") == "en"))), "statements", "p")
     facts = keep(person_facts(triples, year.between(start, end)).join(english_articles(triples), "s"), "facts")
     known = keep(places(triples), "places")
     slim = facts.select("s", tx.uri_tail(F.col("pob")).alias("pob_qid"), tx.uri_tail(F.col("pod")).alias("pod_qid"))

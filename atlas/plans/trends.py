@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from atlas import fixed_values as fv
 from atlas.functions import geo, markup as mk, predicates as pr, text as tx
 from atlas.operators import stats
-from atlas.operators.joins import first_resolved, in_key_set, lookup, points_in_polygons
+from atlas.operators.joins import first_hits, in_key_set, lookup, points_in_polygons
 from atlas.session import stage
 
 
@@ -44,20 +44,25 @@ def parse_people(pages: DataFrame, *extra: str) -> DataFrame:
         tx.death_year(F.col("wikilinks")).alias("died"))
 
 
-def assign_genders(people: DataFrame, weight: str | None = None) -> DataFrame:
-    """``person_name, gender`` by words, leaning on what others of that first name got.
+def first_name_scores(people: DataFrame, weight: str | None = None) -> DataFrame:
+    """``first_name, name_score``: mean word score of everyone of a first name.
 
     ``weight`` counts how often a row stands in the list being averaged.
     """
     times = F.col(weight) if weight else F.lit(1)
     scored = people.select(
-        "person_name", tx.first_name(F.col("person_name")).alias("first_name"),
+        tx.first_name(F.col("person_name")).alias("first_name"),
         tx.word_score(F.col("gender_words")).alias("score"), times.alias("_times"))
-    by_name = scored.groupBy("first_name").agg(
+    return scored.groupBy("first_name").agg(
         (F.sum(F.col("score") * F.col("_times")) / F.sum("_times")).alias("name_score"))
-    both = lookup(scored, by_name, "first_name", ["person_name"])
-    total = F.col("score") + F.col("name_score") * fv.FIRST_NAME_WEIGHT
-    return both.select("person_name", F.when(total < 0, "female").otherwise("male").alias("gender"))
+
+
+def assign_genders(people: DataFrame, scores: DataFrame) -> DataFrame:
+    """``people`` with ``gender``: by their own words, leaning on others of their first name."""
+    named = people.withColumn("first_name", tx.first_name(F.col("person_name")))
+    both = lookup(named, scores, "first_name", ["person_name"])
+    total = tx.word_score(F.col("gender_words")) + F.col("name_score") * fv.FIRST_NAME_WEIGHT
+    return both.withColumn("gender", F.when(total < 0, "female").otherwise("male")).drop("first_name", "name_score")
 
 
 def located_titles(people: DataFrame, pages: DataFrame) -> DataFrame:
@@ -68,19 +73,20 @@ def located_titles(people: DataFrame, pages: DataFrame) -> DataFrame:
     return in_key_set(placed, "location", first, "location")
 
 
-def find_locations(people: DataFrame, pages: DataFrame, polygons: DataFrame, codes: DataFrame) -> DataFrame:
-    """``person_name, lat, lng, country_code, country, continent``; '' where unknown."""
+def located_countries(people: DataFrame, pages: DataFrame, polygons: DataFrame, codes: DataFrame) -> DataFrame:
+    """``location, lat, lng, country_code, country, continent`` of the located titles."""
     found = points_in_polygons(located_titles(people, pages), polygons, "location").select(
         "location", "lat", "lng",
         F.col("name").alias("country"), "continent",
         geo.fix_country_code(F.col("name"), F.col("iso_a3")).alias("iso_a3"))
     alpha2 = codes.select(F.col("alpha3").alias("iso_a3"), F.col("alpha2").alias("country_code"))
-    known = found.join(alpha2, "iso_a3", "left").drop("iso_a3")
-    candidates = F.concat("locations", "wikilinks")
-    placed = first_resolved(people, "person_name", candidates, known, "location")
-    return placed.select(
-        "person_name", "lat", "lng",
-        *[F.coalesce(c, F.lit("")).alias(c) for c in ("country_code", "country", "continent")])
+    return found.join(alpha2, "iso_a3", "left").drop("iso_a3")
+
+
+def find_locations(people: DataFrame, pages: DataFrame, polygons: DataFrame, codes: DataFrame) -> DataFrame:
+    """``person_name`` and the first located of their places and links; people without one are left out."""
+    places = located_countries(people, pages, polygons, codes)
+    return first_hits(people, "person_name", F.concat("locations", "wikilinks"), places, "location")
 
 
 def field_votes(links: Column, infobox: Column) -> tuple[Column, Column]:
@@ -91,8 +97,7 @@ def field_votes(links: Column, infobox: Column) -> tuple[Column, Column]:
     than 200 entries, looked up inside the row.
     """
     def table(lines):
-        pairs = fv.lookup_table(lines).items()
-        return F.create_map(*[F.lit(part) for pair in pairs for part in pair])
+        return F.str_to_map(F.lit(lines.strip()), F.lit("\n"), F.lit(": "))
 
     field_of = table(fv.FIELD_OF_WORD)
     words = F.transform(tx.categories(links), tx.last_word)
@@ -121,14 +126,16 @@ def person_trends(pages: DataFrame, views: DataFrame, polygons: DataFrame, codes
     years = tx.birth_category_years(F.col("categories"), first, last)
     filed = pages.withColumn("_times", F.size(years)).where("_times > 0")
     people = keep(parse_people(filed, "_times"), "people")
-    genders = assign_genders(people, "_times")
     places = find_locations(people, pages, polygons, codes)
     field, occupation = field_votes(F.col("wikilinks"), F.col("infobox"))
     kept = people.where(pr.plausible_years(F.col("born"), F.col("died"))).select(
-        "person_name", "word_count", "born", "died", field.alias("field"), occupation.alias("occupation"))
-    joined = kept.join(genders, "person_name").join(places, "person_name").join(
+        "person_name", "word_count", "born", "died", "gender_words",
+        field.alias("field"), occupation.alias("occupation"))
+    gendered = assign_genders(kept, first_name_scores(people, "_times"))
+    joined = gendered.join(places, "person_name", "left").join(
         views.withColumnRenamed("title", "person_name"), "person_name", "left")
+    known = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return joined.select(
         "person_name", F.col("viewcount").alias("view_count"), "word_count",
         F.col("born").alias("year_born"), F.col("died").alias("year_died"),
-        "gender", "occupation", "field", "country_code", "continent")
+        "gender", "occupation", "field", known("country_code"), known("continent"))

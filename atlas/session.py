@@ -41,13 +41,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back.
+def stage(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` to the scratch folder, in one folder per value of ``by``, and read it back.
 
     Cuts lineage, so that a lost executor never repeats what came before, and
     lets several branches of a plan share one expensive step.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a frame that comes from fewer file splits than there are cores.
+
+    For small files ahead of heavy work per row.  A large table has more splits
+    than cores and is left alone.  ``df`` must not contain a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from atlas.operators.dedupe import keep_first, keep_last
+from atlas.operators.dedupe import drop_repeats, keep_last
 from atlas.operators.stats import series_arrays
 
 
@@ -15,7 +15,7 @@ def _replace(df: DataFrame, path: str) -> DataFrame:
 
 def write_pages(pages: DataFrame, path: str) -> DataFrame:
     """Replace the pages; of pages with one title the lowest id stays."""
-    return _replace(keep_first(pages, ["title"], ["wiki_id"]), path)
+    return _replace(drop_repeats(pages, "title", "wiki_id"), path)
 
 
 def write_entities(entities: DataFrame, path: str) -> DataFrame:
