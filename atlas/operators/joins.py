@@ -1,8 +1,8 @@
 """Joins beyond a plain equi-join: hot keys, key sets, points in polygons.
 
 Nothing here forces a broadcast except for rows bounded by a constant.  Other
-small sides are left to adaptive execution, which measures them and falls back
-to a shuffle when they are large.
+small sides are left to the planner and to adaptive execution, which know or
+measure their size and fall back to a shuffle when they are large.
 """
 
 from __future__ import annotations
@@ -15,16 +15,28 @@ HOT_KEYS = 1000
 SALTS = 64
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the planner's own size estimate lets it broadcast the frame."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= limit
+
+
 def lookup(facts: DataFrame, dim: DataFrame, key: str, spread, how: str = "left",
            min_rows: int = 100_000, salts: int = SALTS) -> DataFrame:
     """Join ``facts`` to ``dim`` (unique on ``key``) when few keys may hold most facts.
 
-    The at most 1000 most frequent keys with ``min_rows`` facts or more are found
+    A dimension below the planner's broadcast limit is joined as it is: nothing is
+    shuffled, so no key is hot.  Stage a dimension to have its size measured.
+
+    Beyond that limit, the at most 1000 most frequent keys with ``min_rows`` facts or more are found
     by a pre-aggregated count.  Their facts are spread over ``salts`` buckets by
     a hash of ``spread`` and their dimension rows repeated once per bucket.  Any
     other key holds less than a thousandth of the facts.  Facts without a key
     are spread too.
     """
+    if fits_broadcast(dim):
+        return facts.join(dim, key, how)
     hot = (
         facts.where(F.col(key).isNotNull()).groupBy(key).count()
         .where(F.col("count") >= min_rows)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from atlas import fixed_values as fv
 from atlas.functions import claims as cl, predicates as pr
 from atlas.operators.dedupe import keep_first, keep_last, top
-from atlas.operators.joins import lookup
+from atlas.operators.joins import in_key_set, lookup
 from atlas.session import stage
 from atlas.sinks.tables import write_entities
 from atlas.sources.dumps import read_entities
@@ -80,10 +80,15 @@ def best_rank(claims: DataFrame) -> DataFrame:
         *[first[c].alias(c) for c in ("num", "lat", "lng", "globe", "altitude")])
 
 
+def property_names(claims: DataFrame, names: DataFrame) -> DataFrame:
+    """``prop_id, prop_name`` of the properties that occur in the claims."""
+    used = in_key_set(names.where("name != ''"), "id", claims, "prop_id")
+    return used.select(F.col("id").alias("prop_id"), F.col("name").alias("prop_name"))
+
+
 def name_properties(collapsed: DataFrame, names: DataFrame) -> DataFrame:
     """Replace property ids by names; of properties sharing a name the later one stays."""
-    props = names.select(F.col("id").alias("prop_id"), F.col("name").alias("prop_name")).where("prop_name != ''")
-    named = lookup(collapsed, props, "prop_id", ["qid", "prop_pos"], "inner")
+    named = lookup(collapsed, names, "prop_id", ["qid", "prop_pos"], "inner")
     return keep_last(named, ["qid", "prop_name"], ["prop_pos"]).drop("prop_id", "prop_pos")
 
 
@@ -96,7 +101,8 @@ def entity_properties(entities: DataFrame, keep=stage) -> DataFrame:
     names = keep(entity_names(entities), "names")
     claims = keep(entity_claims(entities), "claims")
     linked = linked_entities(entities).select(F.col("wikidata_id").alias("qid"), "wikipedia_id")
-    found = name_properties(best_rank(resolve_ids(claims, names)), names)
+    props = keep(property_names(claims, names), "props")
+    found = name_properties(best_rank(resolve_ids(claims, names)), props)
     return found.join(linked, "qid").select(
         "qid", "wikipedia_id", "prop_name", "kind", "vals", "num", "lat", "lng", "globe", "altitude")
 

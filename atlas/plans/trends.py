@@ -83,9 +83,8 @@ def located_countries(people: DataFrame, pages: DataFrame, polygons: DataFrame,
     return found.join(alpha2, "iso_a3", "left").drop("iso_a3")
 
 
-def find_locations(people: DataFrame, pages: DataFrame, polygons: DataFrame, codes: DataFrame) -> DataFrame:
+def find_locations(people: DataFrame, places: DataFrame) -> DataFrame:
     """``person_name`` and the first located of their places and links; people without one are left out."""
-    places = located_countries(people, pages, polygons, codes)
     return first_hits(people, "person_name", F.concat("locations", "wikilinks"), places, "location")
 
 
@@ -119,20 +118,23 @@ def person_trends(pages: DataFrame, views: DataFrame, polygons: DataFrame, codes
                   last: int = fv.BIRTH_CATEGORY_YEARS[1]) -> DataFrame:
     """The person trends table.  ``pages`` holds each title once.
 
-    The parsed people are written once and read by the steps that need them.  A
+    The parsed people are written once and read by the steps that need them; so
+    are the located places and the scores of first names, whose measured size
+    decides how they are joined.  A
     person filed under several birth years is kept as one row that counts
     as many times where first names are averaged.
     """
     years = tx.birth_category_years(F.col("categories"), first, last)
     filed = pages.withColumn("_times", F.size(years)).where("_times > 0")
     people = keep(parse_people(filed, "_times"), "people")
-    places = find_locations(people, pages, polygons, codes)
+    places = keep(located_countries(people, pages, polygons, codes), "places")
+    scores = keep(first_name_scores(people, "_times"), "scores")
     field, occupation = field_votes(F.col("wikilinks"), F.col("infobox"))
     kept = people.where(pr.plausible_years(F.col("born"), F.col("died"))).select(
         "person_name", "word_count", "born", "died", "gender_words",
         field.alias("field"), occupation.alias("occupation"))
-    gendered = assign_genders(kept, first_name_scores(people, "_times"))
-    joined = gendered.join(places, "person_name", "left").join(
+    gendered = assign_genders(kept, scores)
+    joined = gendered.join(find_locations(people, places), "person_name", "left").join(
         views.withColumnRenamed("title", "person_name"), "person_name", "left")
     known = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return joined.select(

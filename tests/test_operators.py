@@ -67,8 +67,16 @@ def test_collisions(spark):
 
 # --- joins ---------------------------------------------------------------------------
 
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_equals_a_plain_join(spark, how):
+def test_lookup_equals_a_plain_join(spark, no_broadcast, how):
     facts = spark.range(5000).select(
         "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 50).alias("k"))
     dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
@@ -76,10 +84,8 @@ def test_lookup_equals_a_plain_join(spark, how):
     assert sorted(map(str, rows(got.select("id", "k", "v")))) == sorted(map(str, rows(facts.join(dim, "k", how).select("id", "k", "v"))))
 
 
-def test_lookup_spreads_a_hot_key(spark):
+def test_lookup_spreads_a_hot_key(spark, no_broadcast):
     """No reduce task may get a third of the facts."""
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         facts = spark.range(80_000).select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"))
@@ -87,11 +93,17 @@ def test_lookup_spreads_a_hot_key(spark):
         sizes = joins.lookup(facts, dim, "k", ["id"], "left", min_rows=1000).groupBy(
             F.spark_partition_id().alias("p")).count().agg(F.sum("count"), F.max("count")).first()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sizes[0] == 80_000 and sizes[1] < 80_000 / 4
 
 
+def test_small_dimension_is_not_counted_for(spark):
+    plan = joins.lookup(spark.range(1000).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k"),
+                        "k", ["k"], "inner")
+    assert joins.fits_broadcast(spark.range(10)) and not joins.fits_broadcast(spark.range(1 << 30))
+    assert "Aggregate" not in plan._jdf.queryExecution().toString()
+
+
 def test_key_sets(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id INT, v STRING")
     keys = spark.createDataFrame([(1,), (1,), (9,)], "k INT")
@@ -336,3 +348,15 @@ def test_person_trends(spark):
     assert [(r[0], r[1], r[3], r[4], r[5], r[6], r[7], r[8], r[9]) for r in got] == [
         ("Ann Lee", 10, 1900, 1950, "female", "poets", "art", "FR", "C"),
         ("Ann Ray", None, 1902, None, "female", "", "", "FR", "C")]
+
+
+def test_person_trends_by_shuffles(spark, no_broadcast):
+    test_person_trends(spark)
+
+
+def test_persons_by_shuffles(spark, no_broadcast):
+    test_persons(spark)
+
+
+def test_entity_documents_by_shuffles(spark, no_broadcast):
+    test_entity_documents(spark)
