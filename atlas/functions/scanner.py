@@ -67,7 +67,7 @@ def _template(text, frame, end, wanted):
     return {"name": name, "params": params}
 
 
-def scan_text(text: str, wanted: tuple[str, ...] = ("",)) -> dict:
+def scan_text(text: str, wanted: tuple[str, ...] = ("",), with_plain: bool = True) -> dict:
     """Templates and links by opening position, and the text outside markup.
 
     A closing bracket ends the nearest open one of its kind; openers left inside
@@ -127,24 +127,29 @@ def scan_text(text: str, wanted: tuple[str, ...] = ("",)) -> dict:
         elif stack:
             (stack[-1].bars if head == "|" else stack[-1].equals).append(at)
 
-    plain, position = [], 0
-    for start, stop in sorted(hidden):
-        if start > position:
-            plain.append(text[position:start])
-        position = max(position, stop)
-    plain.append(text[position:])
     by_start = lambda item: item[0]
     return {
         "templates": [t for _, t in sorted(templates, key=by_start)],
         "links": [link for _, link in sorted(links, key=by_start)],
-        "plain": "".join(plain),
+        "plain": _outside(text, hidden) if with_plain else None,
     }
 
 
-def scan(text: Column, wanted: tuple[str, ...] = ("",)) -> Column:
+def _outside(text, hidden):
+    """The text outside the hidden stretches."""
+    shown, position = [], 0
+    for start, stop in sorted(hidden):
+        if start > position:
+            shown.append(text[position:start])
+        position = max(position, stop)
+    shown.append(text[position:])
+    return "".join(shown)
+
+
+def scan(text: Column, wanted: tuple[str, ...] = ("",), with_plain: bool = True) -> Column:
     """``struct<templates, links, plain>`` of a markup column; see ``scan_text``."""
     @F.arrow_udf(from_arrow_type(_SCAN))
     def scanned(texts: pa.Array) -> pa.Array:
-        return pa.array([scan_text(t.as_py() or "", wanted) for t in texts], type=_SCAN)
+        return pa.array([scan_text(t.as_py() or "", wanted, with_plain) for t in texts], type=_SCAN)
 
     return scanned(text)

@@ -16,7 +16,8 @@ def tag_pages(pages: DataFrame) -> DataFrame:
 
     No shuffle.  Pages whose title or infobox is over-long are dropped.
     """
-    scanned = pages.where(F.length("title") <= fv.MAX_NAME_CHARS).withColumn("_m", mk.scan(F.col("wikitext")))
+    scanned = pages.where(F.length("title") <= fv.MAX_NAME_CHARS).withColumn(
+        "_m", mk.scan(F.col("wikitext"), with_plain=False))
     names = tx.tidy_tags(F.transform("_m.templates", lambda t: t["name"]))
     tagged = scanned.select(
         "title", "wiki_id", "wikitext",
