@@ -147,9 +147,13 @@ def _outside(text, hidden):
 
 
 def scan(text: Column, wanted: tuple[str, ...] = ("",), with_plain: bool = True) -> Column:
-    """``struct<templates, links, plain>`` of a markup column; see ``scan_text``."""
+    """``struct<templates, links, plain>`` of a markup column; see ``scan_text``.
+
+    Marked non-deterministic only to keep the optimizer from scanning a text once
+    more for every filter on something derived from it.
+    """
     @F.arrow_udf(from_arrow_type(_SCAN))
     def scanned(texts: pa.Array) -> pa.Array:
         return pa.array([scan_text(t.as_py() or "", wanted, with_plain) for t in texts], type=_SCAN)
 
-    return scanned(text)
+    return scanned.asNondeterministic()(text)

@@ -14,10 +14,10 @@ from atlas.sources.dumps import read_pages
 def tag_pages(pages: DataFrame) -> DataFrame:
     """``title, wiki_id, wikitext`` with infobox, templates, categories, general and lng_lat.
 
-    No shuffle.  Pages whose title or infobox is over-long are dropped.
+    No shuffle.  Pages with an over-long title are dropped; an infobox cannot be
+    over-long, as its tag would have been dropped before.
     """
-    scanned = pages.where(F.length("title") <= fv.MAX_NAME_CHARS).withColumn(
-        "_m", mk.scan(F.col("wikitext"), with_plain=False))
+    scanned = pages.withColumn("_m", mk.scan(F.col("wikitext"), with_plain=False))
     names = tx.tidy_tags(F.transform("_m.templates", lambda t: t["name"]))
     tagged = scanned.select(
         "title", "wiki_id", "wikitext",
@@ -29,7 +29,7 @@ def tag_pages(pages: DataFrame) -> DataFrame:
         F.array_sort("_names").alias("templates"), "categories",
         tx.normalise_tags(F.transform("categories", tx.generalise)).alias("general"),
         mk.best_coordinate(F.col("_at")).alias("lng_lat"),
-    ).where(F.coalesce(F.length("infobox"), F.lit(0)) <= fv.MAX_NAME_CHARS)
+    ).where(F.length("title") <= fv.MAX_NAME_CHARS)
 
 
 def import_pages(spark: SparkSession, dump: str, path: str, limit: int = 0) -> DataFrame:
