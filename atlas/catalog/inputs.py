@@ -84,8 +84,8 @@ SELECT doc_id, text, lang, n_chars,
        concat('F', substr(source, 4), ' ', doc_id) AS title,
        concat('F', substr(source, 4)) AS first_name,
        CASE lang WHEN 'en' THEN 'philosopher' WHEN 'fr' THEN 'writer' WHEN 'de' THEN 'artist' ELSE 'person' END AS kind,
-       CASE WHEN doc_id % 17 = 0 THEN 150 ELSE 1800 + doc_id % 150 END AS born,
-       CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 190 ELSE 1840 + doc_id % 190 END AS died,
+       CAST(CASE WHEN doc_id % 17 = 0 THEN 150 ELSE 1800 + doc_id % 150 END AS INT) AS born,
+       CAST(CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 190 ELSE 1840 + doc_id % 190 END AS INT) AS died,
        doc_id % 50 = 1 AS bc, doc_id % 10 = 0 AS twice,
        CASE doc_id % 3 WHEN 0 THEN 'She wrote her books. ' WHEN 1 THEN 'He wrote his book; they saw him. '
             ELSE '' END AS opening,

@@ -144,7 +144,7 @@ def fields_by_dimension(spark, folder):
 # --- statistics ----------------------------------------------------------------------
 
 @query("""
-SELECT year(o_orderdate) AS x, o_orderstatus AS series, count(*) AS y,
+SELECT CAST(year(o_orderdate) AS INT) AS x, o_orderstatus AS series, count(*) AS y,
        round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY year(o_orderdate)), 6) AS share
 FROM orders GROUP BY 1, 2
 """)
@@ -337,8 +337,8 @@ def parsed_coordinates(spark, folder):
 
 
 @query(f"""
-SELECT lang, source, sum(len(regexp_extract_all(lower(text), '{tx.WORD}'))) AS words,
-       sum(len(list_filter(regexp_extract_all(lower(text), '{tx.WORD}'), lambda x: x = 'he'))) AS he
+SELECT lang, source, CAST(sum(len(regexp_extract_all(lower(text), '{tx.WORD}'))) AS BIGINT) AS words,
+       CAST(sum(len(list_filter(regexp_extract_all(lower(text), '{tx.WORD}'), lambda x: x = 'he'))) AS BIGINT) AS he
 FROM documents GROUP BY 1, 2
 """)
 def words_by_source(spark, folder):

@@ -140,7 +140,7 @@ def templates_and_links(spark, folder):
 
 
 @query("""
-SELECT wiki_id, len(regexp_extract_all(wikitext, '\\[\\[([^\\[\\]|]+)')) AS n_targets,
+SELECT wiki_id, CAST(len(regexp_extract_all(wikitext, '\\[\\[([^\\[\\]|]+)')) AS INT) AS n_targets,
        born + CASE WHEN twice THEN 1 ELSE 0 END AS born, died
 FROM [ARTICLES] a
 """)
@@ -169,7 +169,7 @@ _WORDS = "regexp_extract_all(lower(words_text), '[\\p{L}\\p{N}_]+')"
 
 
 @query(f"""
-SELECT wiki_id, len(w) AS word_count, {", ".join(
+SELECT wiki_id, CAST(len(w) AS INT) AS word_count, {", ".join(
     f"len(list_filter(w, lambda x: x = '{word}')) AS n_{word}" for word in fv.GENDER_WEIGHTS)}
 FROM (SELECT wiki_id, {_WORDS} AS w FROM [ARTICLES] a) t
 """)
@@ -416,7 +416,7 @@ def first_resolved_location(spark, folder):
 
 
 @query(f"""
-SELECT a.title AS person_name, v.viewcount AS view_count, len({_WORDS}) AS word_count,
+SELECT a.title AS person_name, v.viewcount AS view_count, CAST(len({_WORDS}) AS INT) AS word_count,
        CASE WHEN a.bc AND a.twice THEN a.born + 1 WHEN a.twice THEN a.born + 1 ELSE a.born END AS year_born,
        a.died AS year_died, g.gender, o.occupation, o.field,
        coalesce(c.alpha2, '') AS country_code, coalesce(p.continent, '') AS continent
