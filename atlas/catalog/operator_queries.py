@@ -145,7 +145,7 @@ def fields_by_dimension(spark, folder):
 
 @query("""
 SELECT CAST(year(o_orderdate) AS INT) AS x, o_orderstatus AS series, count(*) AS y,
-       round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY year(o_orderdate)), 6) AS share
+       round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY CAST(year(o_orderdate) AS INT)), 6) AS share
 FROM orders GROUP BY 1, 2
 """)
 def order_status_composition(spark, folder):

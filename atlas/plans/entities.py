@@ -43,18 +43,19 @@ def entity_claims(entities: DataFrame) -> DataFrame:
         "qid", "prop_pos", "prop_id", "pos", "rank", "kind", "v.*")
 
 
-def resolve_ids(claims: DataFrame, names: DataFrame) -> DataFrame:
+def resolve_ids(claims: DataFrame, names: DataFrame, keep=stage) -> DataFrame:
     """Replace entity values by their names; values that have none vanish.
 
-    A few ids (a country, a gender) are the value of most claims, hence the
-    lookup that spreads hot keys.  Globes keep their id, if it is known.
+    A few ids (a country, a gender) are the value of most claims, and most claims
+    have no globe, hence the lookups that spread hot and missing keys.  Globes
+    keep their id, if it is known.
     """
     items = claims.where("item IS NOT NULL").drop("text")
     known = names.select(F.col("id").alias("item"), F.col("name").alias("text"))
     named = lookup(items, known, "item", ["qid", "prop_pos", "pos"], "inner")
-    globes = claims.where("globe IS NOT NULL").select("globe").distinct().join(
-        names.select(F.col("id").alias("globe")), "globe", "left_semi").withColumn("_known", F.lit(True))
-    plain = claims.where("item IS NULL").join(globes, "globe", "left").withColumn(
+    globes = keep(in_key_set(names.select(F.col("id").alias("globe")), "globe", claims.where(
+        "globe IS NOT NULL"), "globe").withColumn("_known", F.lit(True)), "globes")
+    plain = lookup(claims.where("item IS NULL"), globes, "globe", ["qid", "prop_pos", "pos"]).withColumn(
         "globe", F.when(F.col("_known"), F.col("globe"))).drop("_known")
     return plain.unionByName(named)
 
@@ -102,7 +103,7 @@ def entity_properties(entities: DataFrame, keep=stage) -> DataFrame:
     claims = keep(entity_claims(entities), "claims")
     linked = linked_entities(entities).select(F.col("wikidata_id").alias("qid"), "wikipedia_id")
     props = keep(property_names(claims, names), "props")
-    found = name_properties(best_rank(resolve_ids(claims, names)), props)
+    found = name_properties(best_rank(resolve_ids(claims, names, keep)), props)
     return found.join(linked, "qid").select(
         "qid", "wikipedia_id", "prop_name", "kind", "vals", "num", "lat", "lng", "globe", "altitude")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -16,6 +17,11 @@ DEFAULTS = {
 }
 
 
+@functools.cache
+def _local_root(_application: str) -> str:
+    return tempfile.mkdtemp(prefix="atlas-")
+
+
 def build_session(app: str = "atlas", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's defaults; ``conf`` entries win over them."""
     builder = SparkSession.builder.appName(app)
@@ -36,8 +42,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="atlas-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 

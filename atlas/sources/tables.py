@@ -94,7 +94,8 @@ def dim_infobox(spark: SparkSession) -> DataFrame:
 
 
 def _dimension(spark, lines, schema):
-    return spark.createDataFrame(list(fv.lookup_table(lines).items()), schema)
+    """A fixed table of fewer than 200 rows, marked for broadcast as it cannot grow."""
+    return F.broadcast(spark.createDataFrame(list(fv.lookup_table(lines).items()), schema))
 
 
 def dim_country_codes(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -103,7 +104,7 @@ def dim_country_codes(spark: SparkSession, path: str | None = None) -> DataFrame
         return spark.read.parquet(path).select("alpha2", "alpha3")
     locale = spark._jvm.java.util.Locale
     rows = [(code, locale("", code).getISO3Country()) for code in locale.getISOCountries()]
-    return spark.createDataFrame(rows, "alpha2 STRING, alpha3 STRING")
+    return F.broadcast(spark.createDataFrame(rows, "alpha2 STRING, alpha3 STRING"))
 
 
 def read_country_polygons(spark: SparkSession, path: str) -> DataFrame:
