@@ -10,7 +10,7 @@ weight in a text being its number of occurrences.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +30,8 @@ MATCH = "array<struct<item_id: long, start: long, words: long, similarity: doubl
 
 
 def hashes(text: str | None) -> np.ndarray:
-    """Hash of every word without punctuation around it; words of punctuation alone are left out."""
-    tokens = words(text)
+    """Hash of every lower-cased word without punctuation around it; words of punctuation alone are left out."""
+    tokens = words(text.lower()) if text else []
     known = {}
     for token in set(tokens):
         word = token.strip(PUNCTUATION)
@@ -65,7 +65,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], radius: int, similar: float, n: int):
         self.radius, self.similar, self.n = radius, similar, n
         self.edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.ids, self.weights, self.prints = [], [], []
+        self.ids, self.weights, self.prints, self.sizes_of = [], [], [], []
         self.sizes: dict[int, list[dict]] = {}
         shingled = []
         for item, text in items:
@@ -76,12 +76,19 @@ class Index:
             at, size = len(self.ids), len(words_of)
             self.ids.append(item)
             self.weights.append(weights(own))
+            self.sizes_of.append(size)
             self.prints.append(simhash(own, np.array([0]), len(own))[0])
             shingled.append(own)
             blocks = self.sizes.setdefault(size, [defaultdict(list) for _ in range(radius + 1)])
             for table, key in zip(blocks, self.keys(int(self.prints[-1]))):
                 table[key].append(at)
         self.prints = np.array(self.prints, np.uint64)
+        self.lengths = [sum(w.values()) for w in self.weights]
+        self.owners: dict[int, list[int]] = defaultdict(list)
+        for at, own in enumerate(self.weights):
+            for shingle in own:
+                self.owners[shingle].append(at)
+        self.widths = sorted({min(n, size) for size in self.sizes})
         self.known = np.unique(np.concatenate(shingled)) if shingled else np.array([], np.uint64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.known & np.uint64((1 << 20) - 1)] = True
@@ -93,7 +100,9 @@ class Index:
         """Which shingles occur in the benchmark."""
         maybe = self.seen[shingled & np.uint64((1 << 20) - 1)]
         at = np.flatnonzero(maybe)
-        maybe[at] = np.isin(shingled[at], self.known)
+        if len(at):
+            place = np.searchsorted(self.known, shingled[at])
+            maybe[at] = self.known[np.minimum(place, len(self.known) - 1)] == shingled[at]
         return maybe
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
@@ -102,14 +111,19 @@ class Index:
         if len(own) == 0:
             return []
         cache = {}
+        for width in self.widths:
+            shingled = shingles(own, width)
+            held = self.holds(shingled)
+            met = Counter(i for h in shingled[held].tolist() for i in self.owners[h])
+            # window sizes that some item's shingles could fill
+            sizes = {self.sizes_of[i] for i, n in met.items() if n >= self.similar * self.lengths[i] - 1e-9}
+            cache[width] = shingled, np.concatenate([[0], np.cumsum(held)]), sizes
         for size, blocks in self.sizes.items():
-            width = min(self.n, size)
-            if width not in cache:
-                shingled = shingles(own, width)
-                cache[width] = shingled, np.concatenate([[0], np.cumsum(self.holds(shingled))])
-            shingled, held = cache[width]
-            span = min(size - width + 1, len(shingled))
-            enough = np.flatnonzero(held[span:] - held[:-span] >= self.similar * (size - width + 1) - 1e-9)
+            shingled, held, sizes = cache[min(self.n, size)]
+            if size not in sizes:
+                continue
+            span = min(size - min(self.n, size) + 1, len(shingled))
+            enough = np.flatnonzero(held[span:] - held[:-span] >= self.similar * (size - min(self.n, size) + 1) - 1e-9)
             if len(enough):
                 self._compare(shingled, enough, span, min(size, len(own)), blocks, best)
         return [(self.ids[i], start, count, score) for i, (score, start, count) in sorted(best.items())]
@@ -141,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similar:
           n: int = WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``docs`` with ``leaks``, an array of (item_id, start, words, similarity): items found in the text.
 
-    Words are lower-cased (A-Z) and stripped of punctuation.  Per item the most similar window
+    Words are lower-cased and stripped of punctuation.  Per item the most similar window
     counts, of equal ones the first.  NULL and empty texts hold nothing; NULL or empty items are
     never found; items shorter than ``n`` words are one shingle of all their words; a document
     shorter than an item is compared as a whole.  Repeated rows and repeated items each count.  An

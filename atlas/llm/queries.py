@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlas.llm import decontaminate, lines, neighbours, packing, quality, toxicity, urls, wavelet
+from atlas.llm import decontaminate, jaccard, lines, neighbours, packing, quality, toxicity, urls, wavelet
 from atlas.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,12 @@ def op1_hilbert_neighbours(spark, folder):
     return neighbours.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+@query()
+def op3_fragment_join(spark, folder):
+    """Components of documents whose sets of three-word shingles are similar by 0.9."""
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 @query()
 def op4_simhash_leaks(spark, folder):
     """Benchmark items found in documents."""

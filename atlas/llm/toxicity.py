@@ -29,7 +29,7 @@ SAMPLE = 20_000
 #: Terms of the lexicon at most, and shortest and longest word beginning.
 TERMS, SHORT, LONG = 600, 4, 8
 #: A term must occur in so many toxic documents, and be toxic so often.
-SUPPORT, PRECISION = 3, 0.8
+SUPPORT, PRECISION = 3, 0.9
 VOTERS = 24
 STRIP = b".,!?:;\"'()[]$%#*&|-"
 
@@ -112,13 +112,13 @@ def lexicon(sample: DataFrame) -> list[tuple[bytes, int, int]]:
     schema = "term binary, toxic long, clean long"
     total = lambda df: df.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = stage(total(total(sample.mapInPandas(count, schema)).mapInPandas(widen, schema)), "terms")
-    # of all terms, fewer than one is to be toxic so often by chance
+    # so often that hardly one of all terms is by chance, even if each document had a copy or two
     n, toxic, clean = counts.agg(F.count("*"), F.sum("toxic"), F.sum("clean")).first()
     if not toxic:
         return []
-    least = SUPPORT if not clean else max(SUPPORT, math.ceil(math.log(n) / math.log((toxic + clean) / toxic)))
+    least = SUPPORT if not clean else max(SUPPORT, math.ceil(1.5 * math.log(n) / math.log((toxic + clean) / toxic)))
     best = (counts.where((F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-            .orderBy(F.desc(F.col("toxic") - 4 * F.col("clean")), F.length("term"), "term").limit(TERMS))
+            .orderBy(F.desc(F.col("toxic") - 9 * F.col("clean")), F.length("term"), "term").limit(TERMS))
     return standing({bytes(t): (a, b) for t, a, b in best.collect()})
 
 
