@@ -34,10 +34,35 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+class Hashes(dict):
+    """64-bit hashes of the tokens that a worker has met, at most ``LIMIT`` of them at a time.
+
+    ``strip`` bytes around a token don't count; a token of them alone has the hash 0.
+    """
+
+    LIMIT = 400_000
+
+    def __init__(self, strip: bytes = b""):
+        super().__init__()
+        self.strip = strip
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        word = token.strip(self.strip) if self.strip else token
+        found = self[token] = xxhash.xxh3_64_intdigest(word) if word else 0
+        return found
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+
+
+_hashes = Hashes()
+
+
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    """64-bit hash of every token; each distinct token is hashed once."""
-    known = {word: xxhash.xxh3_64_intdigest(word) for word in set(tokens)}
-    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    """64-bit hash of every token."""
+    return _hashes.of(tokens)
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlas.llm.common import mix, shingles, text_bytes, words
+from atlas.llm.common import Hashes, mix, shingles, text_bytes, words
 
 WORDS, SIMILAR, RADIUS = 5, 0.8, 15
 PUNCTUATION = b".,!?:;\"'()[]{}<>*_-"
@@ -29,14 +28,12 @@ PASS_BYTES = 8 << 20
 MATCH = "array<struct<item_id: long, start: long, words: long, similarity: double>>"
 
 
+_hashes = Hashes(PUNCTUATION)
+
+
 def hashes(text: str | None) -> np.ndarray:
     """Hash of every lower-cased word without punctuation around it; words of punctuation alone are left out."""
-    tokens = words(text.lower()) if text else []
-    known = {}
-    for token in set(tokens):
-        word = token.strip(PUNCTUATION)
-        known[token] = xxhash.xxh3_64_intdigest(word) if word else 0
-    out = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    out = _hashes.of(words(text.lower()) if text else [])
     return out[out != 0]
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlas.llm import decontaminate, jaccard, lines, neighbours, packing, quality, toxicity, urls, wavelet
+from atlas.llm import decontaminate, jaccard, language_model, lines, neighbours, packing, quality, toxicity, urls, wavelet
 from atlas.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,13 @@ def op1_hilbert_neighbours(spark, folder):
     return neighbours.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+@query()
+def op2_bloom_scores(spark, folder):
+    """Model and unigram scores of all documents."""
+    scored = language_model.score(table(spark, folder, "documents"), fold("doc_id") != 1)
+    return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op3_fragment_join(spark, folder):
     """Components of documents whose sets of three-word shingles are similar by 0.9."""
