@@ -319,14 +319,25 @@ def score(docs: DataFrame, learn, filter_bytes: int = FILTER_BYTES, common: int
             for at in range(0, len(frame), BATCH):
                 part = frame.iloc[at:at + BATCH]
                 own = [[*words(t), END] for t in part["text"]]
-                found = [Counter(x) for x in own]
-                known = [sum(n for w, n in c.items() if w in frequent) for c in found]
-                base = [sum(n * logs[w] for w, n in c.items() if w in logs) for c in found]
-                rare = [[w for w in c if w not in frequent] for c in found]
+                hashed = [word_hashes(x) for x in own]
+                every, sizes = np.concatenate(hashed), [len(x) for x in own]
+                starts = np.cumsum([0, *sizes[:-1]])
+                distinct, first, back = np.unique(every, return_index=True, return_inverse=True)
+                flat = [w for x in own for w in x]
+                named = [flat[i] for i in first.tolist()]
+                log = np.array([logs.get(w, np.nan) for w in named])
+                is_rare = np.isnan(log)
+                # words that are not common, once a document
+                at_rare = np.flatnonzero(is_rare[back])
+                doc = np.repeat(np.arange(len(own)), sizes)[at_rare]
+                pair, times = np.unique(doc * len(distinct) + back[at_rare], return_counts=True)
+                cuts = np.searchsorted(pair // len(distinct), np.arange(1, len(own)))
+                rare = [[named[i] for i in x.tolist()] for x in np.split(pair % len(distinct), cuts)]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": [len(x) for x in own], "known": known, "base": base,
-                    "score": scorer.score([word_hashes(x) for x in own]), "rare": rare,
-                    "times": [[c[w] for w in r] for r, c in zip(rare, found)]})
+                    "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": sizes,
+                    "known": np.add.reduceat(~is_rare[back], starts, dtype=np.int64),
+                    "base": np.add.reduceat(np.where(is_rare, 0, log)[back], starts),
+                    "score": scorer.score(hashed), "rare": rare, "times": np.split(times, cuts)})
 
     rows = stage(texts.mapInPandas(read, "doc_id long, n_tokens long, known long, base double, score double, "
                                          "rare array<binary>, times array<long>")
