@@ -95,7 +95,7 @@ def hot_key_lookup(spark, folder):
     items = load_table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").withColumn(
         "k", F.when(line == 1, None).when(line < 4, 1).otherwise(F.col("l_suppkey")))
     suppliers = load_table(spark, folder, "supplier", "s_suppkey", "s_nationkey").withColumn("k", F.col("s_suppkey"))
-    joined = joins.lookup(items, suppliers, "k", ["l_orderkey", "l_linenumber"], min_rows=1000)
+    joined = joins.lookup(items, suppliers, "k", ["l_orderkey", "l_linenumber"], min_rows=1000, salted=True)
     return joined.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.count("s_suppkey").alias("resolved"))
 
 
@@ -272,7 +272,7 @@ def url_tails(spark, folder):
 SELECT c_custkey, 'Customer' AS first_name, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE CAST(c_custkey AS INT) END AS number,
        lower(c_mktsegment) AS last_word, concat('customer no ', c_custkey) AS place,
        CASE WHEN c_custkey % 2 = 0 THEN 'Shops' END AS general,
-       CASE WHEN c_custkey % 3 = 0 THEN -CAST(1000 + c_custkey % 900 AS INT) ELSE CAST(1000 + c_custkey % 900 AS INT) END AS year
+       CASE WHEN c_custkey % 3 = 0 THEN -CAST(1000 + c_custkey * 7 AS INT) ELSE CAST(1000 + c_custkey * 7 AS INT) END AS year
 FROM customer
 """)
 def name_parts(spark, folder):
@@ -286,7 +286,7 @@ def name_parts(spark, folder):
         tx.place_key(F.concat(plain, F.lit(", Somewhere"))).alias("place"),
         tx.generalise(F.when(key % 2 == 0, F.concat(F.lit("Shops in "), "c_mktsegment")).otherwise("Shops")).alias("general"),
         tx.iso_year(F.concat(
-            F.when(key % 3 == 0, "-").otherwise("+"), F.lit(1000) + key % 900, F.lit("-01-01T00:00:00Z"))).alias("year"))
+            F.when(key % 3 == 0, "-").otherwise("+"), F.lit(1000) + key * 7, F.lit("-01-01T00:00:00Z"))).alias("year"))
 
 
 @query("""

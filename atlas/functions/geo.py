@@ -7,13 +7,14 @@ from pyspark.sql import Column, functions as F
 from atlas import fixed_values as fv
 from atlas.functions import text as tx
 
-_POINT = r"(?i)^Point\(([-0-9.]+)\s+([-0-9.]+)\)"
-
-
 def parse_point(text: Column) -> Column:
-    """``Point(lng lat)`` as ``struct<lat, lng>``; NULL when it does not match."""
-    lng = tx.to_double(F.regexp_extract(text, _POINT, 1))
-    lat = tx.to_double(F.regexp_extract(text, _POINT, 2))
+    """``Point(lng lat)`` as ``struct<lat, lng>``; NULL unless it holds two numbers."""
+    head = F.upper(F.trim(F.substring_index(text, "(", 1)))
+    body = F.trim(F.substring_index(F.substring_index(text, "(", -1), ")", 1))
+    parts = F.split(body, r"\s+")
+    shaped = (head == "POINT") & F.contains(text, F.lit(")")) & (F.size(parts) == 2)
+    lng = F.when(shaped, tx.to_double(F.get(parts, F.lit(0))))
+    lat = F.when(shaped, tx.to_double(F.get(parts, F.lit(1))))
     return F.when(lat.isNotNull() & lng.isNotNull(), F.struct(lat.alias("lat"), lng.alias("lng")))
 
 
@@ -22,10 +23,17 @@ def point(lng: Column, lat: Column) -> Column:
     return F.when(lng.isNotNull() & lat.isNotNull(), F.struct(lng.alias("lng"), lat.alias("lat")))
 
 
+def plain_number(value: Column) -> Column:
+    """A number as text without an exponent, 18 decimals at most."""
+    text = value.cast("string")
+    decimal = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.when(F.contains(text, F.lit("E")), decimal).otherwise(text)
+
+
 def point_text(pt: Column) -> Column:
-    """``POINT(lng lat)`` of a point value."""
+    """``POINT(lng lat)`` of a point value, in plain decimals that ``parse_point`` reads back."""
     return F.when(pt.isNotNull(), F.concat(
-        F.lit("POINT("), pt.lng.cast("string"), F.lit(" "), pt.lat.cast("string"), F.lit(")")))
+        F.lit("POINT("), plain_number(pt.lng), F.lit(" "), plain_number(pt.lat), F.lit(")")))
 
 
 def inside(rings: Column, lng: Column, lat: Column) -> Column:

@@ -33,13 +33,20 @@ def property_contains(properties: Column, wanted: dict) -> Column:
     """Document containment: every key is present with a matching value.
 
     A list matches a list that holds all of its members; a scalar matches an
-    equal scalar, never a list.
+    equal scalar of its kind, never a list; an object matches one that contains it.
     """
     tests = []
     for key, value in wanted.items():
-        if isinstance(value, (list, tuple, set)):
-            members = F.try_variant_get(properties, _path(key), "array<string>")
-            tests.append(array_contains_all(members, list(value)))
+        if isinstance(value, dict):
+            inner = F.try_variant_get(properties, _path(key), "variant")
+            tests.append(F.schema_of_variant(inner).startswith("OBJECT") & property_contains(inner, value))
+        elif isinstance(value, (list, tuple, set)):
+            numbers = bool(value) and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in value)
+            members = F.try_variant_get(properties, _path(key), "array<double>" if numbers else "array<string>")
+            tests.append(array_contains_all(members, [float(v) for v in value] if numbers else list(value)))
+        elif isinstance(value, bool):
+            shape = F.schema_of_variant(F.try_variant_get(properties, _path(key), "variant"))
+            tests.append((shape == "BOOLEAN") & (F.try_variant_get(properties, _path(key), "boolean") == F.lit(value)))
         else:
             shape = F.schema_of_variant(F.try_variant_get(properties, _path(key), "variant"))
             if isinstance(value, str):

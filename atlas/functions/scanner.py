@@ -23,13 +23,12 @@ _SCAN = pa.struct([
     ("templates", pa.list_(_TEMPLATE)), ("links", pa.list_(pa.string())), ("plain", pa.string()),
 ])
 
+_RAW = ("nowiki", "pre", "math", "source", "syntaxhighlight", "gallery", "timeline")
 _TOKEN = re.compile(
-    r"<!--.*?-->"
-    r"|<(?P<raw>nowiki|pre|math|source|syntaxhighlight|gallery|timeline)\b[^<>]*(?:/>|>.*?</(?P=raw)\s*>)"
-    r"|\{\{+|\}\}+|\[\[|\]\]|\||=",
-    re.DOTALL | re.IGNORECASE,
-)
-_INVISIBLE = {"math", "gallery", "timeline"}
+    rf"<!--|<(?P<raw>{'|'.join(_RAW)})\b[^<>]*>|\{{\{{+|\}}\}}+|\[\[|\]\]|\||=", re.IGNORECASE)
+_CLOSER = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in _RAW}
+_CLOSER["<!--"] = re.compile("-->")
+_INVISIBLE = {"math", "gallery", "timeline", "<!--"}
 _COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
 
 
@@ -79,16 +78,29 @@ def scan_text(text: str, wanted: tuple[str, ...] = ("",), with_plain: bool = Tru
 
     def close(kind):
         while stack[-1].kind != kind:
-            counts[stack.pop().kind] -= 1
+            # never closed, hence text: its bars and equals signs belong to what it stands in
+            left = stack.pop()
+            counts[left.kind] -= 1
+            stack[-1].bars += left.bars
+            stack[-1].equals += left.equals
         counts[kind] -= 1
         return stack.pop()
 
-    for match in _TOKEN.finditer(text):
-        token, at = match.group(), match.start()
+    unclosed, position = set(), 0
+    while match := _TOKEN.search(text, position):
+        token, at, position = match.group(), match.start(), match.end()
         head = token[0]
         if head == "<":
-            if (match["raw"] or "math").lower() in _INVISIBLE:
-                hidden.append((at, match.end()))
+            kind = (match["raw"] or "<!--").lower()
+            if not token.endswith("/>"):
+                # where one search finds no closer, no later one will
+                end = None if kind in unclosed else _CLOSER[kind].search(text, position)
+                if end is None:
+                    unclosed.add(kind)
+                    continue
+                position = end.end()
+            if kind in _INVISIBLE:
+                hidden.append((at, position))
         elif head == "{":
             run = len(token)
             while run >= 2:

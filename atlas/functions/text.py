@@ -50,9 +50,12 @@ def map_pipe_list(text: Column) -> Column:
     return F.array_join(F.transform(split_list(text), uri_tail), "|")
 
 
-def iso_year(text: Column) -> Column:
-    """Signed year from the first four characters after the sign."""
-    digits = F.regexp_extract(text, r"^[-+]*(.{1,4})", 1)
+def iso_year(text: Column, cut: bool = False) -> Column:
+    """Signed year: all digits before the first hyphen after the sign; NULL beyond 32 bits.
+
+    ``cut`` reads the first four characters after the sign only.
+    """
+    digits = F.regexp_extract(text, r"^[-+]*(.{1,4})" if cut else r"^[-+]*([^-]+)", 1)
     year = F.when(digits.rlike("^[0-9]+$"), digits.try_cast("int"))
     return F.when(F.startswith(text, F.lit("-")), -year).otherwise(year)
 

@@ -37,16 +37,18 @@ def drop_repeats(df: DataFrame, key: str, order: str, keep=stage) -> DataFrame:
     Repeated keys are found in a narrow pass and written down.  Rows that come
     after the first of their key are then dropped by an anti-join with that
     table, which Spark broadcasts if its size on disk allows, so that the wide
-    rows are not shuffled.  Only rows equal in key and order need a window.
+    rows are not shuffled.  Only rows equal in key and order need a window.  A NULL order comes last.
     """
     per_row = df.select(F.col(key).alias("_key"), F.col(order).alias("_order")).groupBy("_key", "_order").count()
     per_key = per_row.groupBy("_key").agg(
-        F.min(F.struct("_order", "count")).alias("_least"), F.sum("count").alias("_rows"))
+        F.min(F.struct(F.col("_order").isNull().alias("_last"), "_order", "count")).alias("_least"),
+        F.sum("count").alias("_rows"))
     repeated = keep(per_key.where("_rows > 1").select(
         "_key", "_least._order", (F.col("_least.count") > 1).alias("_tied")), "repeated")
     if repeated.isEmpty():
         return df
-    later = (df[key] == F.col("_key")) & (df[order] > F.col("_order"))
+    after = (df[order] > F.col("_order")) | (df[order].isNull() & F.col("_order").isNotNull())
+    later = (df[key] == F.col("_key")) & after
     first = df.join(repeated, later, "left_anti")
     tied = repeated.where("_tied").select("_key")
     if tied.isEmpty():

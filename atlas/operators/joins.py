@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from atlas.functions import geo
-
-HOT_KEYS = 1000
-SALTS = 64
-
+from atlas.session import stage
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the planner's own size estimate lets it broadcast the frame."""
@@ -23,35 +20,35 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def lookup(facts: DataFrame, dim: DataFrame, key: str, spread, how: str = "left",
-           min_rows: int = 100_000, salts: int = SALTS) -> DataFrame:
+           min_rows: int = 100_000, salted: bool | None = None) -> DataFrame:
     """Join ``facts`` to ``dim`` (unique on ``key``) when few keys may hold most facts.
 
     A dimension below the planner's broadcast limit is joined as it is: nothing is
     shuffled, so no key is hot.  Stage a dimension to have its size measured.
 
-    Beyond that limit, the at most 1000 most frequent keys with ``min_rows`` facts or more are found
-    by a pre-aggregated count.  Their facts are spread over ``salts`` buckets by
-    a hash of ``spread`` and their dimension rows repeated once per bucket.  Any
-    other key holds less than a thousandth of the facts.  Facts without a key
-    are spread too.
+    Beyond that limit, or where ``salted`` says so, keys with ``min_rows`` facts or more are found
+    by a pre-aggregated count.  Their facts are spread by a hash of ``spread`` over one bucket for
+    each ``min_rows`` of them, and their dimension rows repeated once per bucket.  Facts without a
+    key meet nothing: a left lookup adds them to the result without a shuffle.
     """
-    if fits_broadcast(dim):
+    if not salted and (salted is not None or fits_broadcast(dim)):
         return facts.join(dim, key, how)
     hot = (
         facts.where(F.col(key).isNotNull()).groupBy(key).count()
-        .where(F.col("count") >= min_rows)
-        .orderBy(F.col("count").desc(), F.col(key)).limit(HOT_KEYS)
-        .select(F.col(key).alias("_hot"))
+        .where(F.col("count") > min_rows)
+        .select(F.col(key).alias("_hot"), F.ceil(F.col("count") / min_rows).cast("int").alias("_buckets"))
     )
-    bucket = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    salted = facts.join(F.broadcast(hot), facts[key] == hot["_hot"], "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), bucket).otherwise(F.lit(0))
-    ).drop("_hot")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = dim.join(F.broadcast(hot), dim[key] == hot["_hot"], "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot").isNotNull(), every).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    hot = stage(hot, "hot")
+    keyed = facts.where(F.col(key).isNotNull())
+    bucket = F.pmod(F.xxhash64(*spread), F.col("_buckets")).cast("int")
+    spread_facts = keyed.join(hot, keyed[key] == hot["_hot"], "left").withColumn(
+        "_salt", F.coalesce(bucket, F.lit(0))).drop("_hot", "_buckets")
+    copies = dim.join(hot, dim[key] == hot["_hot"], "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_buckets", F.lit(1)) - 1))).drop("_hot", "_buckets")
+    joined = spread_facts.join(copies, [key, "_salt"], how).drop("_salt")
+    if how == "inner":
+        return joined
+    return joined.unionByName(facts.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def in_key_set(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
@@ -120,7 +117,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, size: f
     ``points`` has ``key``, ``lng``, ``lat``; ``polygons`` has ``poly_id``, ``rings``
     and attributes.  Points meet only polygons whose bounding box shares their
     grid cell, by an equi-join, and the exact test follows.  Of several hits the
-    polygon with the greatest ``poly_id`` wins.
+    polygon with the greatest ``poly_id`` wins.  Missing coordinates and those beyond
+    180 or 90 degrees lie in none.
     """
     attributes = [c for c in polygons.columns if c != "rings"]
     corners = F.flatten(F.col("rings"))
@@ -128,7 +126,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, size: f
     cells = polygons.select("poly_id", F.explode(_cells(
         F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), size)).alias("cell"))
     cells = cells.select("poly_id", "cell.cx", "cell.cy")
-    placed = points.where("lng IS NOT NULL AND lat IS NOT NULL").select(
+    on_globe = F.col("lng").between(-180, 180) & F.col("lat").between(-90, 90)
+    placed = points.where(on_globe).select(
         key, "lng", "lat",
         F.floor(F.col("lng") / size).cast("int").alias("cx"),
         F.floor(F.col("lat") / size).cast("int").alias("cy"))

@@ -4,7 +4,8 @@ PAGE_XML = """
     title STRING, ns INT, id LONG, redirect STRUCT<_title: STRING>,
     revision STRUCT<id: LONG, parentid: LONG, timestamp: STRING,
         contributor: STRUCT<username: STRING, id: LONG>, model: STRING, format: STRING,
-        text: STRUCT<_VALUE: STRING, `_xml:space`: STRING>, sha1: STRING>
+        text: STRUCT<_VALUE: STRING, `_xml:space`: STRING>, sha1: STRING>,
+    _corrupt_record STRING
 """
 
 PAGES = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from atlas import schemas
+from atlas.session import stage
 
 
 def read_pages(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
@@ -12,15 +13,18 @@ def read_pages(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
     The text source cuts the file after each closing page tag, so that one large
     dump is read by many tasks; the XML reader would give a file to one task.
-    A literal tag cannot occur inside a page, where it is escaped.
+    A literal tag cannot occur inside a page, where it is escaped.  Pages whose
+    XML does not parse are left out.  ``limit`` above 0 takes so many records;
+    they are written down first, so that several readers see the same ones.
     """
     end = "</page>"
     records = spark.read.text(path, lineSep=end).where(F.contains("value", F.lit("<page>")))
     if limit:
-        records = records.limit(limit)
+        records = stage(records.limit(limit), "records").repartition(spark.sparkContext.defaultParallelism)
     document = F.concat(F.regexp_replace("value", r"(?s)^.*?<page>", "<page>"), F.lit(end))
-    page = F.from_xml(document, F.lit(schemas.PAGE_XML), {"rowTag": "page", "ignoreSurroundingSpaces": "false"})
-    return records.select(page.alias("page")).select(
+    page = F.from_xml(document, F.lit(schemas.PAGE_XML), {
+        "rowTag": "page", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return records.select(page.alias("page")).where("page._corrupt_record IS NULL").select(
         F.col("page.title").alias("title"),
         F.col("page.id").alias("wiki_id"),
         F.col("page.revision.id").alias("revision_id"),

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
-from atlas.catalog.registry import run
+from atlas.catalog.registry import CHECKS, QUERIES, run
 from tests.compare import check_rows, database, spark_rows
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -16,10 +16,10 @@ def con():
     return database(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    sql = driver.oracle_sql().get(name)
-    got = spark_rows(driver.queries()[name](spark, FOLDER))
+    sql = CHECKS.get(name)
+    got = spark_rows(QUERIES[name](spark, FOLDER))
     if sql is None:
         assert got[1]
     else:

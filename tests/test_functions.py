@@ -1,10 +1,13 @@
 """Column functions on hand-made values."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from atlas import fixed_values as fv
 from atlas.functions import claims as cl, geo, markup as mk, predicates as pr, text as tx
+from atlas.functions import scanner
 from atlas.functions.scanner import scan_text
 
 
@@ -14,8 +17,8 @@ def one(spark, column, value, schema="v STRING"):
 
 
 @pytest.mark.parametrize("value, expected", [
-    ("something something dark", None), ("the streets of philadelpha", "the streets"),
-    ("paintings by dutch potato eaters", "paintings"), ("Cities in trouble", "Cities"),
+    ("quiet green valleys", None), ("the bridges of Lower Norda", "the bridges"),
+    ("songs by unknown singers", "songs"), ("Villages in winter", "Villages"),
     ("rivers of towns in Spain", "rivers"), ("in ", None), (None, None)])
 def test_generalise(spark, value, expected):
     assert one(spark, tx.generalise, value) == expected
@@ -37,7 +40,7 @@ def test_title_from_url(spark):
 
 @pytest.mark.parametrize("value, expected", [
     ("1950-01-02T00:00:00Z", 1950), ("-0044-03-15T00:00:00Z", -44), ("+2001-12-00T00:00:00Z", 2001),
-    ("12345-01-01", 1234), ("t123", None), ("", None), (None, None)])
+    ("12345-01-01", 12345), ("+18000-01-01T00:00:00Z", 18000), ("-13798000000-00-00T00:00:00Z", None), ("t123", None), ("", None), (None, None)])
 def test_iso_year(spark, value, expected):
     assert one(spark, tx.iso_year, value) == expected
 
@@ -85,8 +88,8 @@ def test_words(spark):
 
 
 @pytest.mark.parametrize("values, expected", [
-    (["38", "42", "N", "9", "11", "W"], (38.7, -9.183333)),
-    (["31", "35"], (31.0, 35.0)),
+    (["12", "45", "S", "77", "6", "W"], (-12.75, -77.1)),
+    (["48", "2"], (48.0, 2.0)),
     (["10", "30", "36", "S", "20", "E"], (-10.51, 20.0)),
     (["x", "35"], None), (["1", "2", "N"], (1 + 2 / 60, None)), ([], (None, None)), (["NS", "", "5d"], (None, None))])
 def test_parse_coordinates(spark, values, expected):
@@ -105,8 +108,8 @@ def page_coordinate(spark, text):
 
 
 @pytest.mark.parametrize("text, expected", [
-    ("{{coord|38|42|N|9|11|W|source:eswiki_type:country|display=title}}", (38.7, -9.183333)),
-    ("{{Coord|31|35|type:country|display=title}}", (31, 35)),
+    ("{{coord|12|45|S|77|6|W|region:XX|name=Port}}", (-12.75, -77.1)),
+    ("{{Coord|48|2|format=dms}}", (48, 2)),
     ("{{coord missing|x}} {{coord unknown}} {{cite|1|2}}", None),
     ("{{coord|0|0|N|0|0|E}} {{coor dms|1|2}}", (1, 2)),
     ("{{coor a|5|6|N}}{{coord|0|7}}", (0, 7)),
@@ -219,3 +222,37 @@ def test_array_predicates(spark):
     assert one(spark, lambda c: pr.array_contains_all(c, ["a", "d"]), ["b", "a"], arrays) is False
     assert one(spark, lambda c: pr.array_overlaps(c, ["z"]), ["b", None], arrays) is False
     assert one(spark, lambda c: pr.array_overlaps(c, ["b"]), ["b", None], arrays) is True
+
+
+def test_points_read_back(spark):
+    for lng, lat in ((-0.0005, 51.25), (1e-7, -3.0), (179.5, 0.00025)):
+        pair = spark.createDataFrame([(lng, lat)], "x DOUBLE, y DOUBLE").select(geo.point_text(geo.point(F.col("x"), F.col("y"))).alias("t"))
+        text = pair.first()["t"]
+        assert "E" not in text
+        back = one(spark, geo.parse_point, text)
+        assert (back.lng, back.lat) == (lng, lat)
+    assert one(spark, geo.parse_point, "Point(1e-3 2E1)").lat == 20.0
+
+
+def test_scanner_keeps_parameters_after_unclosed_brackets():
+    text = "{{Infobox person|name=[[Ann|birth_place=[[Town]]|note={{x|death_place=[[City]]}}"
+    got = scanner.scan_text(text)
+    names = [p["name"] for t in got["templates"] for p in t["params"]]
+    assert "birth_place" in names or "death_place" in names
+    outer = scanner.scan_text("{{Infobox person|name=[[Ann|birth_place=[[Town]]|death_place=[[City]]}}")["templates"][0]
+    assert [p["name"] for p in outer["params"]] == ["name", "birth_place", "death_place"]
+
+
+@pytest.mark.parametrize("opener", ["<!--", "<math>", "[[", "{{", "<pre>|="])
+def test_unclosed_openers_take_linear_time(opener):
+    start = time.perf_counter()
+    scanner.scan_text(opener * 200_000)
+    assert time.perf_counter() - start < 20
+
+
+def test_contains_by_kind(spark):
+    def holds(document, wanted):
+        return one(spark, lambda c: pr.property_contains(F.parse_json(c), wanted), document)
+    assert holds('{"a": true}', {"a": True}) and not holds('{"a": 1}', {"a": True}) and not holds('{"a": true}', {"a": 1})
+    assert holds('{"a": {"b": 1, "c": 2}}', {"a": {"b": 1}}) and not holds('{"a": {"b": 2}}', {"a": {"b": 1}})
+    assert holds('{"a": [1, 2, 3]}', {"a": [3, 1]}) and not holds('{"a": [1]}', {"a": [2]})

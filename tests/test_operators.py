@@ -80,7 +80,7 @@ def test_lookup_equals_a_plain_join(spark, no_broadcast, how):
     facts = spark.range(5000).select(
         "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 50).alias("k"))
     dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = joins.lookup(facts, dim, "k", ["id"], how, min_rows=100, salts=8)
+    got = joins.lookup(facts, dim, "k", ["id"], how, min_rows=100)
     assert sorted(map(str, rows(got.select("id", "k", "v")))) == sorted(map(str, rows(facts.join(dim, "k", how).select("id", "k", "v"))))
 
 
@@ -360,3 +360,16 @@ def test_persons_by_shuffles(spark, no_broadcast):
 
 def test_entity_documents_by_shuffles(spark, no_broadcast):
     test_entity_documents(spark)
+
+
+def test_repeats_with_missing_order_are_dropped(spark):
+    df = spark.createDataFrame([("a", None, "x"), ("a", 2, "y"), ("a", 1, "z"), ("b", None, "v")], "k STRING, n INT, v STRING")
+    assert sorted(r.v for r in dedupe.drop_repeats(df, "k", "n").collect()) == ["v", "z"]
+
+
+def test_points_off_the_globe_lie_nowhere(spark):
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 9e10, 5.0), (3, None, 1.0)], "id INT, lng DOUBLE, lat DOUBLE")
+    square = "array(array(struct(0D AS x, 0D AS y), struct(1D AS x, 0D AS y), struct(1D AS x, 1D AS y), struct(0D AS x, 1D AS y)))"
+    polygons = spark.sql(f"SELECT 7 AS poly_id, {square} AS rings")
+    got = joins.points_in_polygons(points, polygons, "id").orderBy("id").collect()
+    assert [r.poly_id for r in got] == [7, None, None]
