@@ -40,7 +40,7 @@ class Hashes(dict):
     ``strip`` bytes around a token don't count; a token of them alone has the hash 0.
     """
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, strip: bytes = b""):
         super().__init__()

@@ -15,7 +15,9 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks whose ids one worker remembers; the memory starts anew when it is full.
-CACHE = 800_000
+CACHE = 600_000
+#: Texts whose words are held at a time.
+BATCH = 200
 #: Ends of chunks that the tokenizer's own splitting always parts from a preceding letter.
 TAIL = b".,!?:;$%#*&|"
 
@@ -46,6 +48,10 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text, without special tokens; None is the empty text."""
+        texts = list(texts)
+        return [ids for at in range(0, len(texts), BATCH) for ids in self._batch(texts[at:at + BATCH])]
+
+    def _batch(self, texts: list[str | None]) -> list[np.ndarray]:
         chunks = [text.encode().lower().split() if text else [] for text in texts]
         distinct = set().union(*chunks)
         known = {chunk: ids for chunk in distinct if (ids := self.known.get(chunk)) is not None}
