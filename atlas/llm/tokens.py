@@ -1,8 +1,9 @@
 """Exact token ids of whole texts with a public tokenizer file, with each distinct word encoded once a worker.
 
 The tokenizer cuts texts at white space before anything else, so a text's ids are those of
-its white-space-separated chunks one after another.  A worker keeps the ids of chunks that it
-has met, up to ``CACHE`` of them, and encodes only new ones with the tokenizers library.
+its white-space-separated chunks one after another.  Arrow splits texts and numbers their chunks; a
+worker keeps the ids of chunks that it has met, up to ``CACHE`` of them, and encodes only new ones
+with the tokenizers library.
 """
 
 from __future__ import annotations
@@ -10,16 +11,20 @@ from __future__ import annotations
 import gc
 import os
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks whose ids one worker remembers; the memory starts anew when it is full.
-CACHE = 600_000
-#: Texts whose words are held at a time.
-BATCH = 200
+CACHE = 800_000
+#: Characters of texts whose words are held at a time, but for a longer single text.
+BATCH_CHARS = 4 << 20
 #: Ends of chunks that the tokenizer's own splitting always parts from a preceding letter.
-TAIL = b".,!?:;$%#*&|"
+TAIL = ".,!?:;$%#*&|"
+#: Texts that are not lower-cased beforehand: marks that combine with small letters only, special tokens.
+AS_GIVEN = "[\u0300-\u036f]|<\\|"
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -36,69 +41,98 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for lines of small ASCII letters, which need no normalizing.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         gc.freeze()
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text, without special tokens; None is the empty text."""
-        texts = list(texts)
-        return [ids for at in range(0, len(texts), BATCH) for ids in self._batch(texts[at:at + BATCH])]
+        return [ids for batch in _batches(texts) for ids in self._batch(batch)]
 
     def _batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        chunks = [text.encode().lower().split() if text else [] for text in texts]
-        distinct = set().union(*chunks)
-        known = {chunk: ids for chunk in distinct if (ids := self.known.get(chunk)) is not None}
-        if len(known) < len(distinct):
-            new = self._learn(distinct - known.keys())
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-            self.known.update(new)
-            known.update(new)
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in chunks]
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        given = pa.array(texts, pa.large_string())
+        given = pc.if_else(pc.match_substring_regex(given, AS_GIVEN), given, pc.ascii_lower(given))
+        lists = pc.ascii_split_whitespace(given)
+        chunks = lists.flatten().dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [chunk for chunk in distinct if chunk not in self.known]
+        if new:
+            self.known.update(self._learn(new))
+        parts = [self.known[chunk] for chunk in distinct]
+        if len(self.known) > CACHE:
+            self.known = dict(zip(distinct, parts))
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        order = chunks.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        place = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[order] - ends[:-1], sizes[order])
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return np.split(ids[place], ends[np.cumsum(counts)])[:-1]
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Encode chunks as a run of letters and the punctuation after it, or else whole."""
-        plain, odd, split = {}, {}, []
+        small, letters, odd, split = set(), set(), set(), []
+
+        def sort(part: str) -> None:
+            if part.isascii() and part.isalpha():
+                small.add(part)
+            else:
+                (letters if part.lower().isalpha() else odd).add(part)
+
         for chunk in chunks:
-            head = chunk.rstrip(TAIL)
-            text = head.decode()
-            if not head or not text[-1].lower().isalpha():
-                odd[chunk] = chunk.decode()
-                continue
-            (plain if text.lower().isalpha() else odd)[head] = text
-            if head != chunk:
+            head = chunk if chunk[-1:].isalpha() else chunk.rstrip(TAIL)
+            if head and len(head) < len(chunk) and head[-1].lower().isalpha():
                 tail = chunk[len(head):]
-                odd[tail] = tail.decode()
                 split.append((chunk, head, tail))
-        ids = self._plain(plain)
-        ids.update(self._each(odd))
+                for part in (head, tail):
+                    if part not in self.known:
+                        sort(part)
+            else:
+                sort(chunk)
+        found = self._lines(self.letters, list(small), [word.lower() for word in small])
+        found.update(self._lines(self.tokenizer, list(letters), list(letters)))
+        found.update(self._each(list(odd)))
         for chunk, head, tail in split:
-            ids[chunk] = ids[head] + ids[tail]
-        return ids
+            found[chunk] = (found.get(head) or self.known[head]) + (found.get(tail) or self.known[tail])
+        return found
 
-    def _each(self, texts: dict[bytes, str]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast(list(texts.values()), add_special_tokens=False)
-        return {chunk: np.array(x.ids, "<u4").tobytes() for chunk, x in zip(texts, found)}
+    def _each(self, chunks: list[str]) -> dict[str, bytes]:
+        done = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return {chunk: np.array(x.ids, "<u4").tobytes() for chunk, x in zip(chunks, done)}
 
-    def _plain(self, texts: dict[bytes, str]) -> dict[bytes, bytes]:
+    def _lines(self, tokenizer, chunks: list[str], forms: list[str]) -> dict[str, bytes]:
         """Words of letters only are encoded together; each ends at the piece that closes a word."""
-        if not texts:
+        if not chunks:
             return {}
-        joined = self.tokenizer.encode_batch_fast(["\n".join(texts.values())], add_special_tokens=False)[0]
+        joined = tokenizer.encode_batch_fast(["\n".join(forms)], add_special_tokens=False)[0]
         ids = np.array(joined.ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(texts) or stops[-1] != len(ids):
-            return self._each(texts)
+        if len(stops) != len(chunks) or stops[-1] != len(ids):
+            return self._each(chunks)
         data, stops = ids.tobytes(), (stops * 4).tolist()
-        return {chunk: data[a:b] for chunk, a, b in zip(texts, [0, *stops], stops)}
+        return {chunk: data[a:b] for chunk, a, b in zip(chunks, [0, *stops], stops)}
+
+
+def _batches(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= BATCH_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def crc(ids: np.ndarray) -> int:

@@ -45,24 +45,24 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, planes: int) -> "WaveletMatrix":
-        values, out = values.astype(np.uint32), []
+        values, out = values.astype(np.uint16 if planes <= 16 else np.uint32), []
         for shift in range(planes - 1, -1, -1):
-            bit = (values >> np.uint32(shift)).astype(np.uint8) & 1
-            out.append(np.packbits(bit, bitorder="little"))
-            high = bit.view(bool)
+            high = (values >> shift) & 1 == 1
+            out.append(np.packbits(high, bitorder="little"))
             values = np.concatenate([values[~high], values[high]])
         return cls(out, len(values))
 
     def values(self) -> np.ndarray:
-        """All values in order."""
-        order, out = np.arange(self.length), np.zeros(self.length, np.uint32)
-        for plane, zeros in zip(self.bits, self.zeros):
-            bit = np.unpackbits(plane, count=self.length, bitorder="little").astype(np.int64)
-            ones = np.cumsum(bit)
-            place = np.where(bit, zeros + ones - 1, np.arange(self.length) - ones)
-            out = (out << np.uint32(1)) | bit[order].astype(np.uint32)
-            order = place[order]
-        return out
+        """All values in order, from the lowest plane up: each puts its two halves back in place."""
+        kind = np.uint16 if len(self.bits) <= 16 else np.uint32
+        out = np.zeros(self.length, kind)
+        for shift, (plane, zeros) in enumerate(zip(reversed(self.bits), reversed(self.zeros))):
+            high = np.unpackbits(plane, count=self.length, bitorder="little").view(bool)
+            above = np.empty(self.length, kind)
+            above[~high] = out[:zeros]
+            above[high] = out[zeros:] | kind(1 << shift)
+            out = above
+        return out.astype(np.uint32)
 
     def rank(self, level: int, position: int) -> int:
         """Ones before ``position`` in a plane."""
