@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +77,19 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(33))
 
 
+def numbered(texts: Iterable[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts, the number of each word of all texts in order, and words of each text.
+
+    The words are those of ``words``: Arrow's ASCII white space is the same six characters.
+    """
+    given = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(given, ""), None, given))
+    chunks = lists.flatten().dictionary_encode()
+    distinct = chunks.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return distinct, chunks.indices.to_numpy().astype(np.int64), sizes
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` words, in text order; shorter texts give one for the whole, none for no words."""
     if len(hashes) == 0:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlas.llm.common import mix, word_hashes, words
+from atlas.llm.common import mix, numbered, word_hashes
 from atlas.session import stage
 
 #: The token after the last word; no word holds a space.
@@ -49,9 +49,10 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, counts, side="right").astype(np.int64)
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text and its end."""
-    return word_hashes([*words(text), END])
+def tokens(texts: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words and the end (last), the number of each token of all texts, tokens of each text."""
+    distinct, codes, sizes = numbered(texts)
+    return [*distinct, END], np.insert(codes, np.cumsum(sizes), len(distinct)), sizes + 1
 
 
 def gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -219,12 +220,12 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> tuple[Filter, Da
             return pd.DataFrame({"word": list(seen.keys()), "count": list(seen.values())})
 
         for frame in frames:
-            for text in frame["text"]:
-                seen.update(words(text))
-                seen[END] += 1
-            if len(seen) > 500_000:
-                yield flush()
-                seen.clear()
+            for at in range(0, len(frame), BATCH):
+                distinct, codes, _ = tokens(frame["text"].iloc[at:at + BATCH])
+                seen.update(dict(zip(distinct, np.bincount(codes, minlength=len(distinct)).tolist())))
+                if len(seen) > 500_000:
+                    yield flush()
+                    seen.clear()
         if seen:
             yield flush()
 
@@ -256,10 +257,10 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> tuple[Filter, Da
     shared = spark.sparkContext.broadcast(words_only)
 
     def pairs(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        every = [tokens(text) for text in texts]
-        before, after = (np.concatenate(x) for x in ([t[:-1] for t in every], [t[1:] for t in every]))
-        context, back = np.unique(before, return_inverse=True)
-        return gram(before, after), shared.value.level(context)[back]
+        distinct, codes, sizes = tokens(texts)
+        hashes, ends = word_hashes(distinct), np.cumsum(sizes)
+        before, after = np.delete(codes, ends - 1), np.delete(codes, ends - sizes)
+        return gram(hashes[before], hashes[after]), shared.value.level(hashes)[before]
 
     pair_pieces = pieces - word_pieces
     pairs_of = stage(total_counts(packets(docs, pairs, pair_pieces), 2), "pairs")
@@ -280,15 +281,17 @@ class Scorer:
         self.words = Filter(model.bits[:edge], model.repeat, model.total, model.distinct, model.unseen)
         self.pairs = Filter(model.bits[edge:], model.repeat, model.total, model.distinct, model.unseen)
 
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Of hashed texts; each position given the one before it, the first given nothing."""
-        every = np.concatenate(texts)
-        starts = np.cumsum([0, *map(len, texts[:-1])])
-        counts = self.words.count(every)
+    def score(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of texts given by hashes of distinct tokens, the number of each token, and where texts start.
+
+        Each position is given the one before it, the first of a text nothing.
+        """
+        counts = self.words.count(hashes)[codes]
         single = (counts + 0.5) * 2 * self.model.unseen
-        before, context = np.roll(every, 1), np.roll(counts, 1)
+        before, context = np.roll(codes, 1), np.roll(counts, 1)
         context[starts] = 0
-        seen = np.where(context > 1, self.pairs.count(gram(before, every)), 0)
+        seen, often = np.zeros(len(codes), np.int64), np.flatnonzero(context > 1)
+        seen[often] = self.pairs.count(gram(hashes[before[often]], hashes[codes[often]]))
         repeat = np.where(context > 0, self.model.repeat[level_of(context)], 0)
         # counts are read as the least that a level stands for, contexts as the least of the next
         room = np.where(context > 4, LEVELS[np.minimum(level_of(context), len(LEVELS) - 1)], np.maximum(context, 1))
@@ -318,26 +321,21 @@ def score(docs: DataFrame, learn, filter_bytes: int = FILTER_BYTES, common: int
         for frame in frames:
             for at in range(0, len(frame), BATCH):
                 part = frame.iloc[at:at + BATCH]
-                own = [[*words(t), END] for t in part["text"]]
-                hashed = [word_hashes(x) for x in own]
-                every, sizes = np.concatenate(hashed), [len(x) for x in own]
-                starts = np.cumsum([0, *sizes[:-1]])
-                distinct, first, back = np.unique(every, return_index=True, return_inverse=True)
-                flat = [w for x in own for w in x]
-                named = [flat[i] for i in first.tolist()]
+                named, back, sizes = tokens(part["text"])
+                starts = np.cumsum(sizes) - sizes
                 log = np.array([logs.get(w, np.nan) for w in named])
                 is_rare = np.isnan(log)
                 # words that are not common, once a document
                 at_rare = np.flatnonzero(is_rare[back])
-                doc = np.repeat(np.arange(len(own)), sizes)[at_rare]
-                pair, times = np.unique(doc * len(distinct) + back[at_rare], return_counts=True)
-                cuts = np.searchsorted(pair // len(distinct), np.arange(1, len(own)))
-                rare = [[named[i] for i in x.tolist()] for x in np.split(pair % len(distinct), cuts)]
+                doc = np.repeat(np.arange(len(part)), sizes)[at_rare]
+                pair, times = np.unique(doc * len(named) + back[at_rare], return_counts=True)
+                cuts = np.searchsorted(pair // len(named), np.arange(1, len(part)))
+                rare = [[named[i] for i in x.tolist()] for x in np.split(pair % len(named), cuts)]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": sizes,
                     "known": np.add.reduceat(~is_rare[back], starts, dtype=np.int64),
                     "base": np.add.reduceat(np.where(is_rare, 0, log)[back], starts),
-                    "score": scorer.score(hashed), "rare": rare, "times": np.split(times, cuts)})
+                    "score": scorer.score(word_hashes(named), back, starts), "rare": rare, "times": np.split(times, cuts)})
 
     rows = stage(texts.mapInPandas(read, "doc_id long, n_tokens long, known long, base double, score double, "
                                          "rare array<binary>, times array<long>")
