@@ -3,7 +3,7 @@
 N-gram counts are quantised to levels that grow by a constant ratio.  An n-gram of level q is put
 into a Bloom filter q times, with the numbers 1 to q; probing 1, 2, ... until one is missing reads
 the level back.  A wrong answer can only be too high, and rarely by more than one level.  The filter
-has a fixed size, is built in pieces by Spark and broadcast.
+has a size by the tokens of training, up to a limit, is built in pieces by Spark and broadcast.
 
 The model interpolates: each n-gram's share among those of its context, weighted by how often
 n-grams of contexts that frequent come again, and the rest by the next shorter n-gram.  Words never
@@ -30,8 +30,10 @@ from atlas.session import stage
 
 #: The token after the last word; no word holds a space.
 END = b" end"
-#: Bytes of the filter in all, and of a piece, in which all probes of an n-gram lie.
-FILTER_BYTES, PIECE_BYTES = 16 << 20, 1 << 16
+#: Least and most bytes of the filter, which grows in proportion to the tokens of training in between.
+FILTER_BYTES, FILTER_LIMIT, TOKEN_BYTES = 16 << 20, 512 << 20, 0.5
+#: Bytes of a piece, in which all probes of an n-gram lie.
+PIECE_BYTES = 1 << 16
 #: Probes for each number, bits for each entry, ratio of levels.
 PROBES, ENTRY_BITS, RATIO = 5, 9, 1.25
 #: Words whose counts are broadcast.
@@ -204,10 +206,11 @@ def statistics(frame: DataFrame, *names: str) -> list[np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> tuple[Filter, DataFrame]:
+def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, filter_limit: int = FILTER_LIMIT) -> tuple[Filter, DataFrame]:
     """The filter, and exact counts of all tokens (``word``, ``count``), of the texts of ``docs``.
 
-    A quarter of the filter is for words, the rest for pairs of words.  Pairs that occur once are
+    The filter has ``TOKEN_BYTES`` for each token, but ``filter_bytes`` at least and ``filter_limit`` at
+    most, which bounds what is broadcast.  A quarter of the filter is for words, the rest for pairs of words.  Pairs that occur once are
     not entered, as they say little; where the rest does not fit, the rarest of them are not, and
     such n-grams are estimated from shorter ones.
     """
@@ -245,7 +248,7 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> tuple[Filter, Da
     def gather(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"piece": part["piece"].iloc[:1], "keys": [b"".join(part["keys"])], "levels": [b"".join(part["levels"])]})
 
-    pieces = max(4, filter_bytes // PIECE_BYTES)
+    pieces = max(4, int(max(filter_bytes, min(filter_limit, total * TOKEN_BYTES))) // PIECE_BYTES)
     word_pieces = pieces // 4
     rows = counts.mapInPandas(hashed, "piece int, keys binary, levels binary, entries array<double>")
     words_of = rows.groupBy("piece").applyInPandas(gather, "piece int, keys binary, levels binary")
