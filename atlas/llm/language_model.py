@@ -3,7 +3,9 @@
 N-gram counts are quantised to levels that grow by a constant ratio.  An n-gram of level q is put
 into a Bloom filter q times, with the numbers 1 to q; probing 1, 2, ... until one is missing reads
 the level back.  A wrong answer can only be too high, and rarely by more than one level.  The filter
-has a size by the tokens of training, up to a limit, is built in pieces by Spark and broadcast.
+has room for all n-grams of training, whatever their number, and is built in pieces by Spark.  As
+many pieces as ``GROUP_BYTES`` holds are broadcast at a time: a filter beyond that takes a pass over
+the texts for each group of pieces, which notes the levels found there by position.
 
 The model interpolates: each n-gram's share among those of its context, weighted by how often
 n-grams of contexts that frequent come again, and the rest by the next shorter n-gram.  Words never
@@ -30,8 +32,10 @@ from atlas.session import stage
 
 #: The token after the last word; no word holds a space.
 END = b" end"
-#: Least and most bytes of the filter, which grows in proportion to the tokens of training in between.
-FILTER_BYTES, FILTER_LIMIT, TOKEN_BYTES = 16 << 20, 512 << 20, 0.5
+#: Least bytes of the filter, which grows with its entries, and bytes of it that are broadcast at a time.
+FILTER_BYTES, GROUP_BYTES = 16 << 20, 256 << 20
+#: Occurrences of n-grams that are counted together, on average.
+BUCKET_TOKENS = 1 << 20
 #: Bytes of a piece, in which all probes of an n-gram lie.
 PIECE_BYTES = 1 << 16
 #: Probes for each number, bits for each entry, ratio of levels.
@@ -64,34 +68,46 @@ def gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """Bits of the filter, and what is known of contexts by level."""
+    """Bits of a filter or of some pieces of it, and what is known of contexts by level."""
 
     bits: np.ndarray  # of bytes
     repeat: np.ndarray  # by level of the context's count: share of n-grams that come again
     total: int
     distinct: int
     unseen: float
+    first: int = 0  # piece that ``bits`` begins with
+    of: int = 0  # pieces of the whole filter; 0: ``bits`` is the whole
 
     def pieces(self) -> int:
-        return len(self.bits) // PIECE_BYTES
+        return self.of or len(self.bits) // PIECE_BYTES
+
+    def holds(self, grams: np.ndarray) -> np.ndarray:
+        """Which n-grams lie in the pieces at hand."""
+        piece = (grams % np.uint64(self.pieces())).astype(np.int64) - self.first
+        return (piece >= 0) & (piece < len(self.bits) // PIECE_BYTES)
 
     def level(self, grams: np.ndarray) -> np.ndarray:
-        """Levels read back by probing until a number is missing."""
+        """Levels read back by probing until a number is missing; 0 in pieces that are not at hand."""
         out = np.zeros(len(grams), np.int64)
-        active, number = np.arange(len(grams)), 1
+        active, number = np.flatnonzero(self.holds(grams)) if self.of else np.arange(len(grams)), 1
         while len(active) and number <= len(LEVELS):
             piece, places = probes(grams[active], number, self.pieces())
-            at = piece[:, None] * PIECE_BYTES + (places >> 3)
+            at = (piece - self.first)[:, None] * PIECE_BYTES + (places >> 3)
             hit = ((self.bits[at] >> (places & 7).astype(np.uint8)) & 1).all(1)
             active = active[hit]
             out[active] = number
             number += 1
         return out
 
-    def count(self, grams: np.ndarray) -> np.ndarray:
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """Levels of n-grams that may repeat."""
         found, back = np.unique(grams, return_inverse=True)
-        level = self.level(found)
-        return np.where(level > 0, LEVELS[np.maximum(level, 1) - 1], 0)[back]
+        return self.level(found)[back]
+
+
+def count_of(levels: np.ndarray) -> np.ndarray:
+    """Count that a level stands for; 0 for level 0."""
+    return np.where(levels > 0, LEVELS[np.maximum(levels, 1) - 1], 0)
 
 
 def probes(grams: np.ndarray, number: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +126,11 @@ def fill(piece_bits: np.ndarray, grams: np.ndarray, levels: np.ndarray, pieces:
         np.bitwise_or.at(piece_bits, (places >> 3).ravel(), (1 << (places & 7)).astype(np.uint8).ravel())
 
 
-def packets(docs: DataFrame, make, pieces: int) -> DataFrame:
-    """Counts of n-grams by piece of the filter: keys, counts, and level of the context, packed.
+def packets(docs: DataFrame, make, buckets: int) -> DataFrame:
+    """Counts of n-grams by bucket: keys, counts, and level of the context, packed.
 
     ``make`` turns a batch of texts into n-grams and the levels of their contexts.  A task sends one packet a
-    piece for every ``PACKET_TOKENS`` tokens, so what is shuffled grows with the text and a hot
+    bucket for every ``PACKET_TOKENS`` tokens, so what is shuffled grows with the text and a hot
     n-gram is counted once a packet.
     """
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,12 +140,12 @@ def packets(docs: DataFrame, make, pieces: int) -> DataFrame:
             grams, levels = (np.concatenate(x) for x in zip(*held))
             keys, first, counts = np.unique(grams, return_index=True, return_counts=True)
             levels = levels[first].astype(np.uint8)
-            piece = (keys % np.uint64(pieces)).astype(np.int64)
-            order = np.argsort(piece, kind="stable")
-            cuts = np.searchsorted(piece[order], np.arange(1, pieces))
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(1, buckets))
             parts = [np.split(x[order], cuts) for x in (keys, counts.astype(np.uint32), levels)]
-            rows = [(p, k.tobytes(), c.tobytes(), x.tobytes()) for p, (k, c, x) in enumerate(zip(*parts)) if len(k)]
-            return pd.DataFrame(rows, columns=["piece", "keys", "counts", "levels"])
+            rows = [(b, k.tobytes(), c.tobytes(), x.tobytes()) for b, (k, c, x) in enumerate(zip(*parts)) if len(k)]
+            return pd.DataFrame(rows, columns=["bucket", "keys", "counts", "levels"])
 
         for frame in frames:
             for at in range(0, len(frame), BATCH):
@@ -141,11 +157,11 @@ def packets(docs: DataFrame, make, pieces: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInPandas(count, "piece int, keys binary, counts binary, levels binary")
+    return docs.select("text").mapInPandas(count, "bucket int, keys binary, counts binary, levels binary")
 
 
 def merged(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, summed counts and context levels of packets of one piece."""
+    """Keys, summed counts and context levels of packets of one bucket."""
     keys = np.frombuffer(b"".join(part["keys"]), np.uint64)
     counts = np.frombuffer(b"".join(part["counts"]), np.uint32).astype(np.int64)
     levels = np.frombuffer(b"".join(part["levels"]), np.uint8)
@@ -153,45 +169,63 @@ def merged(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, np.bincount(back, counts, len(found)).astype(np.int64), levels[first]
 
 
-def total_counts(packed: DataFrame, least: int) -> DataFrame:
-    """A row for each piece: keys and counts from ``least`` on, and statistics.
+def total_counts(packed: DataFrame) -> DataFrame:
+    """A row for each bucket: keys and levels, and statistics.
 
     ``entries`` holds how many filter entries n-grams of each level make, ``tokens`` and ``once``
     occurrences and n-grams that occur once, by level of the context.
     """
     def add(part: pd.DataFrame) -> pd.DataFrame:
         keys, counts, context = merged(part)
-        kept = counts >= least
         levels = level_of(counts)
         size = len(LEVELS) + 1
         return pd.DataFrame({
-            "piece": part["piece"].iloc[:1], "keys": [keys[kept].tobytes()], "levels": [levels[kept].astype(np.uint8).tobytes()],
-            "entries": [np.bincount(levels[kept], levels[kept], size)], "tokens": [np.bincount(context, counts, size)],
+            "bucket": part["bucket"].iloc[:1], "keys": [keys.tobytes()], "levels": [levels.astype(np.uint8).tobytes()],
+            "entries": [np.bincount(levels, levels, size)], "tokens": [np.bincount(context, counts, size)],
             "once": [np.bincount(context, counts == 1, size)]})
 
-    return packed.groupBy("piece").applyInPandas(
-        add, "piece int, keys binary, levels binary, entries array<double>, tokens array<double>, once array<double>")
+    return packed.groupBy("bucket").applyInPandas(
+        add, "bucket int, keys binary, levels binary, entries array<double>, tokens array<double>, once array<double>")
+
 
+def buckets_for(least: int, occurrences: int) -> int:
+    return max(1, least, -(-occurrences // BUCKET_TOKENS))
 
-def cutoff(entries: np.ndarray, room: float) -> int:
-    """Least level to enter so that the entries have room; all levels if they do."""
-    left = np.cumsum(entries[::-1])[::-1]
-    return int(np.argmax(left <= room)) if (left <= room).any() else len(entries)
 
+def build(buckets_of: DataFrame, entries: np.ndarray, buckets: int) -> tuple[DataFrame, int]:
+    """``piece`` and ``bits`` of a filter with room for all entries, and its number of pieces.
+
+    Each bucket makes equally many pieces, at least one: n-grams of one piece are of one bucket.
+    """
+    share = max(1, math.ceil(entries.sum() * ENTRY_BITS / 8 / PIECE_BYTES / buckets))
+    pieces = buckets * share
 
-def build(pieces_of: DataFrame, least_level: int, pieces: int) -> np.ndarray:
-    """Bits of all pieces with the n-grams of at least a level; the result has the filter's fixed size."""
     def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for piece, keys, levels in zip(frame["piece"], frame["keys"], frame["levels"]):
-                bits = np.zeros(PIECE_BYTES, np.uint8)
+            for bucket, keys, levels in zip(frame["bucket"], frame["keys"], frame["levels"]):
                 grams, level = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64)
-                fill(bits, grams[level >= least_level], level[level >= least_level], pieces)
-                yield pd.DataFrame({"piece": [piece], "bits": [bits.tobytes()]})
+                piece = (grams % np.uint64(pieces)).astype(np.int64)
+                for k in range(bucket, pieces, buckets):
+                    bits = np.zeros(PIECE_BYTES, np.uint8)
+                    own = piece == k
+                    fill(bits, grams[own], level[own], pieces)
+                    yield pd.DataFrame({"piece": [k], "bits": [bits.tobytes()]})
+
+    made = buckets_of.select("bucket", "keys", "levels").mapInPandas(enter, "piece int, bits binary")
+    return stage(made, "filter"), pieces
 
-    out = np.zeros(pieces * PIECE_BYTES, np.uint8)
-    for piece, bits in pieces_of.select("piece", "keys", "levels").mapInPandas(enter, "piece int, bits binary").toLocalIterator():
-        out[piece * PIECE_BYTES:(piece + 1) * PIECE_BYTES] = np.frombuffer(bits, np.uint8)
+
+def groups(pieces: int, group_bytes: int) -> list[tuple[int, int]]:
+    """First piece of each group that is broadcast together, and the one after its last."""
+    size = max(1, group_bytes // PIECE_BYTES)
+    return [(k, min(k + size, pieces)) for k in range(0, pieces, size)]
+
+
+def read_pieces(made: DataFrame, first: int, end: int) -> np.ndarray:
+    """Bits of some pieces; buckets without n-grams have none."""
+    out = np.zeros((end - first) * PIECE_BYTES, np.uint8)
+    for piece, bits in made.where(F.col("piece").between(first, end - 1)).toLocalIterator():
+        out[(piece - first) * PIECE_BYTES:(piece - first + 1) * PIECE_BYTES] = np.frombuffer(bits, np.uint8)
     return out
 
 
@@ -206,13 +240,31 @@ def statistics(frame: DataFrame, *names: str) -> list[np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, filter_limit: int = FILTER_LIMIT) -> tuple[Filter, DataFrame]:
-    """The filter, and exact counts of all tokens (``word``, ``count``), of the texts of ``docs``.
+@dataclass
+class Model:
+    """The filter's two parts as tables of pieces, and what is known of contexts by level."""
+
+    words: DataFrame
+    word_pieces: int
+    pairs: DataFrame
+    pair_pieces: int
+    repeat: np.ndarray
+    total: int
+    distinct: int
+    unseen: float
 
-    The filter has ``TOKEN_BYTES`` for each token, but ``filter_bytes`` at least and ``filter_limit`` at
-    most, which bounds what is broadcast.  A quarter of the filter is for words, the rest for pairs of words.  Pairs that occur once are
-    not entered, as they say little; where the rest does not fit, the rarest of them are not, and
-    such n-grams are estimated from shorter ones.
+    def part(self, kind: str, first: int, end: int) -> Filter:
+        made, pieces = (self.words, self.word_pieces) if kind == "words" else (self.pairs, self.pair_pieces)
+        whole = (first, end) == (0, pieces)
+        return Filter(read_pieces(made, first, end), self.repeat, self.total, self.distinct, self.unseen, first, 0 if whole else pieces)
+
+
+def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, group_bytes: int = GROUP_BYTES) -> tuple[Model, DataFrame]:
+    """The model, and exact counts of all tokens (``word``, ``count``), of the texts of ``docs``.
+
+    All words and all pairs of words are entered, those that occur once too.  The filter has
+    ``filter_bytes`` at least.  Where its words exceed ``group_bytes``, pairs are counted in a pass
+    for each group of words that they begin with.
     """
     spark = docs.sparkSession
 
@@ -235,91 +287,155 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, filter_limit: int =
     counts = stage(docs.select("text").mapInPandas(tally, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
 
+    least = max(4, filter_bytes // PIECE_BYTES)
+    word_buckets, pair_buckets = buckets_for(least // 4, distinct), buckets_for(least - least // 4, total)
+
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keys = word_hashes(list(frame["word"]))
             levels = level_of(frame["count"].to_numpy(np.int64))
-            piece = (keys % np.uint64(word_pieces)).astype(np.int64)
-            for p in np.unique(piece):
-                own = piece == p
-                yield pd.DataFrame({"piece": [p], "keys": [keys[own].tobytes()], "levels": [levels[own].astype(np.uint8).tobytes()],
+            bucket = (keys % np.uint64(word_buckets)).astype(np.int64)
+            for b in np.unique(bucket):
+                own = bucket == b
+                yield pd.DataFrame({"bucket": [b], "keys": [keys[own].tobytes()], "levels": [levels[own].astype(np.uint8).tobytes()],
                                     "entries": [np.bincount(levels[own], levels[own], len(LEVELS) + 1)]})
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"piece": part["piece"].iloc[:1], "keys": [b"".join(part["keys"])], "levels": [b"".join(part["levels"])]})
+        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "keys": [b"".join(part["keys"])], "levels": [b"".join(part["levels"])]})
 
-    pieces = max(4, int(max(filter_bytes, min(filter_limit, total * TOKEN_BYTES))) // PIECE_BYTES)
-    word_pieces = pieces // 4
-    rows = counts.mapInPandas(hashed, "piece int, keys binary, levels binary, entries array<double>")
-    words_of = rows.groupBy("piece").applyInPandas(gather, "piece int, keys binary, levels binary")
+    rows = counts.mapInPandas(hashed, "bucket int, keys binary, levels binary, entries array<double>")
+    words_of = rows.groupBy("bucket").applyInPandas(gather, "bucket int, keys binary, levels binary")
     (entries,) = statistics(rows, "entries")
-    word_bits = build(words_of, cutoff(entries, word_pieces * PIECE_BYTES * 8 / ENTRY_BITS), word_pieces)
+    words, word_pieces = build(words_of, entries, word_buckets)
     unseen = 0.5 / (total + 0.5 * (distinct + 1))
-    size = len(LEVELS) + 1
-    words_only = Filter(word_bits, np.zeros(size), total, distinct, unseen)
-    shared = spark.sparkContext.broadcast(words_only)
-
-    def pairs(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        distinct, codes, sizes = tokens(texts)
-        hashes, ends = word_hashes(distinct), np.cumsum(sizes)
-        before, after = np.delete(codes, ends - 1), np.delete(codes, ends - sizes)
-        return gram(hashes[before], hashes[after]), shared.value.level(hashes)[before]
-
-    pair_pieces = pieces - word_pieces
-    pairs_of = stage(total_counts(packets(docs, pairs, pair_pieces), 2), "pairs")
+    model = Model(words, word_pieces, words, word_pieces, np.zeros(len(LEVELS) + 1), total, distinct, unseen)
+
+    def pairs_in(shared):
+        def pairs(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+            distinct, codes, sizes = tokens(texts)
+            hashes, ends = word_hashes(distinct), np.cumsum(sizes)
+            before, after = np.delete(codes, ends - 1), np.delete(codes, ends - sizes)
+            if shared.value.of:
+                own = shared.value.holds(hashes)[before]
+                before, after = before[own], after[own]
+            return gram(hashes[before], hashes[after]), shared.value.level(hashes)[before]
+        return pairs
+
+    parts = groups(word_pieces, group_bytes)
+    packed = None
+    for first, end in parts:
+        shared = spark.sparkContext.broadcast(model.part("words", first, end))
+        own = packets(docs, pairs_in(shared), pair_buckets)
+        if len(parts) > 1:
+            own = stage(own, "packets")
+            shared.unpersist()
+        packed = packed.union(own) if packed is not None else own
+    pairs_of = stage(total_counts(packed), "pairs")
     entries, seen, once = statistics(pairs_of, "entries", "tokens", "once")
-    least = cutoff(entries, pair_pieces * PIECE_BYTES * 8 / ENTRY_BITS)
-    pair_bits = build(pairs_of, max(least, 2), pair_pieces)
+    model.pairs, model.pair_pieces = build(pairs_of, entries, pair_buckets)
     # contexts of one level: the share of pairs that come again; levels without pairs have none
-    repeat = np.clip(1 - once / np.maximum(seen, 1), 0, 0.95)
-    return Filter(np.concatenate([word_bits, pair_bits]), repeat, total, distinct, unseen), counts
+    model.repeat = np.clip(1 - once / np.maximum(seen, 1), 0, 0.95)
+    return model, counts
 
 
 class Scorer:
-    """Log10 probability of texts from the filter's two parts."""
+    """Log10 probability of texts from levels of words and pairs."""
 
-    def __init__(self, model: Filter):
-        edge = max(1, model.pieces() // 4) * PIECE_BYTES
-        self.model = model
-        self.words = Filter(model.bits[:edge], model.repeat, model.total, model.distinct, model.unseen)
-        self.pairs = Filter(model.bits[edge:], model.repeat, model.total, model.distinct, model.unseen)
+    def __init__(self, repeat: np.ndarray, unseen: float):
+        self.repeat, self.unseen = repeat, unseen
 
-    def score(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of texts given by hashes of distinct tokens, the number of each token, and where texts start.
+    def score(self, words: np.ndarray, pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of texts given by levels of each token and of the pair that it ends, and where texts start.
 
         Each position is given the one before it, the first of a text nothing.
         """
-        counts = self.words.count(hashes)[codes]
-        single = (counts + 0.5) * 2 * self.model.unseen
-        before, context = np.roll(codes, 1), np.roll(counts, 1)
+        counts, seen = count_of(words), count_of(pairs)
+        single = (counts + 0.5) * 2 * self.unseen
+        context = np.roll(counts, 1)
         context[starts] = 0
-        seen, often = np.zeros(len(codes), np.int64), np.flatnonzero(context > 1)
-        seen[often] = self.pairs.count(gram(hashes[before[often]], hashes[codes[often]]))
-        repeat = np.where(context > 0, self.model.repeat[level_of(context)], 0)
+        repeat = np.where(context > 0, self.repeat[level_of(context)], 0)
         # counts are read as the least that a level stands for, contexts as the least of the next
         room = np.where(context > 4, LEVELS[np.minimum(level_of(context), len(LEVELS) - 1)], np.maximum(context, 1))
         chance = repeat * np.minimum(seen / room, 1) + (1 - repeat) * single
         return np.add.reduceat(np.log10(chance), starts)
 
 
-def score(docs: DataFrame, learn, filter_bytes: int = FILTER_BYTES, common: int = COMMON) -> DataFrame:
+def levels_at(part: Filter, kind: str, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """Level of each token's word, or of the pair that it ends, as far as it lies in the pieces at hand.
+
+    Texts are given by hashes of distinct tokens and the number of each token.  With levels of
+    ``words``, pairs after words that occur once are left out: nothing comes again after these.
+    """
+    if kind == "words":
+        return part.level(hashes)[codes]
+    asked = np.ones(len(codes), bool) if words is None else np.roll(words, 1) > 1
+    asked[starts] = False
+    at, out = np.flatnonzero(asked), np.zeros(len(codes), np.int64)
+    out[at] = part.levels(gram(hashes[codes[at - 1]], hashes[codes[at]]))
+    return out
+
+
+def scores_by_group(texts: DataFrame, model: Model, group_bytes: int) -> DataFrame:
+    """``_i`` and ``score`` of texts with row numbers ``i``, by a pass for each group of pieces."""
+    def search(shared, kind: str):
+        def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for at in range(0, len(frame), BATCH):
+                    part = frame.iloc[at:at + BATCH]
+                    named, codes, sizes = tokens(part["text"])
+                    cuts = np.cumsum(sizes)
+                    level = levels_at(shared.value, kind, word_hashes(named), codes, cuts - sizes).astype(np.uint8)
+                    yield pd.DataFrame({"i": part["i"].array, "kind": kind, "levels": [x.tobytes() for x in np.split(level, cuts[:-1])]})
+        return probe
+
+    noted = None
+    for kind, pieces in (("words", model.word_pieces), ("pairs", model.pair_pieces)):
+        for first, end in groups(pieces, group_bytes):
+            shared = texts.sparkSession.sparkContext.broadcast(model.part(kind, first, end))
+            own = stage(texts.select("i", "text").mapInPandas(search(shared, kind), "i long, kind string, levels binary"), "levels")
+            shared.unpersist()
+            noted = noted.union(own) if noted is not None else own
+    repeat, unseen = model.repeat, model.unseen
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(repeat, unseen)
+        for frame in frames:
+            # every position lies in one group, elsewhere it is 0
+            whole = {k: [np.maximum.reduce([np.frombuffer(x, np.uint8) for x in parts]) for parts in frame[k]] for k in ("words", "pairs")}
+            sizes = np.array([len(x) for x in whole["words"]], np.int64)
+            if len(sizes):
+                words, pairs = (np.concatenate(whole[k]).astype(np.int64) for k in ("words", "pairs"))
+                yield pd.DataFrame({"_i": frame["i"].array, "score": scorer.score(words, pairs, np.cumsum(sizes) - sizes)})
+
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("levels"))).alias(kind)
+    return noted.groupBy("i").agg(of("words"), of("pairs")).mapInPandas(finish, "_i long, score double")
+
+
+def score(docs: DataFrame, learn, filter_bytes: int = FILTER_BYTES, common: int = COMMON, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Scores of every document from the texts that ``learn`` (a condition) lets the model learn from.
 
     ``doc_id``, ``n_tokens`` (words and one end), ``n_known`` (seen in training), ``train_tokens``,
     ``base_score`` (unigrams, one half added) and ``score`` (the model), both log10.  A NULL text is
     empty.  Each row is a document of its own, whatever its id.  Without training texts all words
-    are unseen.  An empty table gives no rows; other columns are ignored.
+    are unseen.  An empty table gives no rows; other columns are ignored.  A filter beyond
+    ``group_bytes`` gives the same scores in several passes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model, counts = train(texts.where(learn), filter_bytes)
+    model, counts = train(texts.where(learn), filter_bytes, group_bytes)
+    at_once = (model.word_pieces + model.pair_pieces) * PIECE_BYTES <= group_bytes
+    whole = (model.part("words", 0, model.word_pieces), model.part("pairs", 0, model.pair_pieces)) if at_once else None
+    texts = texts.withColumn("i", F.monotonically_increasing_id())
+    if not at_once:
+        texts = stage(texts, "texts")
     top = counts.orderBy(F.desc("count"), "word").limit(common).collect()
-    shared = spark.sparkContext.broadcast((model, {bytes(w): c for w, c in top}))
+    shared = spark.sparkContext.broadcast((whole, {bytes(w): c for w, c in top}))
+    repeat, unseen = model.repeat, model.unseen
     log_total = math.log10(model.total + 0.5 * (model.distinct + 1))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, frequent = shared.value
-        scorer = Scorer(model)
+        whole, frequent = shared.value
+        scorer = Scorer(repeat, unseen)
         logs = {w: math.log10(c + 0.5) for w, c in frequent.items()}
         for frame in frames:
             for at in range(0, len(frame), BATCH):
@@ -334,15 +450,20 @@ def score(docs: DataFrame, learn, filter_bytes: int = FILTER_BYTES, common: int
                 pair, times = np.unique(doc * len(named) + back[at_rare], return_counts=True)
                 cuts = np.searchsorted(pair // len(named), np.arange(1, len(part)))
                 rare = [[named[i] for i in x.tolist()] for x in np.split(pair % len(named), cuts)]
+                if whole:
+                    hashes = word_hashes(named)
+                    levels = levels_at(whole[0], "words", hashes, back, starts)
+                    found = scorer.score(levels, levels_at(whole[1], "pairs", hashes, back, starts, levels), starts)
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": sizes,
+                    "i": part["i"].array, "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": sizes,
                     "known": np.add.reduceat(~is_rare[back], starts, dtype=np.int64),
                     "base": np.add.reduceat(np.where(is_rare, 0, log)[back], starts),
-                    "score": scorer.score(word_hashes(named), back, starts), "rare": rare, "times": np.split(times, cuts)})
+                    "score": found if whole else np.nan, "rare": rare, "times": np.split(times, cuts)})
 
-    rows = stage(texts.mapInPandas(read, "doc_id long, n_tokens long, known long, base double, score double, "
-                                         "rare array<binary>, times array<long>")
-                 .withColumn("i", F.monotonically_increasing_id()), "scored")
+    rows = stage(texts.mapInPandas(read, "i long, doc_id long, n_tokens long, known long, base double, score double, "
+                                         "rare array<binary>, times array<long>"), "scored")
+    if not at_once:
+        rows = rows.drop("score").join(scores_by_group(texts, model, group_bytes), F.col("i") == F.col("_i")).drop("_i")
     pairs = rows.select("i", F.posexplode("rare").alias("at", "word"), "times").select(
         "i", "word", F.get("times", F.col("at")).alias("n"))
     met = (pairs.join(counts, "word").groupBy("i").agg(

@@ -261,3 +261,24 @@ def test_without_labels_nothing_is_rejected(spark):
     assert toxicity.toxic(table, none).where("is_toxic").count() == 0
     assert quality.score(table, quality.fit(table, none)).where("quality_score < 0.3").count() == 0
     assert toxicity.toxic(table.limit(0), labels).count() == 0
+
+
+def test_language_model_holds_all_pairs_in_groups_of_pieces(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 400) if k < 100_000)) for i in range(150)] + [(150, None), (150, "w1 w2")]
+    table = docs(spark, rows)
+    model, _ = language_model.train(table, 1 << 16)
+    pairs = model.part("pairs", 0, model.pair_pieces)
+    counts = collections.Counter()
+    for _, text in rows:
+        codes = language_model.word_hashes([*(text or "").encode().split(), language_model.END])
+        counts.update(language_model.gram(codes[:-1], codes[1:]).tolist())
+    level = language_model.level_of(np.array(list(counts.values())))
+    read = pairs.level(np.array(list(counts), np.uint64))
+    assert (level == 1).sum() > 1000 and (read >= level).all() and (read == level).mean() > 0.95
+    at_once = language_model.score(table, F.lit(True), 1 << 16)
+    by_group = language_model.score(table, F.lit(True), 1 << 16, group_bytes=1 << 16)
+    key = lambda r: (r.doc_id, r.n_tokens, r.score)
+    for a, b in zip(sorted(at_once.collect(), key=key), sorted(by_group.collect(), key=key), strict=True):
+        assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
+        assert a.score == pytest.approx(b.score) and a.base_score == pytest.approx(b.base_score)
