@@ -2,7 +2,8 @@
 
 Vectors are projected to a few dimensions in several random ways, each with its own shift, and laid
 along a Hilbert curve.  Spark range-partitions the curves; on each, a query looks at the vectors
-whose keys come shortly before and after its own.  The best of all windows, by one-byte copies of
+whose keys come shortly before and after its own.  Positions along whole curves tell which blocks of
+a curve the window meets, and the query is sent to each of them.  The best of all windows, by one-byte copies of
 the vectors, merge and are ranked anew by the exact inner product of the original vectors.
 
 Largest inner product is made a nearest-neighbour question first: candidates get one more
@@ -11,10 +12,12 @@ coordinate that lifts all of them to the largest norm, and queries are scaled to
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from atlas.session import stage
 CURVES, DIMENSIONS, BITS = 32, 12, 5
 #: Keys on either side of a query: a fixed number and a share of all distinct vectors.
 NEAR, SHARE = 64, 0.009
-#: Rows of curves in one task.
+#: Rows of curves in one block.
 TASK_ROWS = 150_000
 SEED = 20
 
@@ -109,7 +112,7 @@ def search(vectors: DataFrame, asks, k: int = 20, id_col: str = "vec_id", column
     nearest of anything; no other id of theirs could.  An empty table gives no rows.
 
     Work and recall grow with ``curves`` and the window of ``near`` keys plus ``share`` of all
-    distinct vectors on either side.  A window ends where a task's part of the curve does.
+    distinct vectors on either side.  A window ends only where its curve does.
     """
     rows, kind, width = valid(vectors, id_col, column)
     rows = stage(rows, "vectors")
@@ -134,8 +137,6 @@ def search(vectors: DataFrame, asks, k: int = 20, id_col: str = "vec_id", column
                 x = unpack(part["v"], kind, width)
                 lengths = np.sqrt((x ** 2).sum(1))
                 lift = np.sqrt(np.maximum(most ** 2 - lengths ** 2, 0))
-                scale = 127 / np.abs(x).max(1)
-                small = [b.tobytes() for b in np.rint(x * scale[:, None]).astype(np.int8)]
                 asking = np.flatnonzero(part["asked"].to_numpy(bool))
                 point = part["point"].to_numpy()
                 own = np.column_stack([x - centre, lift])
@@ -145,37 +146,72 @@ def search(vectors: DataFrame, asks, k: int = 20, id_col: str = "vec_id", column
                         if len(who):
                             unit = data @ plane / (6 * deviation) + 0.5 + shift
                             cells = np.clip(unit * (1 << BITS), 0, (1 << BITS) - 1)
-                            yield pd.DataFrame({"curve": np.int32(c), "key": hilbert(cells, BITS), "asks": is_query,
-                                                "point": point[who], "scale": scale[who].astype(np.float32), "small": [small[i] for i in who]})
-
-    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [f for f in frames if len(f)]
-        if not frames:
-            return
-        every = pd.concat(frames, ignore_index=True)
-        for _, part in every.groupby("curve", sort=False):
-            asking = part["asks"].to_numpy(bool)
-            here, wanted = part[~asking], part[asking]
-            if not len(here) or not len(wanted):
-                continue
-            data = (np.frombuffer(b"".join(here["small"]), np.int8).reshape(len(here), -1).astype(np.float32)
-                    / here["scale"].to_numpy(np.float32)[:, None])
-            ids = here["point"].to_numpy()
-            position = np.cumsum(~asking)[asking]  # candidates before the query
-            found = []
-            for p, who, small, scale in zip(position.tolist(), wanted["point"].tolist(), wanted["small"], wanted["scale"]):
-                low, high = max(0, p - reach), min(len(ids), p + reach)
-                score = data[low:high] @ (np.frombuffer(small, np.int8).astype(np.float32) / np.float32(scale))
-                best = np.argpartition(-score, 2 * k)[:2 * k] if len(score) > 2 * k else np.arange(len(score))
-                found.append((np.full(len(best), who), ids[low + best], score[best]))
-            query, candidate, score = (np.concatenate(x) for x in zip(*found))
-            yield pd.DataFrame({"query": query, "point": candidate, "score": score})
+                            yield pd.DataFrame({"curve": np.int32(c), "key": hilbert(cells, BITS), "asks": is_query, "point": point[who]})
+
+    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Candidates of the curve before each row in its block."""
+        block, before = TaskContext.get().partitionId(), Counter()
+        for frame in frames:
+            for c, part in frame.groupby("curve", sort=False):
+                candidate = (~part["asks"].to_numpy(bool)).astype(np.int64)
+                at = before[c] + np.cumsum(candidate) - candidate
+                before[c] += int(candidate.sum())
+                yield pd.DataFrame({"curve": part["curve"], "block": np.int32(block), "low": at, "high": at, "asks": part["asks"], "point": part["point"]})
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Part of each query's window in every block that it meets."""
+        for frame in frames:
+            for c, part in frame.groupby("curve", sort=False):
+                blocks, starts = borders.value[c]
+                at = starts[np.searchsorted(blocks, part["block"])] + part["low"].to_numpy()
+                low, high = np.maximum(at - reach, 0), np.minimum(at + reach, starts[-1])
+                first, last = np.searchsorted(starts, low, side="right") - 1, np.searchsorted(starts, high, side="left")
+                times = np.maximum(last - first, 0)
+                row = np.repeat(np.arange(len(part)), times)
+                to = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                yield pd.DataFrame({"curve": np.int32(c), "block": blocks[to].astype(np.int32), "low": np.maximum(low[row], starts[to]) - starts[to],
+                                    "high": np.minimum(high[row], starts[to + 1]) - starts[to], "asks": True, "point": part["point"].to_numpy()[row]})
+
+    def shorten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One-byte copies of vectors."""
+        for frame in frames:
+            for at in range(0, len(frame), 2000):
+                part = frame.iloc[at:at + 2000]
+                x = unpack(part["v"], kind, width)
+                scale = 127 / np.abs(x).max(1)
+                small = [b.tobytes() for b in np.rint(x * scale[:, None]).astype(np.int8)]
+                yield pd.DataFrame({"point": part["point"], "scale": scale.astype(np.float32), "small": small})
+
+    def look(part: pd.DataFrame) -> pd.DataFrame:
+        asking = part["asks"].to_numpy(bool)
+        here, wanted = part[~asking].sort_values("low"), part[asking]
+        if not len(here) or not len(wanted):
+            return pd.DataFrame({"query": [], "point": [], "score": []})
+        data = (np.frombuffer(b"".join(here["small"]), np.int8).reshape(len(here), -1).astype(np.float32)
+                / here["scale"].to_numpy(np.float32)[:, None])
+        ids = here["point"].to_numpy()
+        found = []
+        for low, high, who, small, scale in zip(*(wanted[c].tolist() for c in ("low", "high", "point", "small", "scale"))):
+            score = data[low:high] @ (np.frombuffer(small, np.int8).astype(np.float32) / np.float32(scale))
+            best = np.argpartition(-score, 2 * k)[:2 * k] if len(score) > 2 * k else np.arange(len(score))
+            found.append((np.full(len(best), who), ids[low + best], score[best]))
+        query, candidate, score = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"query": query, "point": candidate, "score": score})
 
     tasks = max(1, -(-count * curves // TASK_ROWS))
-    laid = points.select("point", "v", "asked").mapInPandas(
-        lay, "curve int, key long, asks boolean, point long, scale float, small binary")
-    seen = (laid.repartitionByRange(tasks, "curve", "key", "point").sortWithinPartitions("curve", "key", "point")
-            .mapInPandas(look, "query long, point long, score float"))
+    laid = points.select("point", "v", "asked").mapInPandas(lay, "curve int, key long, asks boolean, point long")
+    placed = "curve int, block int, low long, high long, asks boolean, point long"
+    order = stage(laid.repartitionByRange(tasks, "curve", "key", "point").sortWithinPartitions("curve", "key", "point")
+                  .mapInPandas(number, placed), "order")
+    sizes = defaultdict(list)
+    for c, block, n in order.groupBy("curve", "block").agg(F.sum((~F.col("asks")).cast("long"))).orderBy("curve", "block").collect():
+        sizes[c].append((block, n))
+    borders = spark.sparkContext.broadcast({
+        c: (np.array([b for b, _ in own]), np.cumsum([0, *[n for _, n in own]])) for c, own in sizes.items()})
+    copies = points.select("point", "v").mapInPandas(shorten, "point long, scale float, small binary")
+    asking = order.where("asks").mapInPandas(route, placed)
+    seen = (order.where("NOT asks").unionByName(asking).join(copies, "point").groupBy("curve", "block")
+            .applyInPandas(look, "query long, point long, score float"))
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "point")
     merged = (seen.groupBy("query", "point").agg(F.max("score").alias("score"))
               .withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= 3 * k).select("query", "point"))

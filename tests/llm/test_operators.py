@@ -282,3 +282,18 @@ def test_language_model_holds_all_pairs_in_groups_of_pieces(spark):
     for a, b in zip(sorted(at_once.collect(), key=key), sorted(by_group.collect(), key=key), strict=True):
         assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
         assert a.score == pytest.approx(b.score) and a.base_score == pytest.approx(b.base_score)
+
+
+def test_windows_cross_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(600, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    recall = []
+    for rows in (600 * 8, 100):  # one block in all, and 48 blocks of fewer rows than a window
+        monkeypatch.setattr(neighbours, "TASK_ROWS", rows)
+        got = collections.defaultdict(set)
+        for r in neighbours.search(table, lambda i: i % 20 == 0, curves=8).collect():
+            got[r.query_id].add(r.vec_id)
+        hits = [len(got[q] & {i for i in np.argsort(-vectors @ vectors[q])[:21].tolist() if i != q}) for q in range(0, 600, 20)]
+        recall.append(np.mean(hits) / 20)
+    assert recall[1] >= recall[0] > 0.5
