@@ -3,8 +3,8 @@
 URLs that the rules accept or reject train one variable-order Markov model each.  A model predicts
 a character from up to ``order`` characters before it, and backs off to shorter contexts with the
 weight of characters that are new there (Witten-Bell), down to equal chances for all bytes.  A URL
-is judged by the difference of its log-likelihoods, divided by its length, against a threshold set
-on all URLs that the rules have judged.
+is judged, whole and with A-Z lower-cased, by the difference of its log-likelihoods, divided by its
+length, against a threshold set on all URLs that the rules have judged.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ Rule = tuple[str, str, str]
 #: URLs of either verdict that train the models, those of smallest hash; bounds model and broadcast.
 SAMPLE = 4000
 ORDER = 4
-#: Bytes of one URL that the models read while they learn; scoring reads all.
-LEARN_BYTES = 2000
 END = 256
 BINS = 2000
 
@@ -84,21 +82,21 @@ class Markov:
 def judge(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, order: int = ORDER) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and the model's ``ratio`` of every row.
 
-    A NULL url, or one without ``://``, has an empty host and path and is judged as an empty text.
+    A NULL url is judged as an empty text.  It and one without ``://`` have an empty host and path.
     Where the rules leave one side without examples there is no ratio to learn; every ratio is then 0
     and URLs without a rule get the verdict of the side that has examples, ``allow`` if none has.
     Repeated rows are judged alike.  An empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     host, path = split_url(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    url = lower_ascii(F.coalesce("url", F.lit("")))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), url.alias("text"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "by_rule": verdict})
-    text = F.concat("host", "path")
 
     def learn(outcome: str) -> Markov | None:
-        chosen = (rows.where(F.col("by_rule") == outcome).select(F.encode(text, "UTF-8").alias("t")).distinct()
-                  .orderBy(F.xxhash64("t"), "t").limit(sample).select(F.substring("t", 1, LEARN_BYTES)).collect())
+        chosen = (rows.where(F.col("by_rule") == outcome).select(F.encode("text", "UTF-8").alias("t")).distinct()
+                  .orderBy(F.xxhash64("t"), "t").limit(sample).collect())
         return Markov([bytes(r[0]) for r in chosen], order) if chosen else None
 
     accept, reject = learn("allow"), learn("block")
@@ -115,7 +113,7 @@ def judge(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, order: int
             found = {t: (good.score(b) - bad.score(b)) / (len(b) + 1) for t in part.unique() for b in [t.encode()]}
             yield part.map(found).astype("float64")
 
-    rows = rows.withColumn("ratio", ratio(text))
+    rows = rows.withColumn("ratio", ratio("text"))
     limit = threshold(rows)
     return rows.select("page_id", "host", "path", "rule", F.coalesce(
         "by_rule", F.when(F.col("ratio") >= limit, "allow").otherwise("block")).alias("verdict"), "ratio")

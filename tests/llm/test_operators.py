@@ -297,3 +297,14 @@ def test_windows_cross_blocks(spark, monkeypatch):
         hits = [len(got[q] & {i for i in np.argsort(-vectors @ vectors[q])[:21].tolist() if i != q}) for q in range(0, 600, 20)]
         recall.append(np.mean(hits) / 20)
     assert recall[1] >= recall[0] > 0.5
+
+
+def test_url_models_read_whole_urls(spark):
+    rows = [(i, f"http://good.org/{i}?k=aaaa#top") for i in range(20)] + [(100 + i, f"http://b.com/de/{i}?k=zzzz#end") for i in range(20)]
+    rows += [(200, "http://q.net/p?k=aaaa"), (201, "http://q.net/p?k=zzzz"), (202, "q.net/p?k=aaaa"), (203, "q.net/p?k=zzzz"),
+             (204, "HTTP://q.net/p?k=AAAA"), (205, None)]
+    rows += [(300, "http://good.org/" + "m" * 3000 + "?qwqwqw"), (301, "q.net/qwqwqw"), (302, "q.net/vjvjvj")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id LONG, url STRING"), URL_RULES).collect()}
+    assert got[200].ratio > got[201].ratio and got[202].ratio > got[203].ratio and got[204].ratio == got[200].ratio
+    assert got[301].ratio > got[302].ratio
+    assert (got[202].host, got[202].path) == ("", "") and (got[204].host, got[204].path) == ("q.net", "/p")
