@@ -5,7 +5,8 @@ the benchmark's shingles to be similar to any item need no fingerprint; the othe
 SimHash of their five-word shingles.  Item fingerprints are indexed by ``RADIUS + 1`` blocks of
 bits: two fingerprints within the radius agree in a block at least, so the index finds them all.
 Each candidate is then verified by the exact weighted Jaccard similarity of shingles, a shingle's
-weight in a text being its number of occurrences.
+weight in a text being its number of occurrences.  Windows that hold enough of an item's shingles to
+be similar to it, but whose fingerprint is not within the radius, are verified alike.
 """
 
 from __future__ import annotations
@@ -81,6 +82,7 @@ class Index:
                 table[key].append(at)
         self.prints = np.array(self.prints, np.uint64)
         self.lengths = [sum(w.values()) for w in self.weights]
+        self.shingles = [np.array(list(w), np.uint64) for w in self.weights]
         self.owners: dict[int, list[int]] = defaultdict(list)
         for at, own in enumerate(self.weights):
             for shingle in own:
@@ -112,8 +114,11 @@ class Index:
             shingled = shingles(own, width)
             held = self.holds(shingled)
             met = Counter(i for h in shingled[held].tolist() for i in self.owners[h])
-            # window sizes that some item's shingles could fill
-            sizes = {self.sizes_of[i] for i, n in met.items() if n >= self.similar * self.lengths[i] - 1e-9}
+            # items, by window size, whose shingles could fill a window
+            sizes = defaultdict(list)
+            for i, n in met.items():
+                if n >= self.similar * self.lengths[i] - 1e-9:
+                    sizes[self.sizes_of[i]].append(i)
             cache[width] = shingled, np.concatenate([[0], np.cumsum(held)]), sizes
         for size, blocks in self.sizes.items():
             shingled, held, sizes = cache[min(self.n, size)]
@@ -122,13 +127,19 @@ class Index:
             span = min(size - min(self.n, size) + 1, len(shingled))
             enough = np.flatnonzero(held[span:] - held[:-span] >= self.similar * (size - min(self.n, size) + 1) - 1e-9)
             if len(enough):
-                self._compare(shingled, enough, span, min(size, len(own)), blocks, best)
+                self._compare(shingled, enough, span, min(size, len(own)), blocks, sizes[size], best)
         return [(self.ids[i], start, count, score) for i, (score, start, count) in sorted(best.items())]
 
-    def _compare(self, shingled, starts, span, size, blocks, best) -> None:
+    def _compare(self, shingled, starts, span, size, blocks, items, best) -> None:
+        # by window, items of which it holds enough: no similar pair holds less
+        enough: dict[int, set[int]] = defaultdict(set)
+        for i in items:
+            held = np.concatenate([[0], np.cumsum(np.isin(shingled, self.shingles[i]))])
+            for start in starts[held[starts + span] - held[starts] >= self.similar * self.lengths[i] - 1e-9].tolist():
+                enough[start].add(i)
         for start, fingerprint in zip(starts.tolist(), simhash(shingled, starts, span).tolist()):
             found = {i for table, key in zip(blocks, self.keys(fingerprint)) for i in table.get(key, ())}
-            near = [i for i in found if (int(self.prints[i]) ^ fingerprint).bit_count() <= self.radius]
+            near = {i for i in found if (int(self.prints[i]) ^ fingerprint).bit_count() <= self.radius} | enough.get(start, set())
             if near:
                 window = weights(shingled[start:start + span])
                 for i in near:

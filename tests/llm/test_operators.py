@@ -308,3 +308,33 @@ def test_url_models_read_whole_urls(spark):
     assert got[200].ratio > got[201].ratio and got[202].ratio > got[203].ratio and got[204].ratio == got[200].ratio
     assert got[301].ratio > got[302].ratio
     assert (got[202].host, got[202].path) == ("", "") and (got[204].host, got[204].path) == ("q.net", "/p")
+
+
+def test_leaks_with_repeated_shingles():
+    def bag(words):
+        return collections.Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+    items, texts = [], []
+    for g in range(30):
+        own = [f"u{g}n{i}" for i in range(89)]
+        items.append((g, own + ["x"] * 15))
+        texts.append(["before"] * 3 + own + ["x"] * 4 + [f"y{g}n{i}" for i in range(14)])  # 0.802
+        plain = [f"p{g}n{i}" for i in range(104)]
+        items.append((100 + g, plain))
+        texts.append(plain[:94 - g % 4] + [f"z{g}n{i}" for i in range(20)])  # about 0.8
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in items], decontaminate.RADIUS, 0.8, 5)
+    found = 0
+    for text in texts:
+        want = {}
+        for i, words in items:
+            b = bag(words)
+            scores = []
+            for at in range(len(text) - len(words) + 1):
+                a = bag(text[at:at + len(words)])
+                both = sum((a & b).values())
+                scores.append(both / (sum(a.values()) + sum(b.values()) - both))
+            if scores and max(scores) >= 0.8:
+                want[i] = (scores.index(max(scores)), round(max(scores), 9))
+        found += len(want)
+        assert {m[0]: (m[1], round(m[3], 9)) for m in index.matches(" ".join(text))} == want
+    assert found >= 45
