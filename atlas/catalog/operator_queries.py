@@ -320,6 +320,16 @@ def times_and_quantities(spark, folder):
         F.when(amount == 0, 0.0).otherwise(number).alias("amount"))
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(nullif(o_custkey, 0) AS DOUBLE) END AS amount FROM orders
+""")
+def quantities_without_zero(spark, folder):
+    """Quantities as the operator gives them: a zero is none."""
+    amount = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey"))
+    number = cl.claim_value(F.lit("quantity"), F.concat(F.lit('{"amount":"+'), amount, F.lit('"}')))["num"]
+    return load_table(spark, folder, "orders", "o_orderkey", "o_custkey").select("o_orderkey", number.alias("amount"))
+
+
 @query("""
 SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END * (c_custkey % 80 + (c_custkey % 60) / 60.0), 6) AS lat,
        round(c_nationkey + 30 / 60.0 + 36 / 3600.0, 6) AS lng

@@ -108,6 +108,26 @@ def label_import(spark, folder):
     return sinks.upsert_labels(have, fetched, "label", f"{scratch_dir(spark)}/labels")
 
 
+@query(f"""
+{_PERSON_SQL},
+needed AS (SELECT unnest([gender_qid, manner_of_death_qid, pob_qid, pod_qid]
+             || coalesce(string_split(occupation_qids, '|'), []) || coalesce(string_split(field_qids, '|'), [])) AS qid FROM ps)
+SELECT s AS qid, min(o) AS label FROM t
+WHERE p = 'label' AND lang = 'en' AND s IN (SELECT qid FROM needed) AND s NOT LIKE 'QN1%'
+GROUP BY 1
+UNION ALL
+SELECT concat('QN', n_nationkey), 'old label' FROM nation WHERE CAST(n_nationkey AS VARCHAR) LIKE '1%'
+""")
+def person_label_import(spark, folder):
+    """Labels of all ids that imported persons refer to and that have none yet, upserted into the label table."""
+    triples = _triples(spark, folder)
+    have = tables.load_table(spark, folder, "nation", "n_nationkey").select(
+        F.concat(F.lit("QN"), "n_nationkey").alias("qid"), F.lit("old label").alias("label")
+    ).where("qid LIKE 'QN1%'")
+    fetched = ps.fetch_labels(triples, ps.missing_labels(ps.persons(triples), have))
+    return sinks.upsert_labels(have, fetched, "label", f"{scratch_dir(spark)}/labels")
+
+
 @query(f"""
 WITH t AS MATERIALIZED ({_TIDY})
 SELECT s AS qid, min(o) AS label FROM t WHERE p = 'label' AND lang = 'en' GROUP BY 1
@@ -245,6 +265,21 @@ def progress_ledger(spark, folder):
     return done.select("bucket", "row_count")
 
 
+@query("""
+SELECT CAST(year_born AS VARCHAR) AS bucket, count(*) AS row_count FROM [PERSONS] p GROUP BY 1
+UNION ALL
+SELECT CAST(1600 + 400 * r_regionkey AS VARCHAR), -1 FROM region
+WHERE 1600 + 400 * r_regionkey NOT IN (SELECT year_born FROM [PERSONS] p)
+""")
+def progress_replaced(spark, folder):
+    """Row counts of all birth years over a ledger that holds some of them already."""
+    ledger = tables.load_table(spark, folder, "region", "r_regionkey").select(
+        (1600 + 400 * F.col("r_regionkey")).cast("string").alias("bucket"),
+        F.lit("2020-01-01").cast("timestamp").alias("imported_at"), F.lit(-1).cast("long").alias("row_count"))
+    done = sinks.record_progress(ledger, inputs.persons(spark, folder), F.col("year_born"), f"{scratch_dir(spark)}/ledger")
+    return done.select("bucket", "row_count")
+
+
 @query("""
 SELECT CAST(y AS INT) AS year, CAST(y AS VARCHAR) AS bucket FROM range(1400, 2101) r(y)
 WHERE y NOT IN (SELECT year_born FROM [PERSONS] p)

@@ -373,3 +373,10 @@ def test_points_off_the_globe_lie_nowhere(spark):
     polygons = spark.sql(f"SELECT 7 AS poly_id, {square} AS rings")
     got = joins.points_in_polygons(points, polygons, "id").orderBy("id").collect()
     assert [r.poly_id for r in got] == [7, None, None]
+
+
+def test_quantities_keep_the_zero_rule(spark, tmp_path):
+    from atlas.catalog.registry import run
+    spark.sql("SELECT 2L AS o_orderkey, 0L AS o_custkey UNION ALL SELECT 4L, 7L").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.amount for r in run("quantities_without_zero", spark, str(tmp_path)).collect()}
+    assert got == {2: None, 4: 7.0}
