@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlas.llm import decontaminate, jaccard, language_model, lines, neighbours, packing, quality, toxicity, urls, wavelet
-from atlas.llm.common import fold, table
+from atlas.llm import (decontaminate, jaccard, language_model, lines, merkle, neighbours, packing, quality, ranking, substrings,
+                       toxicity, urls, wavelet)
+from atlas.llm.common import fold, lower_ascii, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -116,3 +117,124 @@ def op10_toxicity(spark, folder):
     scored = toxicity.toxic(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("toxicity").alias("score"),
                          F.col("is_toxic").cast("int").alias("predicted"))
+
+
+OP11 = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), '') AS name,
+         [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS given FROM documents),
+heads AS (
+  SELECT doc_id, source, text, name,
+         array_to_string([CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END FOR x IN given], '') AS head FROM fields),
+crcs AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS crc FROM heads),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' ||
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered FROM crcs),
+low(level, source, pos, n, h) AS (
+  SELECT 0, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1, count(*) OVER (PARTITION BY source), leaf FROM leaves
+  UNION ALL
+  SELECT level + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM low WHERE n > 1 GROUP BY level, source, pos // 16, n),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place, count(*) OVER () AS many FROM low WHERE n = 1),
+high(level, pos, n, h) AS (
+  SELECT 0, place, many, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM high WHERE n > 1 GROUP BY level, pos // 16, n),
+sides AS (
+  SELECT 0 AS tree, level, source, pos, array_to_string(own[1:pos % 16], '') AS l, array_to_string(own[pos % 16 + 2:], '') AS r
+  FROM (SELECT *, list(h) OVER (PARTITION BY level, source, pos // 16 ORDER BY pos
+          ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS own FROM low WHERE n > 1)
+  UNION ALL
+  SELECT 1, level, NULL, pos, array_to_string(own[1:pos % 16], ''), array_to_string(own[pos % 16 + 2:], '')
+  FROM (SELECT *, list(h) OVER (PARTITION BY level, pos // 16 ORDER BY pos
+          ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS own FROM high WHERE n > 1)),
+starts AS (
+  SELECT doc_id, source, leaf, coalesce(tampered, leaf) AS seen,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+climb(doc_id, source, leaf, tree, level, pos, n, h, siblings) AS (
+  SELECT doc_id, source, leaf, 0, 0, pos, n, seen, '' FROM starts
+  UNION ALL
+  SELECT c.doc_id, c.source, c.leaf, CASE WHEN c.n = 1 THEN 1 ELSE c.tree END, CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+         CASE WHEN c.n = 1 THEN s.place ELSE c.pos // 16 END, CASE WHEN c.n = 1 THEN s.many ELSE (c.n + 15) // 16 END,
+         CASE WHEN c.n = 1 THEN c.h ELSE sha256(x.l || c.h || x.r) END,
+         c.siblings || CASE WHEN c.n = 1 THEN '' ELSE x.l || x.r END
+  FROM climb c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source
+  LEFT JOIN sides x ON c.n > 1 AND x.tree = c.tree AND x.level = c.level AND x.pos = c.pos
+    AND (c.tree = 1 OR x.source IS NOT DISTINCT FROM c.source)
+  WHERE NOT (c.tree = 1 AND c.n = 1))
+SELECT c.doc_id, c.leaf, s.subroot, t.h AS root, sha256(c.siblings) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+FROM climb c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source CROSS JOIN (SELECT h FROM high WHERE n = 1) t
+WHERE c.tree = 1 AND c.n = 1
+"""
+
+
+@query(OP11)
+def op11_lag_manifest(spark, folder):
+    """Hashes and proofs of all documents, checked against a copy in which some texts are lower-cased."""
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    seen = F.when(tampered, merkle.leaf(*fields, lower_ascii(F.col("text"))))
+    done = merkle.manifest(docs, [*fields, F.col("text")], F.col("source"), F.col("doc_id"), seen=seen)
+    return done.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+                       merkle.folded(F.coalesce("seen", "leaf"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+OP12 = r"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+terms AS (SELECT doc_id, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM found),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM sizes),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, whole GROUP BY term, docs),
+short AS (SELECT doc_id, 10 + (90 * n * docs) // len AS m FROM sizes, whole),
+wanted AS (
+  SELECT DISTINCT item_id, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN short USING (doc_id) GROUP BY ALL),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query(OP12)
+def op12_interval_search(spark, folder):
+    """The ten best documents for every benchmark item."""
+    return ranking.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP13 = r"""
+WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(50)) AS i FROM windows JOIN firsts USING (h) WHERE least < doc_id),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(OP13)
+def op13_doubled_windows(spark, folder):
+    """Documents without words of 50-word windows that an earlier document holds."""
+    done = substrings.cleaned(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
