@@ -135,18 +135,19 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text")
     found = stage(anchors(keyed, length), "anchors")
+    # sums are written before they are joined, so that Spark can split a hot key of the join
     again = found.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
-    held = stage(found.join(again, "gram"), "held")
+    held = stage(found.join(stage(again, "again"), "gram"), "held")
     spans = stage(held.groupBy("gram", "span").agg(F.min(F.struct("doc_id", "row", "low", "many")).alias("at"))
                   .select("gram", "span", F.col("at.doc_id").alias("first"), "at"), "spans")
     differing = spans.groupBy("gram").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("gram")
-    wanted = (spans.join(differing, "gram").groupBy("at.doc_id", "at.row")
+    wanted = (spans.join(stage(differing, "differing"), "gram").groupBy("at.doc_id", "at.row")
               .agg(F.collect_list(F.struct("gram", "span", "at.low", "at.many")).alias("wanted")))
     windows = stage(long_windows(keyed.join(wanted, ["doc_id", "row"]), length).distinct(), "windows")
     earliest = windows.groupBy("gram", "window").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
-    masks = (windows.join(earliest.select("gram", "window", "least"), ["gram", "window"]).where("least < first")
+    masks = (windows.join(stage(earliest.select("gram", "window", "least"), "earliest"), ["gram", "window"]).where("least < first")
              .groupBy("gram", "span").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
-    judged = spans.select("gram", "span", "first").join(masks, ["gram", "span"], "left")
+    judged = stage(spans.select("gram", "span", "first").join(masks, ["gram", "span"], "left"), "judged")
     gone = (held.join(judged, ["gram", "span"])
             .withColumn("mask", F.when(F.col("doc_id") > F.col("first"), F.expr("shiftleft(1L, many) - 1")).otherwise(F.col("mask"))).where("mask <> 0"))
     return gone.groupBy("doc_id", "row").agg(F.flatten(F.collect_set(F.array("low", "mask"))).alias("spans"))
