@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from atlas.catalog import inputs
 from atlas.catalog.registry import query
 from atlas.functions import predicates as pr
+from atlas.operators import property_values as pv
 from atlas.plans import entities as en
 from atlas.session import scratch_dir, stage
-from atlas.sources import dumps
+from atlas.sources import dumps, tables
 
 
 def _entities(spark, folder):
@@ -146,6 +147,33 @@ def entity_properties(spark, folder):
     return long.withColumn("vals", F.array_join("vals", "|")).drop("kind")
 
 
+def _repeating_dump(spark, folder):
+    """The dump with a third of its lines once more as they are, and once more without their article."""
+    lines = spark.read.text(inputs.entity_dump(spark, folder))
+    again = lines.where(F.crc32(F.col("value").cast("binary")) % 3 == 0)
+    bare = again.select(F.regexp_replace("value", r'"sitelinks":\{"enwiki":\{[^}]*\}\}', '"sitelinks":{}').alias("value"))
+    path = f"{scratch_dir(spark)}/repeating-dump"
+    lines.unionByName(again).unionByName(bare).write.text(path)
+    return path
+
+
+@query(f"""
+SELECT qid, wikipedia_id, prop_name, vals, num, lat, lng, globe, altitude
+FROM ({_LONG.replace('p.globe_named', "CASE WHEN p.globe_named IS NOT NULL AND 'Q3' IN (SELECT id FROM (" + _NAMES + ") q) THEN 'Q3' END")}) t
+""")
+def entity_properties_of_repeats(spark, folder):
+    """Properties from a dump in which ids repeat."""
+    entities = stage(dumps.read_entities(spark, _repeating_dump(spark, folder)), "entities")
+    return en.entity_properties(entities).withColumn("vals", F.array_join("vals", "|")).drop("kind")
+
+
+def _stored(spark, folder):
+    """The entity table and the property table beside it."""
+    root = scratch_dir(spark)
+    table = en.import_entities(spark, inputs.entity_dump(spark, folder), f"{root}/entities", f"{root}/values")
+    return table, spark.read.parquet(f"{root}/values")
+
+
 def _table(spark, folder):
     """The entity table, imported from the dump."""
     return en.import_entities(spark, inputs.entity_dump(spark, folder), f"{scratch_dir(spark)}/entities")
@@ -193,6 +221,48 @@ def entities_with_listed_property(spark, folder):
     return en.entities_with_properties(_table(spark, folder), {"AFRICA": ["NATION_7"]})
 
 
+@query(f"""
+SELECT l.title, g.num AS "AMERICA" FROM ({_LINKED}) l
+JOIN ({_LONG}) f ON f.qid = l.wikidata_id AND f.prop_name = 'AFRICA' AND f.n_vals = 1 AND f.vals = 'Country 12'
+LEFT JOIN ({_LONG}) g ON g.qid = l.wikidata_id AND g.prop_name = 'AMERICA'
+""")
+def entities_holding_scalar(spark, folder):
+    found = en.entities_holding(*_stored(spark, folder), {"AFRICA": "Country 12"}, "AMERICA")
+    return found.withColumn("AMERICA", F.col("AMERICA").cast("double"))
+
+
+@query(f"""
+SELECT l.title FROM ({_LINKED}) l JOIN ({_LONG}) f ON f.qid = l.wikidata_id AND f.prop_name = 'AFRICA'
+JOIN ({_LONG}) g ON g.qid = l.wikidata_id AND g.prop_name = 'AMERICA' AND g.num = 50
+WHERE f.n_vals > 1 AND list_contains(string_split(f.vals, '|'), 'Country 0') AND list_contains(string_split(f.vals, '|'), 'NATION_7')
+""")
+def entities_holding_list_and_number(spark, folder):
+    return en.entities_holding(*_stored(spark, folder), {"AFRICA": ["NATION_7", "Country 0"], "AMERICA": 50})
+
+
+@query(f"""
+SELECT l.title FROM ({_LINKED}) l JOIN ({_PLACED_PARTS}) p ON p.qid = l.wikidata_id WHERE p.lat = 3 AND p.altitude = 14
+""")
+def entities_holding_object(spark, folder):
+    return en.entities_holding(*_stored(spark, folder), {"MIDDLE EAST": {"lat": 3, "altitude": 14.0}})
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_custkey % 4 = 1 AND o_orderkey % 3 = 0
+""")
+def orders_holding_flags(spark, folder):
+    """Documents with a truth value, a list and an object, asked by their values."""
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    document = F.parse_json(F.to_json(F.struct(
+        (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        F.array(F.concat(F.lit("status "), status), F.concat(F.lit("third "), key % 3)).alias("marks"),
+        F.struct((F.col("o_custkey") % 4).alias("rest"), F.lit(False).alias("closed")).alias("customer"))))
+    documents = tables.load_table(spark, folder, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey").select(
+        "o_orderkey", document.alias("properties"))
+    return pv.holding(pv.values_of_documents(documents, "o_orderkey", "properties"), "o_orderkey", {
+        "urgent": True, "marks": ["third 0", "status O"], "customer": {"closed": False, "rest": 1}})
+
+
 _PART_VIEWS = """
 SELECT concat('Part ', l_partkey) AS title, CAST(sum(floor(l_quantity)) AS BIGINT) AS viewcount
 FROM {lineitem} GROUP BY 1

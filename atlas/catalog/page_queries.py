@@ -9,7 +9,7 @@ from atlas.catalog import inputs
 from atlas.catalog.registry import query
 from atlas.functions import geo, markup as mk, text as tx
 from atlas.operators.joins import first_resolved, points_in_polygons
-from atlas.plans import pages, pageviews, trends
+from atlas.plans import imports, pages, pageviews, trends
 from atlas.session import scratch_dir, spread, stage
 from atlas.sinks import tables as sinks
 from atlas.sources import dumps, tables
@@ -115,6 +115,34 @@ def page_import(spark, folder):
     return _tags(pages.import_pages(spark, f"{root}/dump", f"{root}/pages"))
 
 
+@query(f"""
+WITH pages AS (SELECT wiki_id FROM ({_TAGS}) t), n AS (
+  SELECT count(*) AS all_pages, count(*) FILTER (WHERE wiki_id % 7 = 0) AS broken, count(*) FILTER (WHERE wiki_id % 5 = 0) AS again,
+         count(*) FILTER (WHERE wiki_id % 50 = 0) AS long FROM pages)
+SELECT 'records' AS counter, all_pages + broken + again + long AS n FROM n
+UNION ALL SELECT 'malformed', broken FROM n UNION ALL SELECT 'too_long', long FROM n
+UNION ALL SELECT 'duplicates', again FROM n UNION ALL SELECT 'written', all_pages FROM n
+""")
+def page_load_counters(spark, folder):
+    """An import of a dump with broken, repeated and over-long pages; what it counted is read from the table of loads."""
+    root, wiki_id = scratch_dir(spark), F.col("wiki_id")
+    escaped = F.replace(F.replace(F.replace("wikitext", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def record(title, page_id, text):
+        return F.concat(F.lit("  <page>\n    <title>"), title, F.lit("</title>\n    <ns>0</ns>\n    <id>"), page_id,
+                        F.lit("</id>\n    <revision><id>7</id><text>"), text, F.lit("</text></revision>\n  </page>"))
+
+    # a broken page has the title of a good one and a lower id, a repeated one a greater id
+    records = F.array_compact(F.array(
+        record(F.col("title"), wiki_id, escaped),
+        F.when(wiki_id % 7 == 0, record(F.col("title"), F.lit(-10_000_000) - F.abs(wiki_id), F.lit("open <b> & so on"))),
+        F.when(wiki_id % 5 == 0, record(F.col("title"), F.lit(10_000_000) + F.abs(wiki_id), F.lit("later"))),
+        F.when(wiki_id % 50 == 0, record(F.concat(F.col("title"), F.repeat(F.lit("x"), 1024)), F.lit(1), F.lit("long")))))
+    _raw_pages(spark, folder).select(F.explode(records).alias("value")).write.text(f"{root}/dump.xml")
+    _, counters = pages.import_counted_pages(spark, f"{root}/dump.xml", f"{root}/pages")
+    return sinks.record_load(spark, f"{root}/loads", "dump.xml", counters).select("counter", "n")
+
+
 @query("""
 SELECT wiki_id, round(lng, 6) AS lng, round(lat, 6) AS lat FROM [PLACES] p
 """)
@@ -200,6 +228,41 @@ def philosophers_born_1905(spark, folder):
     return pages.tagged_pages(tagged, infobox="philosopher", categories=["1905 births"]).select("title", "wiki_id")
 
 
+def _tag_index(spark, folder):
+    tagged = pages.tag_pages(_raw_pages(spark, folder))
+    return sinks.write_page_tags(pages.page_tags(tagged), f"{scratch_dir(spark)}/page-tags")
+
+
+@query("""
+SELECT title, wiki_id FROM (
+  SELECT title, -wiki_id - 1 AS wiki_id FROM [PLACES] p JOIN supplier s ON s.s_suppkey = p.wiki_id WHERE area = 'Cities') t
+ORDER BY title, wiki_id LIMIT 10
+""")
+def ten_cities_by_index(spark, folder):
+    """``ten_cities`` from a stored index of tags."""
+    return pages.indexed_pages(_tag_index(spark, folder), general=["cities"]).orderBy("title", "wiki_id").limit(10)
+
+
+@query("""
+SELECT title, wiki_id FROM [ARTICLES] a
+WHERE kind = 'philosopher' AND NOT bc AND (born = 1905 OR (twice AND born + 1 = 1905))
+""")
+def philosophers_born_1905_by_index(spark, folder):
+    """``philosophers_born_1905`` from a stored index of tags."""
+    return pages.indexed_pages(_tag_index(spark, folder), infobox="philosopher", categories=["1905 births"])
+
+
+@query("""
+SELECT title, wiki_id FROM [ARTICLES] a WHERE job_a = 'poets' AND job_b = 'judges' AND lang = 'en' AND died IS NOT NULL
+""")
+def pages_with_four_tags(spark, folder):
+    """Pages with three categories and a template at once, from a stored index of tags."""
+    index = _tag_index(spark, folder)
+    died = index.where("kind = 'categories' AND tag LIKE '% deaths'").select("title", "wiki_id")
+    found = pages.indexed_pages(index, categories=["old poets", "great judges", "texts of en"], templates=["nowrap"])
+    return found.join(died, ["title", "wiki_id"], "left_semi")
+
+
 @query("""
 SELECT a.title, a.wiki_id, v.viewcount FROM [ARTICLES] a JOIN [VIEWS] v ON v.title = a.title
 WHERE a.kind = 'philosopher' ORDER BY v.viewcount DESC, a.title LIMIT 100
@@ -296,6 +359,18 @@ def people_of_stored_years(spark, folder):
     return tables.read_year_partition(spark, path, 1801, 1850, 1900).select("birth_year", "person_name")
 
 
+@query(f"""
+SELECT f.birth_year, f.title AS person_name, f.died, CASE WHEN f.birth_year >= 1850 THEN v.viewcount END AS view_count
+FROM ({_FILED}) f LEFT JOIN [VIEWS] v ON v.title = f.title WHERE f.birth_year BETWEEN 1800 AND 1919
+""")
+def people_of_fetched_years(spark, folder):
+    """People of some years stored before any views were known, then of more years; stored ones are not parsed again."""
+    path, views = f"{scratch_dir(spark)}/people", _views(spark, folder)
+    tagged = stage(pages.tag_pages(_raw_pages(spark, folder)), "tagged")
+    imports.fetch_people(tagged, views.limit(0), path, 1800, 1850)
+    return imports.fetch_people(tagged, views, path, 1800, 1920).select("birth_year", "person_name", "died", "view_count")
+
+
 _SCORES = f"""
 SELECT title, first_name, greatest(len(years), 0) AS times,
        CASE WHEN weight > 0 THEN balance / weight ELSE 0 END AS score
@@ -386,6 +461,25 @@ def points_in_countries(spark, folder):
     return found.select("c_custkey", "iso_a3", "name", "continent")
 
 
+@query("""
+SELECT o_orderkey, iso_a3, name, continent FROM (
+  SELECT o_orderkey, iso_a3, name, continent, row_number() OVER (
+           PARTITION BY o_orderkey ORDER BY p.poly_id DESC NULLS LAST) AS nth
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 9.75 + (o_orderkey % 1000) / 2000.0 ELSE o_custkey % 120 - 59.5 END AS lng,
+               CASE WHEN o_orderkey % 2 = 0 THEN 0.3 + (o_custkey % 997) / 2000.0 ELSE o_orderkey % 100 - 49.5 END AS lat FROM orders) c
+  LEFT JOIN [POLYGONS] p ON c.lng >= p.x0 AND c.lng < p.x1 AND c.lat >= p.y0 AND c.lat < p.y1
+    AND NOT (p.hole AND c.lng >= p.x0 + 8 AND c.lng < p.x1 - 8 AND c.lat >= p.y0 + 8 AND c.lat < p.y1 - 8)) t
+WHERE nth = 1
+""")
+def points_in_a_dense_cell(spark, folder):
+    """Half of all points in one cell, which an edge crosses; the cell is split."""
+    even, key = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")
+    points = tables.load_table(spark, folder, "orders", "o_orderkey", "o_custkey").select(
+        "o_orderkey", F.when(even, 9.75 + (key % 1000) / 2000.0).otherwise(F.col("o_custkey") % 120 - 59.5).alias("lng"),
+        F.when(even, 0.3 + (F.col("o_custkey") % 997) / 2000.0).otherwise(key % 100 - 49.5).alias("lat"))
+    found = points_in_polygons(points, inputs.polygons(spark, folder), "o_orderkey", dense=100)
+    return found.select("o_orderkey", "iso_a3", "name", "continent")
+
 
 _CANDIDATES = """
 SELECT title, 1 AS pos, birth_place AS link FROM [ARTICLES] a WHERE birth_place IS NOT NULL

@@ -24,10 +24,10 @@ def point(lng: Column, lat: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """A number as text without an exponent, 18 decimals at most."""
+    """A number as text without an exponent, 18 decimals at most; numbers of 20 digits and more keep theirs."""
     text = value.cast("string")
-    decimal = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    return F.when(F.contains(text, F.lit("E")), decimal).otherwise(text)
+    decimal = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.when(F.contains(text, F.lit("E")), F.coalesce(decimal, text)).otherwise(text)
 
 
 def point_text(pt: Column) -> Column:

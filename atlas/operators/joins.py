@@ -7,6 +7,9 @@ measure their size and fall back to a shuffle when they are large.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from atlas.functions import geo
@@ -62,6 +65,17 @@ def pending(needed: DataFrame, done: DataFrame, key: str, force: bool = False) -
     return needed if force else needed.join(done.select(key), key, "left_anti")
 
 
+def holding_all(rows: DataFrame, keys, tests) -> DataFrame:
+    """Keys for which every test holds in some row: relational division by one partial aggregation.
+
+    Each map task passes on one row per key at most, however many rows a key has.
+    """
+    sure = [F.coalesce(test, F.lit(False)) for test in tests]
+    passed = rows.where(reduce(or_, tests)).groupBy(*keys).agg(
+        *[F.bool_or(test).alias(f"_passed{i}") for i, test in enumerate(sure)])
+    return passed.where(reduce(and_, [F.col(f"_passed{i}") for i in range(len(sure))])).select(*keys)
+
+
 def translate(df: DataFrame, dim: DataFrame, column: str, key: str, value: str, default=None) -> DataFrame:
     """Replace ``column`` by its ``value`` in a dimension.
 
@@ -111,31 +125,85 @@ def _cells(x_low: Column, x_high: Column, y_low: Column, y_high: Column, size: f
         steps(y_low, y_high), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, size: float = 1.0) -> DataFrame:
-    """Attributes of the polygon each point lies in; every point is kept.
+#: Points above which a cell is split, and into how many parts a side of it at most.
+DENSE, FINEST = 10_000, 64
+#: Cells that a split table may have, by arithmetic on the globe, to be broadcast.
+BROADCAST_CELLS = 1_000_000
+
+
+def split_cells(points: DataFrame, size: float, dense: int, keep=stage) -> DataFrame:
+    """``points`` (lng, lat on the globe) with ``cell``: grid cells, split into squares where points are dense.
 
-    ``points`` has ``key``, ``lng``, ``lat``; ``polygons`` has ``poly_id``, ``rings``
-    and attributes.  Points meet only polygons whose bounding box shares their
-    grid cell, by an equi-join, and the exact test follows.  Of several hits the
-    polygon with the greatest ``poly_id`` wins.  Missing coordinates and those beyond
-    180 or 90 degrees lie in none.
+    A cell of more than ``dense`` points is split into the fewest parts that hold no more each, up to
+    ``FINEST`` a side.  Points are counted once, by the finest parts; coarser ones are sums of those.  Only
+    split cells are listed, and a globe has a fixed number of cells.
+    """
+    placed = points.withColumns({"cx": F.floor(F.col("lng") / size).cast("int"), "cy": F.floor(F.col("lat") / size).cast("int")})
+
+    def part(value, cell, parts):
+        return F.least(parts - 1, F.greatest(F.lit(0), F.floor((value / size - cell) * parts).cast("int")))
+
+    fine = keep(placed.groupBy("cx", "cy", part(F.col("lng"), F.col("cx"), F.lit(FINEST)).alias("fx"),
+                               part(F.col("lat"), F.col("cy"), F.lit(FINEST)).alias("fy")).count(), "fine")
+    full = fine.groupBy("cx", "cy").agg(F.sum("count").alias("all")).where(F.col("all") > dense).select("cx", "cy")
+    choices = F.array(*[F.lit(2 ** k) for k in range(1, FINEST.bit_length())])
+    coarse = fine.join(full, ["cx", "cy"], "left_semi").withColumn("parts", F.explode(choices))
+    width = F.lit(FINEST) / F.col("parts")
+    most = (coarse.groupBy("cx", "cy", "parts", F.floor(F.col("fx") / width), F.floor(F.col("fy") / width)).agg(F.sum("count").alias("own"))
+            .groupBy("cx", "cy", "parts").agg(F.max("own").alias("most")))
+    enough = F.min(F.when((F.col("most") <= dense) | (F.col("parts") == FINEST), F.col("parts")))
+    splits = keep(most.groupBy("cx", "cy").agg(enough.alias("parts")), "splits")
+    if (360 / size + 1) * (180 / size + 1) <= BROADCAST_CELLS:
+        splits = F.broadcast(splits)
+    parts = F.coalesce("parts", F.lit(1))
+    return placed.join(splits, ["cx", "cy"], "left").withColumn("cell", F.struct(
+        "cx", "cy", parts.alias("parts"), part(F.col("lng"), F.col("cx"), parts).alias("sx"), part(F.col("lat"), F.col("cy"), parts).alias("sy"),
+    )).drop("cx", "cy", "parts")
+
+
+def cell_polygons(cells: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """``cell, poly_id, whole`` of polygons that a cell may meet; ``whole`` if it lies inside of one altogether.
+
+    No edge comes near a cell that is whole or outside, so its middle tells which; cells outside are left out.
     """
-    attributes = [c for c in polygons.columns if c != "rings"]
     corners = F.flatten(F.col("rings"))
     xs, ys = F.transform(corners, lambda p: p.x), F.transform(corners, lambda p: p.y)
-    cells = polygons.select("poly_id", F.explode(_cells(
-        F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), size)).alias("cell"))
-    cells = cells.select("poly_id", "cell.cx", "cell.cy")
+    boxes = polygons.select("poly_id", F.explode(_cells(
+        F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), size)).alias("box"))
+    both = cells.join(boxes, (F.col("cell.cx") == F.col("box.cx")) & (F.col("cell.cy") == F.col("box.cy"))).select("cell", "poly_id")
+    shaped = lookup(both, polygons.select("poly_id", "rings"), "poly_id", ["cell"], "inner")
+    side, slack = size / F.col("cell.parts"), size * 1e-9
+    left, low = F.col("cell.cx") * size + F.col("cell.sx") * side, F.col("cell.cy") * size + F.col("cell.sy") * side
+
+    def near(ring):
+        following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+        return F.exists(F.zip_with(ring, following, lambda a, b: (
+            (F.least(a.x, b.x) <= left + side + slack) & (F.greatest(a.x, b.x) >= left - slack)
+            & (F.least(a.y, b.y) <= low + side + slack) & (F.greatest(a.y, b.y) >= low - slack))), lambda hit: hit)
+
+    middle = geo.inside(F.col("rings"), left + side / 2, low + side / 2)
+    judged = shaped.select("cell", "poly_id", F.exists("rings", near).alias("edge"), middle.alias("middle"))
+    return judged.where("edge OR middle").select("cell", "poly_id", (~F.col("edge")).alias("whole"))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, size: float = 1.0, dense: int = DENSE, keep=stage) -> DataFrame:
+    """Attributes of the polygon each point lies in; every point is kept.
+
+    ``points`` has ``key``, ``lng``, ``lat``; ``polygons`` has ``poly_id``, ``rings`` and attributes.
+    Polygons are tested against the grid cells that hold points, once per cell, and cells are finer where
+    points are dense.  Points of a cell inside a polygon need no test of their own; the exact test is for
+    cells that an edge comes near.  Cells that stay hot are spread by the lookup.  Of several hits the
+    polygon with the greatest ``poly_id`` wins.  Missing coordinates and those beyond 180 or 90 degrees
+    lie in none.
+    """
+    attributes = [c for c in polygons.columns if c != "rings"]
     on_globe = F.col("lng").between(-180, 180) & F.col("lat").between(-90, 90)
-    placed = points.where(on_globe).select(
-        key, "lng", "lat",
-        F.floor(F.col("lng") / size).cast("int").alias("cx"),
-        F.floor(F.col("lat") / size).cast("int").alias("cy"))
-    near = placed.join(cells, ["cx", "cy"]).drop("cx", "cy")
-    hits = (
-        lookup(near, polygons, "poly_id", [key], "inner")
-        .where(geo.inside(F.col("rings"), F.col("lng"), F.col("lat")))
-        .groupBy(key).agg(F.max_by(F.struct(*attributes), "poly_id").alias("_hit"))
-        .select(key, "_hit.*")
-    )
-    return points.join(hits, key, "left")
+    placed = keep(split_cells(points.where(on_globe).select(key, "lng", "lat"), size, dense, keep), "placed")
+    found = cell_polygons(placed.select("cell").distinct(), polygons, size)
+    cells = keep(found.groupBy("cell").agg(F.collect_list(F.struct("poly_id", "whole")).alias("near")), "cells")
+    near = lookup(placed, cells, "cell", [key], "inner").select(key, "lng", "lat", F.explode("near").alias("at"))
+    asked = near.select(key, "lng", "lat", F.col("at.poly_id").alias("hit"), F.when(~F.col("at.whole"), F.col("at.poly_id")).alias("poly_id"))
+    tested = lookup(asked, polygons.select("poly_id", "rings"), "poly_id", [key], "left")
+    hits = (tested.where(F.col("poly_id").isNull() | geo.inside(F.col("rings"), F.col("lng"), F.col("lat")))
+            .groupBy(key).agg(F.max("hit").alias("poly_id")))
+    return points.join(lookup(hits, polygons.select(*attributes), "poly_id", [key], "inner"), key, "left")

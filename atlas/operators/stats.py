@@ -44,10 +44,21 @@ def slots_by_year(df: DataFrame, year: str, lists: str, top: DataFrame, item: st
     ``top`` holds ``item`` and its ``rank`` from 0; its columns are kept.  Every year with a list gets a
     row per item, zero where there is none.  One shuffle on the year.
     """
+    exploded = df.select(F.col(year).alias("x"), F.explode(lists).alias(item), F.lit(1).cast("long").alias("n"))
+    return slots_of_counts(exploded, top, item, n)
+
+
+def cube(df: DataFrame, year: str, lists: str, item: str) -> DataFrame:
+    """``x``, ``item`` and ``n``: how often each item occurs in the lists of each year, all years."""
+    return df.select(F.col(year).alias("x"), F.explode(lists).alias(item)).groupBy("x", item).agg(F.count("*").alias("n"))
+
+
+def slots_of_counts(counts: DataFrame, top: DataFrame, item: str, n: int) -> DataFrame:
+    """``slots_by_year`` from rows ``x``, ``item`` and their number ``n``."""
     ranks = F.broadcast(top.select(F.col(item).alias("_item"), "rank"))
-    exploded = df.select(F.col(year).alias("x"), F.explode(lists).alias("_item"))
-    counted = exploded.join(ranks, "_item", "left").groupBy("x").agg(
-        F.array(*[F.count_if(F.col("rank") == i) for i in range(n)]).alias("_slots"))
+    ranked = counts.select("x", F.col(item).alias("_item"), "n").join(ranks, "_item", "left")
+    counted = ranked.groupBy("x").agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("rank") == i, F.col("n"))), F.lit(0).cast("long")) for i in range(n)]).alias("_slots"))
     slots = counted.select("x", F.posexplode("_slots").alias("_rank", "y"))
     return slots.join(F.broadcast(top), slots["_rank"] == top["rank"]).drop("_rank")
 

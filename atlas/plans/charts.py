@@ -58,11 +58,13 @@ def top_occupations_over_time(persons: DataFrame, labels: DataFrame, n: int = fv
                               keep=stage) -> DataFrame:
     """``series, x, y, share``: slots filled by each top occupation per year of birth.
 
-    The short list of occupations is written first, as three joins need it.
+    One count by year and occupation over all years is written, from which both the short list and the
+    slots are taken, so persons are read once.  The list is written too, as three joins need it.
     """
-    top = keep(labelled(keep(top_occupations(persons, n), "top"), labels, "qid"), "labelled")
-    chosen = persons.where(F.col("occupation_qids").isNotNull() & born_between(F.col("year_born")))
-    slots = stats.slots_by_year(chosen, "year_born", "occupation_qids", top, "qid", n)
+    counts = keep(stats.cube(persons, "year_born", "occupation_qids", "qid"), "cube")
+    ranked = rank_top(counts.groupBy("qid").agg(F.sum("n").alias("n")), n, "n", "qid")
+    top = keep(labelled(keep(ranked, "top"), labels, "qid"), "labelled")
+    slots = stats.slots_of_counts(counts.where(born_between(F.col("x"))), top, "qid", n)
     return stats.composition(slots.select(F.col("label").alias("series"), "x", "y"), "x", "y").orderBy("x", "series")
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from atlas import fixed_values as fv
 from atlas.functions import claims as cl, predicates as pr
+from atlas.operators import property_values as pv
 from atlas.operators.dedupe import keep_first, keep_last, top
 from atlas.operators.joins import in_key_set, lookup
 from atlas.session import stage
-from atlas.sinks.tables import write_entities
+from atlas.sinks.tables import write_entities, write_property_values
 from atlas.sources.dumps import read_entities
 
+_FACT = ("prop_name", "kind", "vals", "num", "lat", "lng", "globe", "altitude")
+
 
 def entity_names(entities: DataFrame) -> DataFrame:
     """``id, name``: English article title, else English label; unnamed entities are left out."""
@@ -22,6 +25,23 @@ def entity_names(entities: DataFrame) -> DataFrame:
     )
 
 
+def unique_records(entities: DataFrame, keep=stage) -> DataFrame:
+    """One record per id; records without an id are left out.
+
+    Of several the linked ones come first, then those with an article and a label, then by content, so
+    that the choice does not depend on the order of the dump.  Repeated ids are found in a narrow pass;
+    only their records are sorted, and all others stay where they are.
+    """
+    known = entities.where("id IS NOT NULL")
+    repeated = keep(known.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    if repeated.isEmpty():
+        return known
+    order = [~pr.linked_entity(F.col("wikipedia_id"), F.col("title")), F.col("wikipedia_id").isNull(), "wikipedia_id",
+             F.col("title").isNull(), "title", F.col("description").isNull(), "description", F.to_json("claims")]
+    several = keep_first(known.join(repeated, "id", "left_semi"), ["id"], order)
+    return known.join(repeated, "id", "left_anti").unionByName(several)
+
+
 def linked_entities(entities: DataFrame) -> DataFrame:
     """Entities with an English article and label, one per article (lowest id)."""
     flat = entities.where(pr.linked_entity(F.col("wikipedia_id"), F.col("title"))).select(
@@ -60,14 +80,14 @@ def resolve_ids(claims: DataFrame, names: DataFrame, keep=stage) -> DataFrame:
     return plain.unionByName(named)
 
 
-def best_rank(claims: DataFrame) -> DataFrame:
-    """One row per entity and property: the values of the best rank that has any.
+def best_rank(claims: DataFrame, *also: str) -> DataFrame:
+    """One row per entity and property (and ``also``): the values of the best rank that has any.
 
     All entity values are kept, sorted; of any other kind only the last claim.
     The rows grouped here all stem from one record of the dump.
     """
     claim = F.struct("rank", "pos", "kind", "text", "num", "lat", "lng", "globe", "altitude")
-    grouped = claims.groupBy("qid", "prop_id", "prop_pos").agg(
+    grouped = claims.groupBy("qid", "prop_id", "prop_pos", *also).agg(
         F.array_sort(F.collect_list(claim)).alias("_all"))
     best = grouped.withColumn("_best", F.filter("_all", lambda c: c["rank"] == F.col("_all")[0]["rank"]))
     restart = F.array_max(F.transform("_best", lambda c: F.when(
@@ -76,7 +96,7 @@ def best_rank(claims: DataFrame) -> DataFrame:
         "_kept", F.filter("_best", lambda c: c["pos"] >= F.col("_from")))
     first = F.col("_kept")[0]
     return kept.select(
-        "qid", "prop_id", "prop_pos", first["kind"].alias("kind"),
+        "qid", "prop_id", "prop_pos", *also, first["kind"].alias("kind"),
         F.array_sort(F.filter(F.transform("_kept", lambda c: c["text"]), lambda t: t.isNotNull())).alias("vals"),
         *[first[c].alias(c) for c in ("num", "lat", "lng", "globe", "altitude")])
 
@@ -87,63 +107,89 @@ def property_names(claims: DataFrame, names: DataFrame) -> DataFrame:
     return used.select(F.col("id").alias("prop_id"), F.col("name").alias("prop_name"))
 
 
-def name_properties(collapsed: DataFrame, names: DataFrame) -> DataFrame:
-    """Replace property ids by names; of properties sharing a name the later one stays."""
-    named = lookup(collapsed, names, "prop_id", ["qid", "prop_pos"], "inner")
-    return keep_last(named, ["qid", "prop_name"], ["prop_pos"]).drop("prop_id", "prop_pos")
-
-
 def entity_properties(entities: DataFrame, keep=stage) -> DataFrame:
-    """The long property table of staged entities.
+    """The long property table of staged entities, one record per id or not.
 
-    Names and claims are written once, slim, instead of reading the dump twice or
-    holding every name in memory.
+    Names and claims are written once, slim, instead of reading the dump twice or holding every name in
+    memory.  Claims get the names of their properties first and are then brought together by entity
+    once: best rank, properties that share a name (the later one stays) and the article all work on
+    that one exchange, and so does what a caller groups by ``qid``.
     """
+    entities = unique_records(entities, keep)
     names = keep(entity_names(entities), "names")
     claims = keep(entity_claims(entities), "claims")
     linked = linked_entities(entities).select(F.col("wikidata_id").alias("qid"), "wikipedia_id")
     props = keep(property_names(claims, names), "props")
-    found = name_properties(best_rank(resolve_ids(claims, names, keep)), props)
-    return found.join(linked, "qid").select(
-        "qid", "wikipedia_id", "prop_name", "kind", "vals", "num", "lat", "lng", "globe", "altitude")
+    named = lookup(claims, props, "prop_id", ["qid", "prop_pos", "pos"], "inner")
+    together = resolve_ids(named, names, keep).repartition("qid")
+    found = keep_last(best_rank(together, "prop_name"), ["qid", "prop_name"], ["prop_pos"])
+    return found.join(linked, "qid").select("qid", "wikipedia_id", *_FACT)
 
 
-def property_json(long: DataFrame) -> DataFrame:
-    """``qid, properties``: one JSON document text per entity.
+def property_json(facts: Column) -> Column:
+    """Properties of one entity (an array of ``_FACT`` structs) as the text of a JSON document.
 
     A single value is a scalar, several are a list, a coordinate is an object.
     """
-    texts = F.transform("vals", cl.json_string)
-    number = lambda name: F.to_json(F.array(name))
+    number = lambda value: F.to_json(F.array(value))
     bare = lambda text: F.substring(text, F.lit(2), F.length(text) - 2)
-    parts = F.array_compact(F.array(
-        F.concat(F.lit('"lat":'), F.coalesce(bare(number("lat")), F.lit("null"))),
-        F.concat(F.lit('"lng":'), F.coalesce(bare(number("lng")), F.lit("null"))),
-        F.when(F.col("globe").isNotNull(), F.concat(F.lit('"globe":'), cl.json_string(F.col("globe")))),
-        F.when(F.col("altitude").isNotNull(), F.concat(F.lit('"altitude":'), bare(number("altitude"))))))
-    value = (
-        F.when(F.col("kind") == "globecoordinate", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
-        .when(F.col("num").isNotNull(), bare(number("num")))
-        .when(F.size("vals") == 1, texts[0])
-        .otherwise(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
-    )
-    pair = F.concat(cl.json_string(F.col("prop_name")), F.lit(":"), value)
-    return long.select("qid", pair.alias("_pair")).groupBy("qid").agg(F.concat(
-        F.lit("{"), F.array_join(F.array_sort(F.collect_list("_pair")), ","), F.lit("}")).alias("properties"))
+
+    def pair(fact):
+        texts = F.transform(fact["vals"], cl.json_string)
+        parts = F.array_compact(F.array(
+            F.concat(F.lit('"lat":'), F.coalesce(bare(number(fact["lat"])), F.lit("null"))),
+            F.concat(F.lit('"lng":'), F.coalesce(bare(number(fact["lng"])), F.lit("null"))),
+            F.when(fact["globe"].isNotNull(), F.concat(F.lit('"globe":'), cl.json_string(fact["globe"]))),
+            F.when(fact["altitude"].isNotNull(), F.concat(F.lit('"altitude":'), bare(number(fact["altitude"]))))))
+        value = (
+            F.when(fact["kind"] == "globecoordinate", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
+            .when(fact["num"].isNotNull(), bare(number(fact["num"])))
+            .when(F.size(texts) == 1, F.get(texts, F.lit(0)))
+            .otherwise(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
+        )
+        return F.concat(cl.json_string(fact["prop_name"]), F.lit(":"), value)
+
+    return F.concat(F.lit("{"), F.array_join(F.array_sort(F.transform(facts, pair)), ","), F.lit("}"))
+
+
+def gathered(long: DataFrame) -> DataFrame:
+    """``qid, wikipedia_id, facts``: the properties of one record of the dump in a row."""
+    return long.groupBy("qid").agg(F.max("wikipedia_id").alias("wikipedia_id"), F.collect_list(F.struct(*_FACT)).alias("facts"))
 
 
 def entity_table(linked: DataFrame, long: DataFrame) -> DataFrame:
     """``wikipedia_id, title, wikidata_id, description, properties`` with a variant document."""
-    documents = property_json(long).withColumnRenamed("qid", "wikidata_id")
+    return with_documents(linked, gathered(long))
+
+
+def with_documents(linked: DataFrame, facts: DataFrame) -> DataFrame:
+    documents = facts.select(F.col("qid").alias("wikidata_id"), property_json(F.col("facts")).alias("properties"))
     return linked.join(documents, "wikidata_id", "left").select(
         "wikipedia_id", "title", "wikidata_id", "description",
         F.parse_json(F.coalesce("properties", F.lit("{}"))).alias("properties"))
 
 
-def import_entities(spark: SparkSession, dump: str, path: str) -> DataFrame:
-    """An entity dump into the entity table; the dump is read and parsed once."""
-    entities = stage(read_entities(spark, dump), "entities")
-    return write_entities(entity_table(linked_entities(entities), entity_properties(entities)), path)
+def import_entities(spark: SparkSession, dump: str, path: str, values: str | None = None) -> DataFrame:
+    """An entity dump into the entity table; the dump is read and parsed once.
+
+    ``values`` names a place for the property table, one row per value, that ``entities_holding`` asks.
+    """
+    entities = unique_records(stage(read_entities(spark, dump), "entities"))
+    facts = stage(gathered(entity_properties(entities)), "facts")
+    if values:
+        long = facts.select("qid", F.explode("facts").alias("fact")).select("qid", "fact.*")
+        write_property_values(pv.property_values(long), values)
+    return write_entities(with_documents(linked_entities(entities), facts), path)
+
+
+def entities_holding(entities: DataFrame, values: DataFrame, wanted: dict, *texts: str) -> DataFrame:
+    """What ``entities_with_properties`` finds, with the filter on the property table instead of every document.
+
+    Documents are opened only for the entities found.
+    """
+    found = pv.holding(values, "qid", wanted).select(F.col("qid").alias("wikidata_id")) if wanted else entities.select("wikidata_id")
+    return entities.join(found, "wikidata_id", "left_semi").select(
+        "title", *[pr.property_text(F.col("properties"), key).alias(key) for key in texts])
 
 
 def entity_lookup(entities: DataFrame, wikipedia_id: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from atlas import fixed_values as fv
 from atlas.functions import geo, text as tx
@@ -29,32 +29,53 @@ def humans(triples: DataFrame) -> DataFrame:
         (F.col("p") == fv.INSTANCE_OF) & (tx.uri_tail(F.col("o")) == fv.HUMAN)).select("s").distinct()
 
 
-def english_articles(triples: DataFrame) -> DataFrame:
-    """``s, article``: the entity an English article is about, one article each."""
+def needed_statements(triples: DataFrame) -> DataFrame:
+    """Statements that persons are made of."""
+    return triples.where(F.col("p").isin(_READ) & ((F.col("p") != fv.LABEL) | (F.col("lang") == "en")))
+
+
+def birth_statements(triples: DataFrame) -> DataFrame:
+    """``s, year, o`` of every date of birth; the year is NULL where it can't be read."""
+    return triples.where(F.col("p") == fv.DATE_OF_BIRTH).select("s", tx.iso_year(F.col("o")).alias("year"), "o")
+
+
+def english_articles(triples: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """``s, article``: the entity an English article is about (one of ``people``), one article each."""
     about = triples.where(F.col("p") == fv.ARTICLE_ABOUT).select(
         F.col("s").alias("article_id"), tx.uri_tail(F.col("o")).alias("s"))
+    if people is not None:
+        about = about.join(people.select("s"), "s", "left_semi")
     english = triples.where((F.col("p") == fv.ARTICLE_SITE) & (F.col("o") == fv.ENGLISH_SITE)).select(
         F.col("s").alias("article_id"))
     return about.join(english, "article_id", "left_semi").groupBy("s").agg(F.min("article_id").alias("article"))
 
 
-def person_facts(triples: DataFrame, born: Column | None = None) -> DataFrame:
-    """One row per subject: its sampled, listed and required properties.
+def qualified(births: DataFrame, triples: DataFrame) -> DataFrame:
+    """``s, dob, article``: humans among ``births`` that have a site-link count and an English article.
+
+    Of several dates of birth the last is taken, as a later year's import would replace an earlier
+    one's row.  Every step is tested against what is left before it.
+    """
+    born = births.groupBy("s").agg(F.max(F.struct("year", "o"))["o"].alias("dob"))
+    linked = triples.where((F.col("p") == fv.SITELINKS) & F.col("o").isNotNull())
+    human = triples.where((F.col("p") == fv.INSTANCE_OF) & (tx.uri_tail(F.col("o")) == fv.HUMAN))
+    people = born.join(human.select("s"), "s", "left_semi").join(linked.select("s"), "s", "left_semi")
+    return people.join(english_articles(triples, people), "s")
+
+
+def person_facts(triples: DataFrame, people: DataFrame) -> DataFrame:
+    """``people`` with their sampled and listed properties.
 
-    One conditional aggregation replaces a self-join per property.  ``born``
-    tests a date of birth; of those that pass, the last one is taken, as a later
-    year's import would replace an earlier one's row.
+    Statements of other subjects are dropped by a semi-join before anything is aggregated.  One
+    conditional aggregation replaces a self-join per property.
     """
     p, o = F.col("p"), F.col("o")
-    wanted = [fv.DATE_OF_BIRTH, fv.INSTANCE_OF, fv.LABEL, *_SAMPLED.values(), *_LISTED.values()]
-    is_birth = p == fv.DATE_OF_BIRTH if born is None else (p == fv.DATE_OF_BIRTH) & born
+    wanted = [fv.LABEL, *_SAMPLED.values(), *_LISTED.values()]
+    own = triples.where(p.isin(wanted)).join(people.select("s"), "s", "left_semi")
     sampled = [F.min(F.when(p == pid, o)).alias(name) for name, pid in _SAMPLED.items()]
     listed = [F.collect_set(F.when(p == pid, tx.uri_tail(o))).alias(name) for name, pid in _LISTED.items()]
     name = F.min(F.when((p == fv.LABEL) & (F.col("lang") == "en"), o)).alias("name")
-    dob = F.max(F.when(is_birth, F.struct(tx.iso_year(o), o)))["o"].alias("dob")
-    human = F.bool_or((p == fv.INSTANCE_OF) & (tx.uri_tail(o) == fv.HUMAN)).alias("human")
-    return triples.where(p.isin(wanted)).groupBy("s").agg(human, dob, name, *sampled, *listed).where(
-        "human AND dob IS NOT NULL AND sitelink_count IS NOT NULL").drop("human")
+    return people.join(own.groupBy("s").agg(name, *sampled, *listed), "s")
 
 
 def country_codes(triples: DataFrame) -> DataFrame:
@@ -63,19 +84,21 @@ def country_codes(triples: DataFrame) -> DataFrame:
         F.min("o").alias("code"))
 
 
-def citizenships(triples: DataFrame) -> DataFrame:
-    """``s, citizenship_country_codes``: sorted distinct codes of the countries of citizenship."""
+def citizenships(triples: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """``s, citizenship_country_codes``: sorted distinct codes of the countries of citizenship (of ``people``)."""
     claims = triples.where(F.col("p") == fv.CITIZENSHIP).select("s", tx.uri_tail(F.col("o")).alias("country"))
+    if people is not None:
+        claims = claims.join(people.select("s"), "s", "left_semi")
     named = lookup(claims, country_codes(triples), "country", ["s"], "inner")
     return named.groupBy("s").agg(F.array_sort(F.collect_set("code")).alias("citizenship_country_codes"))
 
 
-def places(triples: DataFrame) -> DataFrame:
-    """``place, lat, lon, country_code`` of everything with coordinates or a country."""
+def places(triples: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``place, lat, lon, country_code`` of the ``wanted`` places with coordinates or a country."""
     p, o = F.col("p"), F.col("o")
-    located = triples.where(p == fv.COORDINATES).groupBy(F.col("s").alias("place")).agg(
+    located = in_key_set(triples.where(p == fv.COORDINATES), "s", wanted, "place").groupBy(F.col("s").alias("place")).agg(
         geo.parse_point(F.min(o)).alias("at"))
-    claims = triples.where(p == fv.COUNTRY).select(
+    claims = in_key_set(triples.where(p == fv.COUNTRY), "s", wanted, "place").select(
         F.col("s").alias("place"), tx.uri_tail(o).alias("country"))
     coded = lookup(claims, country_codes(triples), "country", ["place"], "inner").groupBy("place").agg(
         F.min("code").alias("country_code"))
@@ -86,16 +109,24 @@ def places(triples: DataFrame) -> DataFrame:
 def persons(triples: DataFrame, start: int = 1800, end: int = 2000, keep=stage) -> DataFrame:
     """The persons table: humans with a date of birth, an English article and a site-link count.
 
-    Years ``start`` to ``end`` inclusive.  Place of birth and death are one place
-    each, with the coordinates and country of that place.  The statements needed
-    are written once, a folder per predicate, so that each step reads its own.
+    Years ``start`` to ``end`` inclusive.  The statements needed are written once, a folder per
+    predicate, so that each step reads its own.
+    """
+    triples = keep(needed_statements(triples).hint("rebalance", "p"), "statements", "p")
+    return persons_of(birth_statements(triples).where(F.col("year").between(start, end)), triples, keep)
+
+
+def persons_of(births: DataFrame, triples: DataFrame, keep=stage) -> DataFrame:
+    """The persons of ``births`` (s, year, o), from statements about them and about their places.
+
+    Place of birth and death are one place each, with the coordinates and country of that place.
+    Only statements of qualified people, and of places that they were born or died in, are aggregated.
     """
-    year = tx.iso_year(F.col("o"))
-    triples = keep(triples.where(
-        F.col("p").isin(_READ) & ((F.col("p") != fv.LABEL) | (F.col("lang") == "en"))), "statements", "p")
-    facts = keep(person_facts(triples, year.between(start, end)).join(english_articles(triples), "s"), "facts")
-    known = keep(places(triples), "places")
+    people = keep(qualified(births, triples), "people")
+    facts = keep(person_facts(triples, people), "facts")
     slim = facts.select("s", tx.uri_tail(F.col("pob")).alias("pob_qid"), tx.uri_tail(F.col("pod")).alias("pod_qid"))
+    wanted = slim.select(F.explode(F.array_compact(F.array("pob_qid", "pod_qid"))).alias("place"))
+    known = keep(places(triples, wanted), "places")
 
     def at(role):
         dim = known.select(
@@ -105,7 +136,7 @@ def persons(triples: DataFrame, start: int = 1800, end: int = 2000, keep=stage)
 
     placed = lookup(lookup(slim, at("pob"), "pob_qid", ["s"]), at("pod"), "pod_qid", ["s"])
     none_if_empty = lambda c: F.when(F.size(c) > 0, F.array_sort(c)).alias(c)
-    return facts.join(placed, "s").join(citizenships(triples), "s", "left").select(
+    return facts.join(placed, "s").join(citizenships(triples, people), "s", "left").select(
         F.col("s").alias("qid"), tx.title_from_url(F.col("article")).alias("enwiki_title"), "name",
         tx.uri_tail(F.col("gender_qid")).alias("gender_qid"),
         tx.iso_year(F.col("dob")).alias("year_born"), tx.iso_year(F.col("dod")).alias("year_died"),

@@ -13,13 +13,15 @@ from atlas.session import stage
 
 def people_by_birth_category(pages: DataFrame, views: DataFrame,
                              first: int = fv.BIRTH_CATEGORY_YEARS[0],
-                             last: int = fv.BIRTH_CATEGORY_YEARS[1]) -> DataFrame:
+                             last: int = fv.BIRTH_CATEGORY_YEARS[1], only: list[int] | None = None) -> DataFrame:
     """Parsed people, once per birth year they are filed under, with their views.
 
     The article is parsed where it is read; only narrow rows are shuffled to
-    meet the page views.
+    meet the page views.  ``only`` names the years wanted; articles of no such year are not parsed.
     """
     years = tx.birth_category_years(F.col("categories"), first, last)
+    if only is not None:
+        years = F.filter(years, lambda year: year.isin(only))
     filed = pages.withColumn("_years", years).where(F.size("_years") > 0)
     parsed = parse_people(filed, "_years")
     return parsed.join(views, parsed["person_name"] == views["title"], "left").select(

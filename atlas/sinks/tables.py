@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from atlas.operators.dedupe import drop_repeats, keep_last
 from atlas.operators.stats import series_arrays
@@ -18,10 +18,38 @@ def write_pages(pages: DataFrame, path: str) -> DataFrame:
     return _replace(drop_repeats(pages, "title", "wiki_id"), path)
 
 
+def write_unique_pages(pages: DataFrame, path: str) -> DataFrame:
+    """Replace the pages by ones whose titles don't repeat."""
+    return _replace(pages, path)
+
+
+def record_load(spark: SparkSession, path: str, bucket: str, counters: dict[str, int]) -> DataFrame:
+    """Add what an import counted to the table of loads, a row per counter."""
+    rows = spark.createDataFrame(list(counters.items()), "counter STRING, n LONG")
+    rows = rows.select(F.lit(bucket).alias("bucket"), F.current_timestamp().alias("imported_at"), "counter", "n")
+    rows.coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def write_entities(entities: DataFrame, path: str) -> DataFrame:
     return _replace(entities, path)
 
 
+def write_property_values(values: DataFrame, path: str) -> DataFrame:
+    """One row per property value, dealt and sorted by property and value.
+
+    A question about a property skips the row groups of all others, and a property that most entities
+    have is spread over many files by its values and entities.
+    """
+    dealt = values.repartitionByRange("prop_name", "text", "num", "qid")
+    return _replace(dealt.sortWithinPartitions("prop_name", "text", "num"), path)
+
+
+def write_page_tags(tags: DataFrame, path: str) -> DataFrame:
+    """The tag index, one row per page and tag, dealt and sorted by tag."""
+    return _replace(tags.repartitionByRange("kind", "tag", "title").sortWithinPartitions("kind", "tag"), path)
+
+
 def write_pageviews(totals: DataFrame, path: str) -> DataFrame:
     return _replace(totals, path)
 
@@ -66,8 +94,11 @@ def write_gazetteer(gazetteer: DataFrame, path: str) -> None:
 
 
 def write_year_partition(people: DataFrame, path: str) -> None:
-    """Parsed people in one folder per birth year; only years present are replaced."""
-    people.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+    """Parsed people in one folder per birth year; only years present are replaced.
+
+    Rows are gathered by year first: a small year is one file, and a large one several.
+    """
+    people.hint("rebalance", "birth_year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("birth_year").parquet(path)
 
 

@@ -2,34 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from atlas import schemas
 from atlas.session import stage
 
 
-def read_pages(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """One row per page of an XML dump (plain or bz2): title, wiki_id, revision_id, wikitext.
+END = "</page>"
+
+
+def read_page_records(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """``value``: the text of one page of an XML dump (plain or bz2) per row, not parsed.
 
     The text source cuts the file after each closing page tag, so that one large
     dump is read by many tasks; the XML reader would give a file to one task.
-    A literal tag cannot occur inside a page, where it is escaped.  Pages whose
-    XML does not parse are left out.  ``limit`` above 0 takes so many records;
-    they are written down first, so that several readers see the same ones.
+    A literal tag cannot occur inside a page, where it is escaped.  ``limit`` above 0 takes so many
+    records; they are written down first, so that several readers see the same ones.
     """
-    end = "</page>"
-    records = spark.read.text(path, lineSep=end).where(F.contains("value", F.lit("<page>")))
+    records = spark.read.text(path, lineSep=END).where(F.contains("value", F.lit("<page>")))
     if limit:
         records = stage(records.limit(limit), "records").repartition(spark.sparkContext.defaultParallelism)
-    document = F.concat(F.regexp_replace("value", r"(?s)^.*?<page>", "<page>"), F.lit(end))
-    page = F.from_xml(document, F.lit(schemas.PAGE_XML), {
+    return records.select(F.concat(F.lit("<page>"), F.substring_index("value", "<page>", -1), F.lit(END)).alias("value"))
+
+
+def record_title(value: Column) -> Column:
+    """The title as it stands in a page's text, cut out without parsing; what precedes the revision is enough as a rule."""
+    head = F.substring_index(value, "<revision", 1)
+    rest = F.regexp_replace(value, r"(?s)<revision.*?</revision>", "")
+    return F.regexp_extract(F.when(F.contains(head, F.lit("<title")), head).otherwise(rest), r"(?s)<title[^>]*>(.*?)</title>", 1)
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """``title, wiki_id, revision_id, wikitext, malformed`` of page records."""
+    page = F.from_xml("value", F.lit(schemas.PAGE_XML), {
         "rowTag": "page", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return records.select(page.alias("page")).where("page._corrupt_record IS NULL").select(
+    return records.select(page.alias("page")).select(
         F.col("page.title").alias("title"),
         F.col("page.id").alias("wiki_id"),
         F.col("page.revision.id").alias("revision_id"),
         F.coalesce(F.col("page.revision.text")["_VALUE"], F.lit("")).alias("wikitext"),
-    )
+        (F.col("page").isNull() | F.col("page._corrupt_record").isNotNull()).alias("malformed"))
+
+
+def read_pages(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """One row per page of an XML dump: title, wiki_id, revision_id, wikitext.  Pages that do not parse are left out."""
+    return parse_records(read_page_records(spark, path, limit)).where("NOT malformed").drop("malformed")
 
 
 def entity_lines(lines: DataFrame) -> DataFrame:

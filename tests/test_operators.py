@@ -376,6 +376,7 @@ def test_points_off_the_globe_lie_nowhere(spark):
 
 
 def test_quantities_keep_the_zero_rule(spark, tmp_path):
+    from atlas.catalog import operator_queries  # noqa: F401  (registers the query)
     from atlas.catalog.registry import run
     spark.sql("SELECT 2L AS o_orderkey, 0L AS o_custkey UNION ALL SELECT 4L, 7L").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.amount for r in run("quantities_without_zero", spark, str(tmp_path)).collect()}
