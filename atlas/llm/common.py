@@ -19,6 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it what no column of ``df`` is called in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(column: Column | str, parts: int = 5) -> Column:
     """crc32 of a document's id as text, modulo ``parts``; NULL ids count as the empty text."""
     text = F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))

@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atlas.llm.common import shingles, word_hashes, words
+from atlas.llm.common import free_name, shingles, text_bytes, word_hashes, words
 from atlas.llm.components import components
 from atlas.session import stage
 
-#: Cells of the count sketch, and of one piece of it; the broadcast is a byte for each cell.
-CELLS, PIECE = 1 << 21, 1 << 16
+#: Cells of one piece of the count sketch; least and most cells of all, and bytes of text for each in between.
+#: A byte for each cell is broadcast, so 32 MB at most; beyond that cells fill up, and rare n-grams are told
+#: apart less well, which costs time but changes no result.
+PIECE, LEAST_CELLS, MOST_CELLS, CELL_BYTES = 1 << 16, 1 << 21, 1 << 25, 64
 FRAGMENTS = 8
 #: Bits of the frequency level above an n-gram's hash in its place in the order.
 LEVEL_BITS = 8
@@ -40,40 +42,54 @@ def grams(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(words(text)), n))
 
 
-def cell(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+def cell(hashes: np.ndarray, cells: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.int64) & (cells - 1)
 
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
+def cells_for(size: int) -> int:
+    """Cells of the sketch, a power of two, for texts of ``size`` bytes."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
+
+
+def sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
     """Level (8 times log2 of the count, in a byte) of every cell, over all texts."""
+    def packed(piece, salt, counts: np.ndarray) -> pd.DataFrame:
+        at = np.flatnonzero(counts)
+        return pd.DataFrame({"piece": [piece], "salt": [salt], "counts": [zlib.compress(at.astype(np.uint16).tobytes() + counts[at].tobytes(), 1)]})
+
+    def unpack(data: bytes, into: np.ndarray) -> None:
+        raw = zlib.decompress(data)
+        held = len(raw) // 6
+        into[np.frombuffer(raw, np.uint16, held)] += np.frombuffer(raw[2 * held:], np.uint32)
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS, np.uint32)
+        total = np.zeros(cells, np.uint32)
         for frame in frames:
             for text in frame["text"]:
-                np.add.at(total, cell(grams(text, n)), 1)
+                np.add.at(total, cell(grams(text, n), cells), 1)
         salt = TaskContext.get().partitionId() % 64
         for piece, own in enumerate(total.reshape(-1, PIECE)):
             if own.any():
-                yield pd.DataFrame({"piece": [piece], "salt": [salt], "counts": [zlib.compress(own.tobytes(), 1)]})
+                yield packed(piece, salt, own)
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(PIECE, np.uint32)
         for counts in part["counts"]:
-            total += np.frombuffer(zlib.decompress(counts), np.uint32)
-        return pd.DataFrame({"piece": part["piece"].iloc[:1], "salt": part["salt"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+            unpack(counts, total)
+        return packed(part["piece"].iloc[0], part["salt"].iloc[0], total)
 
     schema = "piece int, salt int, counts binary"
     sums = docs.select("text").mapInPandas(count, schema).groupBy("piece", "salt").applyInPandas(add, schema)
-    out = np.zeros(CELLS, np.uint32)
-    for piece, _, counts in sums.groupBy("piece").applyInPandas(add, schema).collect():
-        out[piece * PIECE:(piece + 1) * PIECE] = np.frombuffer(zlib.decompress(counts), np.uint32)
-    return np.minimum(np.rint(8 * np.log2(out + 1.0)), 255).astype(np.uint8)
+    out = np.zeros(cells, np.uint32)
+    for piece, _, counts in sums.groupBy("piece").applyInPandas(add, schema).toLocalIterator():
+        unpack(counts, out[piece * PIECE:(piece + 1) * PIECE])
+    return np.minimum(np.rint(8 * np.log2(out + np.float32(1))), 255).astype(np.uint8)
 
 
 def ordered(text: str | None, n: int, levels: np.ndarray) -> np.ndarray:
     """A text's n-grams as places in the global order, ascending."""
     hashes = grams(text, n)
-    level = levels[cell(hashes)].astype(np.uint64) >> np.uint64(1)
+    level = levels[cell(hashes, len(levels))].astype(np.uint64) >> np.uint64(1)
     return np.sort(level << np.uint64(64 - LEVEL_BITS) | hashes >> np.uint64(LEVEL_BITS)).astype(np.int64)
 
 
@@ -138,7 +154,9 @@ def segments(docs: DataFrame, wanted: DataFrame, n: int, levels, pivots: np.ndar
                         rows.append((node, piece, len(own), part.tobytes()))
             yield pd.DataFrame(rows, columns=["node", "piece", "size", "part"])
 
-    texts = docs.join(wanted.select("doc_id", "node", "print"), ["doc_id", "print"]).dropDuplicates(["node"])
+    wanted = wanted.select(F.col("doc_id").alias("id"), "node", F.col("print").alias("mark"))
+    same = docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["print"] == wanted["mark"])
+    texts = docs.join(wanted, same).dropDuplicates(["node"])
     return texts.select("node", "text").mapInPandas(cut, "node long, piece int, size long, part binary")
 
 
@@ -158,32 +176,28 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("both") >= percent * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
+def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc_id``, ``print`` (hash of the text), ``size`` and ``least`` (doc_id, print) of every document.
 
-    A document's set holds the distinct runs of ``n`` words (lower-cased A-Z); with fewer words, all
-    of them as one run; without words, or NULL, nothing, and then it is linked with no other.  Two
-    documents are linked when 100 * common >= percent * (all of both).  ``component_id`` is the
-    smallest ``doc_id`` that links lead to, itself included.  Rows without an id have no component
-    and lead to none of their own, but their text links others.  Rows of one id and different texts
-    are one document each.  An empty table gives no rows; other columns are ignored.
+    ``least`` is the smallest document with an id that links lead to, itself included; NULL for an empty
+    set, and where no document that links lead to has an id.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    levels = spark.sparkContext.broadcast(sketch(docs, n))
+    levels = spark.sparkContext.broadcast(sketch(docs, n, cells_for(text_bytes(docs))))
     printed = docs.withColumn("print", F.xxhash64("text"))
     built = stage(nodes(printed, n, percent, levels), "built")
-    members = built.select("doc_id", "size", "node")
+    rows = built.select("doc_id", "print", "size", "node")
     distinct = stage(built.where("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct("doc_id", "print")).alias("one"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
         F.first("typical").alias("typical"), F.first("drawn").alias("drawn")), "nodes")
     pivots = distinct.agg(F.percentile_approx("drawn", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 10_000)).first()[0]
     pivots = np.array(sorted(set(pivots or [])), np.int64)
 
-    rows = entries(distinct.select("node", "size", "typical", "prefix"))
-    hubs = (rows.groupBy("gram").agg(F.max(F.struct("typical", "node", "size", "at")).alias("hub"), F.count("*").alias("n"))
+    prefixes = entries(distinct.select("node", "size", "typical", "prefix"))
+    hubs = (prefixes.groupBy("gram").agg(F.max(F.struct("typical", "node", "size", "at")).alias("hub"), F.count("*").alias("n"))
             .where("n > 1").select("gram", "hub"))
-    shared = stage(rows.join(hubs, "gram"), "shared")
+    shared = stage(prefixes.join(hubs, "gram"), "shared")
     near = (shared.select("gram", F.struct("node", "size", "at").alias("x"), "hub").where(F.col("x.node") != F.col("hub.node"))
             .where(fits("x", "hub", percent))
             .select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct())
@@ -209,14 +223,45 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         more = verified(rest, parts_of(rest), percent)
         links = stage(links.unionByName(more), "links")
         found = components(links)
-    named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select(
+    named = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.where("component IS NOT NULL AND doc_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "print")).alias("least"))
+    # written first, so that Spark can split the join where one component holds many documents
+    return named.join(stage(least, "least"), "component", "left").select("doc_id", "print", "size", "least")
+
+
+def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
+
+    A document's set holds the distinct runs of ``n`` words (lower-cased A-Z); with fewer words, all
+    of them as one run; without words, or NULL, nothing, and then it is linked with no other.  Two
+    documents are linked when 100 * common >= percent * (all of both).  ``component_id`` is the
+    smallest ``doc_id`` that links lead to, itself included.  Rows without an id have no component
+    and lead to none of their own, but their text links others.  Rows of one id and different texts
+    are one document each.  An empty table gives no rows; other columns are ignored.
+    """
+    return members(docs, n, percent).select(
         "doc_id", F.col("size").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Documents that are the smallest id of their component; rows without an id stay."""
-    gone = join(docs, n, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, the smallest by id and text hash; all columns are kept.
+
+    Rows with one id and different texts are judged each by its own text.  Of rows with equal id and text
+    one stays.  Rows without an id and texts without words all stay.  An empty table gives no rows.
+    """
+    mark = free_name(docs, "_print")
+    marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    judged = stage(members(docs, n, percent).where("least IS NOT NULL AND doc_id IS NOT NULL"), "members")
+    key = [F.col("doc_id").alias("_id"), F.col("print").alias("_mark")]
+    gone = judged.where(F.struct("doc_id", "print") != F.col("least")).select(*key).distinct()
+    again = stage(judged.groupBy(*key).count().where("count > 1").select("_id", "_mark"), "again")
+
+    def same(other: DataFrame):
+        return (marked["doc_id"].cast("long") == other["_id"]) & (marked[mark] == other["_mark"])
+
+    kept = marked.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        several = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", mark])
+        kept = kept.join(again, same(again), "left_anti").unionByName(several)
+    return kept.select(*docs.columns)
