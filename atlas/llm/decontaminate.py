@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlas.llm.common import Hashes, mix, shingles, text_bytes, words
+from atlas.llm.common import Hashes, free_name, mix, shingles, text_bytes, words
 
 WORDS, SIMILAR, RADIUS = 5, 0.8, 15
 PUNCTUATION = b".,!?:;\"'()[]{}<>*_-"
@@ -160,28 +160,32 @@ def searcher(index: Broadcast):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similar: float = SIMILAR,
-          n: int = WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """``docs`` with ``leaks``, an array of (item_id, start, words, similarity): items found in the text.
+          n: int = WORDS, pass_bytes: int = PASS_BYTES, into: str = "leaks") -> DataFrame:
+    """``docs`` with ``leaks`` (or a column named ``into``), an array of (item_id, start, words, similarity): items found in the text.
 
     Words are lower-cased and stripped of punctuation.  Per item the most similar window
     counts, of equal ones the first.  NULL and empty texts hold nothing; NULL or empty items are
     never found; items shorter than ``n`` words are one shingle of all their words; a document
     shorter than an item is compared as a whole.  Repeated rows and repeated items each count.  An
-    existing column ``leaks`` is replaced; an empty table gives no rows.  A benchmark beyond
+    existing column of that name is replaced; an empty table gives no rows.  A benchmark beyond
     ``pass_bytes`` is taken in several passes of that size at most on average.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     passes = max(1, -(-text_bytes(items) // pass_bytes))
-    found = docs.withColumn("leaks", F.array().cast(MATCH))
+    found = docs.withColumn(into, F.array().cast(MATCH))
     for k in range(passes):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k) if passes > 1 else items
         given = [tuple(r) for r in own.where("item_id IS NOT NULL").orderBy("item_id", "text").collect()]
         index = spark.sparkContext.broadcast(Index(given, radius, similar, n))
-        found = found.withColumn("leaks", F.concat("leaks", searcher(index)(F.col("text").cast("string"))))
+        found = found.withColumn(into, F.concat(into, searcher(index)(F.col("text").cast("string"))))
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents in which no item of the benchmark is found, with their own columns."""
-    return leaks(docs, benchmark).where(F.size("leaks") == 0).select(*[c for c in docs.columns])
+    """Documents in which no item of the benchmark is found, with their own columns, whatever these are called.
+
+    NULL and empty texts stay, as do all rows where the benchmark is empty; repeated rows are judged alike.
+    """
+    into = free_name(docs, "leaks")
+    return leaks(docs, benchmark, into=into).where(F.size(into) == 0).select(*docs.columns)

@@ -214,7 +214,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
-    """One row per document of the listed files: ``doc_id``, ``start`` in all ids, ``n_tokens``, ``ids_crc32``, ``ids``."""
+    """One row per document of the listed files: ``doc_id``, ``start`` in all ids, ``n_tokens``, ``ids_crc32``, ``ids``.
+
+    No rows where no file is listed, as an empty table writes none.
+    """
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+    if files.isEmpty():
+        return files.sparkSession.createDataFrame([], schema)
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
