@@ -62,3 +62,38 @@ def test_no_token_files(spark):
     some = table(spark, [(1, "a b")])
     folder = wavelet.new_folder(some)
     assert dict(wavelet.read_tokens(wavelet.write_tokens(some, folder, TOKENIZER), folder).dtypes) == dict(read.dtypes)
+
+
+def test_fingerprints_propose_what_is_similar(spark, folder):
+    """Whole tables through ``leaks``: fingerprints find what the exact bound finds, and decide it."""
+    docs, items = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "benchmark"))
+    docs = docs.repartition(8)
+
+    def found(**options):
+        rows = decontaminate.leaks(docs, items, **options).select("doc_id", "leaks").collect()
+        return {(r.doc_id, m.item_id, m.start, round(m.similarity, 9)) for r in rows for m in r.leaks}
+
+    assert found() == found(exact=True) != set()
+
+
+def test_reach_grows_with_repeats():
+    """An item that repeats a shingle, and a window that does, are compared further off."""
+    import random
+    draw = random.Random(1)
+    items = {"plain": [f"a{k}" for k in range(104)], "repeats": [f"b{k}" for k in range(40)] + ["rep"] * 13 + [f"b{k}" for k in range(40, 92)]}
+    index = decontaminate.Index(list(enumerate(" ".join(w) for w in items.values())), decontaminate.RADIUS, 0.8, 5)
+    widest = {size: found[0] for size, found in index.sizes.items()}
+    assert widest[105] > widest[104] > decontaminate.RADIUS
+    exact = decontaminate.Index(list(enumerate(" ".join(w) for w in items.values())), decontaminate.RADIUS, 0.8, 5, True)
+    seen = 0
+    for k in range(200):
+        words = list(list(items.values())[k % 2])
+        at, n = draw.randint(0, 90), draw.randint(4, 8)
+        words[at:at + n] = ["ha"] * n if k % 4 < 2 else [f"q{k}x{j}" for j in range(n)]
+        text = " ".join(words)
+        assert index.matches(text) == exact.matches(text)
+        seen += bool(exact.matches(text))
+    assert seen > 100
+    # without fingerprints nothing is proposed
+    index.prints = ~index.prints
+    assert index.matches(" ".join(items["plain"])) == []
