@@ -338,3 +338,20 @@ def test_leaks_with_repeated_shingles():
         found += len(want)
         assert {m[0]: (m[1], round(m[3], 9)) for m in index.matches(" ".join(text))} == want
     assert found >= 45
+
+
+def test_encoder_agrees_with_tokenizer_on_letters_and_marks():
+    """Punctuation is cut off only after letters that normalizing keeps one letter each."""
+    encoder = tokens.encoder(TOKENIZER)
+    texts = [f"{c}. x{c}!" for c in map(chr, range(0x21, 0x3100)) if c.isprintable()]
+    texts += ["क़. İ. aİ!", "É. Été... 12.5!", "A<|x|>. B́.", "a" * 50_000 + "?", "", None, " \x1c. "]
+    for _ in range(2):  # the second time all pieces are known
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert ids.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_encoder_starts_anew_when_its_memory_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 3)
+    encoder = tokens.Encoder(TOKENIZER)
+    for text in ["one two three four five", "one", "six. seven!", "two three 4 5 6"]:
+        assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
