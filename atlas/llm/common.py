@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Steps that run inside hand ``rows`` rows at a time to Python workers; both sides hold a whole batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it what no column of ``df`` is called in any case of letters."""
     taken = {c.lower() for c in df.columns}
@@ -85,13 +98,15 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(33))
 
 
-def numbered(texts: Iterable[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of texts, the number of each word of all texts in order, and words of each text.
-
-    The words are those of ``words``: Arrow's ASCII white space is the same six characters.
-    """
+def word_lists(texts: Iterable[str | None]) -> pa.Array:
+    """The words of each text, as ``words`` cuts them: Arrow's ASCII white space is the same six characters."""
     given = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
-    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(given, ""), None, given))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(given, ""), None, given))
+
+
+def numbered(texts: Iterable[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts, the number of each word of all texts in order, and words of each text."""
+    lists = word_lists(texts)
     chunks = lists.flatten().dictionary_encode()
     distinct = chunks.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

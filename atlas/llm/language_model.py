@@ -18,16 +18,18 @@ commonest words, a fixed number, are broadcast, and all other words meet their c
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlas.llm.common import mix, numbered, word_hashes
+from atlas.llm.common import arrow_rows, mix, numbered, word_lists
 from atlas.session import stage
 
 #: The token after the last word; no word holds a space.
@@ -43,9 +45,9 @@ PROBES, ENTRY_BITS, RATIO = 5, 9, 1.25
 #: Words whose counts are broadcast.
 COMMON = 65_536
 #: Tokens of one packet of counts.
-PACKET_TOKENS = 2_000_000
-#: Documents whose n-grams are looked up together.
-BATCH = 400
+PACKET_TOKENS = 500_000
+#: Documents whose n-grams are looked up together, and that are handed to a worker and whose words are counted together.
+BATCH, TALLY = 1000, 2000
 #: Levels: the count that each stands for; small counts have one each.
 LEVELS = np.unique(np.concatenate([np.arange(1, 5), np.floor(4 * RATIO ** np.arange(1, 160))])).astype(np.int64)
 
@@ -55,17 +57,27 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, counts, side="right").astype(np.int64)
 
 
-def tokens(texts: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def tokens(texts: pd.Series | pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words and the end (last), the number of each token of all texts, tokens of each text."""
     distinct, codes, sizes = numbered(texts)
     return [*distinct, END], np.insert(codes, np.cumsum(sizes), len(distinct)), sizes + 1
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of every token."""
+    return mix(hash_array(np.array([*words, b""], object)[:-1], categorize=False))
+
+
 def gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of a context and the word after it."""
     return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of equally wide ranges of hashes each lies in; sorted hashes meet the ranges in order."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 @dataclass
 class Filter:
     """Bits of a filter or of some pieces of it, and what is known of contexts by level."""
@@ -83,22 +95,30 @@ class Filter:
 
     def holds(self, grams: np.ndarray) -> np.ndarray:
         """Which n-grams lie in the pieces at hand."""
-        piece = (grams % np.uint64(self.pieces())).astype(np.int64) - self.first
+        piece = part_of(grams, self.pieces()) - self.first
         return (piece >= 0) & (piece < len(self.bits) // PIECE_BYTES)
 
     def level(self, grams: np.ndarray) -> np.ndarray:
         """Levels read back by probing until a number is missing; 0 in pieces that are not at hand."""
         out = np.zeros(len(grams), np.int64)
         active, number = np.flatnonzero(self.holds(grams)) if self.of else np.arange(len(grams)), 1
+        start = (part_of(grams[active], self.pieces()) - self.first) * (PIECE_BYTES * 8)
         while len(active) and number <= len(LEVELS):
-            piece, places = probes(grams[active], number, self.pieces())
-            at = (piece - self.first)[:, None] * PIECE_BYTES + (places >> 3)
-            hit = ((self.bits[at] >> (places & 7).astype(np.uint8)) & 1).all(1)
-            active = active[hit]
+            first, step = probes(grams[active], number)
+            # the first bit alone tells most of those that are missing
+            hit = np.flatnonzero(self.bit(start + place(first, step, 0)))
+            active, start, first, step = active[hit], start[hit], first[hit], step[hit]
+            hit = np.ones(len(active), bool)
+            for k in range(1, PROBES):
+                hit &= self.bit(start + place(first, step, k))
+            active, start = active[hit], start[hit]
             out[active] = number
             number += 1
         return out
 
+    def bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Levels of n-grams that may repeat."""
         found, back = np.unique(grams, return_inverse=True)
@@ -110,20 +130,37 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, LEVELS[np.maximum(levels, 1) - 1], 0)
 
 
-def probes(grams: np.ndarray, number: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece of each n-gram and its bits there for a number."""
-    piece = (grams % np.uint64(pieces)).astype(np.int64)
+def probes(grams: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the bits of each n-gram for a number follow from."""
     first = mix(grams + np.uint64(number * 0xD6E8FEB86659FD93 % (1 << 64)))
-    step = (first >> np.uint64(32)) | np.uint64(1)
-    places = (first[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(PIECE_BYTES * 8)
-    return piece, places.astype(np.int64)
+    return first, (first >> np.uint64(32)) | np.uint64(1)
+
+
+def place(first: np.ndarray, step: np.ndarray, probe: int) -> np.ndarray:
+    """Bit of a probe within the piece, whose bits are a power of two."""
+    return ((first + step * np.uint64(probe)) & np.uint64(PIECE_BYTES * 8 - 1)).astype(np.int64)
 
 
 def fill(piece_bits: np.ndarray, grams: np.ndarray, levels: np.ndarray, pieces: int) -> None:
-    """Enter n-grams of one piece with the numbers up to their levels."""
+    """Enter n-grams of one of ``pieces``, all the same to it, with the numbers up to their levels."""
     for number in range(1, int(levels.max(initial=0)) + 1):
-        _, places = probes(grams[levels >= number], number, pieces)
-        np.bitwise_or.at(piece_bits, (places >> 3).ravel(), (1 << (places & 7)).astype(np.uint8).ravel())
+        first, step = probes(grams[levels >= number], number)
+        for k in range(PROBES):
+            at = place(first, step, k)
+            np.bitwise_or.at(piece_bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Smaller parts of batches; memory that one part took is given back before the next."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            # a copy: Arrow's string functions misread slices
+            yield batch.take(pa.array(np.arange(at, min(at + rows, len(batch)))))
+            pa.default_memory_pool().release_unused()
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column("text").cast(pa.large_string())
 
 
 def packets(docs: DataFrame, make, buckets: int) -> DataFrame:
@@ -133,31 +170,31 @@ def packets(docs: DataFrame, make, buckets: int) -> DataFrame:
     bucket for every ``PACKET_TOKENS`` tokens, so what is shuffled grows with the text and a hot
     n-gram is counted once a packet.
     """
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["bucket", "keys", "counts", "levels"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
             grams, levels = (np.concatenate(x) for x in zip(*held))
             keys, first, counts = np.unique(grams, return_index=True, return_counts=True)
-            levels = levels[first].astype(np.uint8)
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(1, buckets))
-            parts = [np.split(x[order], cuts) for x in (keys, counts.astype(np.uint32), levels)]
-            rows = [(b, k.tobytes(), c.tobytes(), x.tobytes()) for b, (k, c, x) in enumerate(zip(*parts)) if len(k)]
-            return pd.DataFrame(rows, columns=["bucket", "keys", "counts", "levels"])
-
-        for frame in frames:
-            for at in range(0, len(frame), BATCH):
-                held.append(make(frame["text"].iloc[at:at + BATCH]))
-                size += len(held[-1][0])
-                if size >= PACKET_TOKENS:
-                    yield flush()
-                    held, size = [], 0
+            levels = levels[first]
+            bucket = part_of(keys, buckets)  # in ascending order, as keys are
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            parts = [np.split(x, cuts) for x in (keys, counts.astype(np.uint32), levels)]
+            columns = [pa.array([x.tobytes() for x in part][:len(bucket)], pa.binary()) for part in parts]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[np.insert(cuts, 0, 0)] if len(bucket) else bucket, pa.int32()), *columns], names)
+
+        for batch in slices(batches, BATCH):
+            held.append(make(text_of(batch)))
+            size += len(held[-1][0])
+            if size >= PACKET_TOKENS:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInPandas(count, "bucket int, keys binary, counts binary, levels binary")
+    return docs.select("text").mapInArrow(count, "bucket int, keys binary, counts binary, levels binary")
 
 
 def merged(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,8 +241,8 @@ def build(buckets_of: DataFrame, entries: np.ndarray, buckets: int) -> tuple[Dat
         for frame in frames:
             for bucket, keys, levels in zip(frame["bucket"], frame["keys"], frame["levels"]):
                 grams, level = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64)
-                piece = (grams % np.uint64(pieces)).astype(np.int64)
-                for k in range(bucket, pieces, buckets):
+                piece = part_of(grams, pieces)
+                for k in range(bucket * share, (bucket + 1) * share):
                     bits = np.zeros(PIECE_BYTES, np.uint8)
                     own = piece == k
                     fill(bits, grams[own], level[own], pieces)
@@ -268,23 +305,13 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, group_bytes: int =
     """
     spark = docs.sparkSession
 
-    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-
-        def flush():
-            return pd.DataFrame({"word": list(seen.keys()), "count": list(seen.values())})
-
-        for frame in frames:
-            for at in range(0, len(frame), BATCH):
-                distinct, codes, _ = tokens(frame["text"].iloc[at:at + BATCH])
-                seen.update(dict(zip(distinct, np.bincount(codes, minlength=len(distinct)).tolist())))
-                if len(seen) > 500_000:
-                    yield flush()
-                    seen.clear()
-        if seen:
-            yield flush()
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, TALLY):
+            found = word_lists(text_of(batch)).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["word", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(batch)])], ["word", "count"])
 
-    counts = stage(docs.select("text").mapInPandas(tally, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count")), "counts")
+    counts = stage(docs.select("text").mapInArrow(tally, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
 
     least = max(4, filter_bytes // PIECE_BYTES)
@@ -294,16 +321,20 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, group_bytes: int =
         for frame in frames:
             keys = word_hashes(list(frame["word"]))
             levels = level_of(frame["count"].to_numpy(np.int64))
-            bucket = (keys % np.uint64(word_buckets)).astype(np.int64)
-            for b in np.unique(bucket):
-                own = bucket == b
-                yield pd.DataFrame({"bucket": [b], "keys": [keys[own].tobytes()], "levels": [levels[own].astype(np.uint8).tobytes()],
-                                    "entries": [np.bincount(levels[own], levels[own], len(LEVELS) + 1)]})
+            bucket = part_of(keys, word_buckets)
+            order = np.argsort(bucket, kind="stable")
+            keys, levels, bucket = keys[order], levels[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            own = np.split(levels, cuts)
+            yield pd.DataFrame({"bucket": bucket[np.insert(cuts, 0, 0)] if len(bucket) else bucket,
+                                "keys": [x.tobytes() for x in np.split(keys, cuts)][:len(bucket)],
+                                "levels": [x.astype(np.uint8).tobytes() for x in own][:len(bucket)],
+                                "entries": [np.bincount(x, x, len(LEVELS) + 1) for x in own][:len(bucket)]})
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "keys": [b"".join(part["keys"])], "levels": [b"".join(part["levels"])]})
 
-    rows = counts.mapInPandas(hashed, "bucket int, keys binary, levels binary, entries array<double>")
+    rows = stage(counts.mapInPandas(hashed, "bucket int, keys binary, levels binary, entries array<double>"), "words")
     words_of = rows.groupBy("bucket").applyInPandas(gather, "bucket int, keys binary, levels binary")
     (entries,) = statistics(rows, "entries")
     words, word_pieces = build(words_of, entries, word_buckets)
@@ -311,14 +342,14 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, group_bytes: int =
     model = Model(words, word_pieces, words, word_pieces, np.zeros(len(LEVELS) + 1), total, distinct, unseen)
 
     def pairs_in(shared):
-        def pairs(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             distinct, codes, sizes = tokens(texts)
             hashes, ends = word_hashes(distinct), np.cumsum(sizes)
             before, after = np.delete(codes, ends - 1), np.delete(codes, ends - sizes)
             if shared.value.of:
                 own = shared.value.holds(hashes)[before]
                 before, after = before[own], after[own]
-            return gram(hashes[before], hashes[after]), shared.value.level(hashes)[before]
+            return gram(hashes[before], hashes[after]), shared.value.level(hashes).astype(np.uint8)[before]
         return pairs
 
     parts = groups(word_pieces, group_bytes)
@@ -342,21 +373,22 @@ class Scorer:
     """Log10 probability of texts from levels of words and pairs."""
 
     def __init__(self, repeat: np.ndarray, unseen: float):
-        self.repeat, self.unseen = repeat, unseen
+        level = np.arange(len(LEVELS) + 1)
+        self.counts = count_of(level)
+        self.single = (self.counts + 0.5) * 2 * unseen
+        self.repeat = np.where(level > 0, repeat, 0)
+        # counts are read as the least that a level stands for, contexts as the least of the next
+        self.room = np.where(self.counts > 4, LEVELS[np.minimum(level, len(LEVELS) - 1)], np.maximum(self.counts, 1))
 
     def score(self, words: np.ndarray, pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Of texts given by levels of each token and of the pair that it ends, and where texts start.
 
         Each position is given the one before it, the first of a text nothing.
         """
-        counts, seen = count_of(words), count_of(pairs)
-        single = (counts + 0.5) * 2 * self.unseen
-        context = np.roll(counts, 1)
+        context = np.roll(words, 1)
         context[starts] = 0
-        repeat = np.where(context > 0, self.repeat[level_of(context)], 0)
-        # counts are read as the least that a level stands for, contexts as the least of the next
-        room = np.where(context > 4, LEVELS[np.minimum(level_of(context), len(LEVELS) - 1)], np.maximum(context, 1))
-        chance = repeat * np.minimum(seen / room, 1) + (1 - repeat) * single
+        repeat = self.repeat[context]
+        chance = repeat * np.minimum(self.counts[pairs] / self.room[context], 1) + (1 - repeat) * self.single[words]
         return np.add.reduceat(np.log10(chance), starts)
 
 
@@ -422,46 +454,46 @@ def score(docs: DataFrame, learn, filter_bytes: int = FILTER_BYTES, common: int
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model, counts = train(texts.where(learn), filter_bytes, group_bytes)
+    with arrow_rows(spark, TALLY):
+        model, counts = train(texts.where(learn), filter_bytes, group_bytes)
     at_once = (model.word_pieces + model.pair_pieces) * PIECE_BYTES <= group_bytes
     whole = (model.part("words", 0, model.word_pieces), model.part("pairs", 0, model.pair_pieces)) if at_once else None
     texts = texts.withColumn("i", F.monotonically_increasing_id())
     if not at_once:
         texts = stage(texts, "texts")
     top = counts.orderBy(F.desc("count"), "word").limit(common).collect()
-    shared = spark.sparkContext.broadcast((whole, {bytes(w): c for w, c in top}))
+    shared = spark.sparkContext.broadcast((whole, [bytes(w) for w, _ in top], np.array([*(math.log10(c + 0.5) for _, c in top), np.nan])))
     repeat, unseen = model.repeat, model.unseen
     log_total = math.log10(model.total + 0.5 * (model.distinct + 1))
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole, frequent = shared.value
-        scorer = Scorer(repeat, unseen)
-        logs = {w: math.log10(c + 0.5) for w, c in frequent.items()}
-        for frame in frames:
-            for at in range(0, len(frame), BATCH):
-                part = frame.iloc[at:at + BATCH]
-                named, back, sizes = tokens(part["text"])
-                starts = np.cumsum(sizes) - sizes
-                log = np.array([logs.get(w, np.nan) for w in named])
-                is_rare = np.isnan(log)
-                # words that are not common, once a document
-                at_rare = np.flatnonzero(is_rare[back])
-                doc = np.repeat(np.arange(len(part)), sizes)[at_rare]
-                pair, times = np.unique(doc * len(named) + back[at_rare], return_counts=True)
-                cuts = np.searchsorted(pair // len(named), np.arange(1, len(part)))
-                rare = [[named[i] for i in x.tolist()] for x in np.split(pair % len(named), cuts)]
-                if whole:
-                    hashes = word_hashes(named)
-                    levels = levels_at(whole[0], "words", hashes, back, starts)
-                    found = scorer.score(levels, levels_at(whole[1], "pairs", hashes, back, starts, levels), starts)
-                yield pd.DataFrame({
-                    "i": part["i"].array, "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": sizes,
-                    "known": np.add.reduceat(~is_rare[back], starts, dtype=np.int64),
-                    "base": np.add.reduceat(np.where(is_rare, 0, log)[back], starts),
-                    "score": found if whole else np.nan, "rare": rare, "times": np.split(times, cuts)})
-
-    rows = stage(texts.mapInPandas(read, "i long, doc_id long, n_tokens long, known long, base double, score double, "
-                                         "rare array<binary>, times array<long>"), "scored")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, frequent, logs = shared.value  # the last of the logs is for words that are not common
+        frequent, scorer = pa.array(frequent, pa.binary()), Scorer(repeat, unseen)
+        for part in slices(batches, BATCH):
+            named, back, sizes = tokens(text_of(part))
+            starts = np.cumsum(sizes) - sizes
+            names = pa.array(named, pa.binary())
+            log = logs[pc.index_in(names, value_set=frequent).fill_null(-1).to_numpy(zero_copy_only=False)]
+            is_rare = np.isnan(log)
+            # words that are not common, once a document
+            at_rare = np.flatnonzero(is_rare[back])
+            doc = np.repeat(np.arange(len(part)), sizes)[at_rare]
+            pair, times = np.unique(doc * len(named) + back[at_rare], return_counts=True)
+            cuts = pa.array(np.searchsorted(pair // len(named), np.arange(len(part) + 1)), pa.int32())
+            rare = pa.ListArray.from_arrays(cuts, names.take(pa.array(pair % len(named))))
+            found = np.full(len(part), np.nan)
+            if whole:
+                hashes = word_hashes(named)
+                levels = levels_at(whole[0], "words", hashes, back, starts)
+                found = scorer.score(levels, levels_at(whole[1], "pairs", hashes, back, starts, levels), starts)
+            yield pa.RecordBatch.from_arrays([
+                part.column("i"), part.column("doc_id"), pa.array(sizes), pa.array(np.add.reduceat(~is_rare[back], starts, dtype=np.int64)),
+                pa.array(np.add.reduceat(np.where(is_rare, 0, log)[back], starts)), pa.array(found), rare,
+                pa.ListArray.from_arrays(cuts, pa.array(times))], ["i", "doc_id", "n_tokens", "known", "base", "score", "rare", "times"])
+
+    with arrow_rows(spark, TALLY):
+        rows = stage(texts.mapInArrow(read, "i long, doc_id long, n_tokens long, known long, base double, score double, "
+                                             "rare array<binary>, times array<long>"), "scored")
     if not at_once:
         rows = rows.drop("score").join(scores_by_group(texts, model, group_bytes), F.col("i") == F.col("_i")).drop("_i")
     pairs = rows.select("i", F.posexplode("rare").alias("at", "word"), "times").select(

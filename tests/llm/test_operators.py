@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from atlas.llm import (components, decontaminate, jaccard, language_model, lines, neighbours, packing, quality,
+from atlas.llm import (common, components, decontaminate, jaccard, language_model, lines, neighbours, packing, quality,
                        tokens, toxicity, urls, wavelet)
 from atlas.llm.queries import URL_RULES
 
@@ -355,3 +355,17 @@ def test_encoder_starts_anew_when_its_memory_is_full(monkeypatch):
     encoder = tokens.Encoder(TOKENIZER)
     for text in ["one two three four five", "one", "six. seven!", "two three 4 5 6"]:
         assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_slices_of_batches_hold_the_same_words():
+    import pyarrow as pa
+
+    texts = [None if i % 11 == 3 else f" Über{i} x\x0b{'é' * (i % 7)}  end{i}." * (i % 4) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [language_model.text_of(part) for part in language_model.slices([batch], 300)]
+    assert [len(part) for part in parts] == [300, 300, 300, 100]
+    found = []
+    for part in parts:
+        named, codes, sizes = language_model.tokens(part)
+        found += [[named[c] for c in x] for x in np.split(codes, np.cumsum(sizes)[:-1])]
+    assert found == [[*common.words(text), language_model.END] for text in texts]
