@@ -229,27 +229,19 @@ def buckets_for(least: int, occurrences: int) -> int:
     return max(1, least, -(-occurrences // BUCKET_TOKENS))
 
 
-def build(buckets_of: DataFrame, entries: np.ndarray, buckets: int) -> tuple[DataFrame, int]:
-    """``piece`` and ``bits`` of a filter with room for all entries, and its number of pieces.
+def share_of(entries: np.ndarray, buckets: int) -> int:
+    """Pieces of each bucket, so that the filter has room for all entries: at least one, as n-grams of one piece are of one bucket."""
+    return max(1, math.ceil(entries.sum() * ENTRY_BITS / 8 / PIECE_BYTES / buckets))
 
-    Each bucket makes equally many pieces, at least one: n-grams of one piece are of one bucket.
-    """
-    share = max(1, math.ceil(entries.sum() * ENTRY_BITS / 8 / PIECE_BYTES / buckets))
-    pieces = buckets * share
-
-    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for bucket, keys, levels in zip(frame["bucket"], frame["keys"], frame["levels"]):
-                grams, level = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64)
-                piece = part_of(grams, pieces)
-                for k in range(bucket * share, (bucket + 1) * share):
-                    bits = np.zeros(PIECE_BYTES, np.uint8)
-                    own = piece == k
-                    fill(bits, grams[own], level[own], pieces)
-                    yield pd.DataFrame({"piece": [k], "bits": [bits.tobytes()]})
 
-    made = buckets_of.select("bucket", "keys", "levels").mapInPandas(enter, "piece int, bits binary")
-    return stage(made, "filter"), pieces
+def pieces_of(bucket: int, keys: bytes, levels: bytes, share: int, pieces: int) -> Iterator[pd.DataFrame]:
+    """``piece`` and ``bits`` of one bucket, a piece at a time."""
+    grams, level = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64)
+    piece = part_of(grams, pieces)
+    for k in range(bucket * share, (bucket + 1) * share):
+        bits, own = np.zeros(PIECE_BYTES, np.uint8), piece == k
+        fill(bits, grams[own], level[own], pieces)
+        yield pd.DataFrame({"piece": [k], "bits": [bits.tobytes()]})
 
 
 def groups(pieces: int, group_bytes: int) -> list[tuple[int, int]]:
@@ -331,13 +323,16 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, group_bytes: int =
                                 "levels": [x.astype(np.uint8).tobytes() for x in own][:len(bucket)],
                                 "entries": [np.bincount(x, x, len(LEVELS) + 1) for x in own][:len(bucket)]})
 
-    def gather(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "keys": [b"".join(part["keys"])], "levels": [b"".join(part["levels"])]})
-
     rows = stage(counts.mapInPandas(hashed, "bucket int, keys binary, levels binary, entries array<double>"), "words")
-    words_of = rows.groupBy("bucket").applyInPandas(gather, "bucket int, keys binary, levels binary")
     (entries,) = statistics(rows, "entries")
-    words, word_pieces = build(words_of, entries, word_buckets)
+    share = share_of(entries, word_buckets)
+    word_pieces = word_buckets * share
+
+    # one Python step a stage: a second one doubles the workers that later steps use in turn
+    def enter_words(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(pieces_of(part["bucket"].iloc[0], b"".join(part["keys"]), b"".join(part["levels"]), share, word_pieces))
+
+    words = stage(rows.groupBy("bucket").applyInPandas(enter_words, "piece int, bits binary"), "filter")
     unseen = 0.5 / (total + 0.5 * (distinct + 1))
     model = Model(words, word_pieces, words, word_pieces, np.zeros(len(LEVELS) + 1), total, distinct, unseen)
 
@@ -363,7 +358,16 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, group_bytes: int =
         packed = packed.union(own) if packed is not None else own
     pairs_of = stage(total_counts(packed), "pairs")
     entries, seen, once = statistics(pairs_of, "entries", "tokens", "once")
-    model.pairs, model.pair_pieces = build(pairs_of, entries, pair_buckets)
+    pair_share = share_of(entries, pair_buckets)
+    pair_pieces = pair_buckets * pair_share
+
+    def enter_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for bucket, keys, levels in zip(frame["bucket"], frame["keys"], frame["levels"]):
+                yield from pieces_of(bucket, keys, levels, pair_share, pair_pieces)
+
+    model.pairs = stage(pairs_of.select("bucket", "keys", "levels").mapInPandas(enter_pairs, "piece int, bits binary"), "filter")
+    model.pair_pieces = pair_pieces
     # contexts of one level: the share of pairs that come again; levels without pairs have none
     model.repeat = np.clip(1 - once / np.maximum(seen, 1), 0, 0.95)
     return model, counts
