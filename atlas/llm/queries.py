@@ -66,8 +66,7 @@ def op5_pack_windows(spark, folder):
 @query()
 def op6_quality_ranking(spark, folder):
     """Quality of all documents by pairwise ranking."""
-    docs = table(spark, folder, "documents")
-    scored = quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+    scored = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("quality_score").alias("score"),
                          (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
