@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
 1. A lexicon of words and word beginnings is drawn from a bounded sample of labelled documents.
-2. Its terms, grouped into lexicon voters, and some patterns vote toxic, clean or not at all on the
-   sample's documents.
-3. A generative label model estimates each voter's accuracy without labels (expectation
-   maximisation) and the voters' correlations, and shares the weight among correlated ones.
+2. Its terms, grouped into lexicon voters, how many of them a text holds, and patterns of the text
+   itself (repeated marks, capitals, masked letters, address of a person) vote on the sample's documents.
+3. A generative label model estimates without labels (expectation maximisation) each lexicon voter's
+   accuracy, how often texts of either class show each pattern, and the voters' correlations, and
+   shares the weight among correlated ones.
 4. A linear classifier learns the model's posterior labels from the terms and patterns of a text.
    Spark scores every whole text with it.
 """
@@ -12,6 +13,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +34,14 @@ TERMS, SHORT, LONG = 600, 4, 8
 SUPPORT, PRECISION = 3, 0.9
 VOTERS = 24
 STRIP = b".,!?:;\"'()[]$%#*&|-"
+#: Patterns of a text: repeated marks, words in capitals, symbols that mask letters, second persons.
+MARKS, CAPITALS, MASKS = re.compile(r"[!?]{2,}"), re.compile(r"[A-Z]{3,}"), re.compile(r"[*@#$]+(?=[^\W\d_])")
+PERSONS = frozenset(b"you your yours yourself du dich dir dein deine ihr euch tu te toi vous votre vos usted ustedes ti".split())
+PATTERNS = 4
+#: Lexicon voters, five figures of a text, patterns.
+WIDTH = VOTERS + 5 + PATTERNS
+#: Occurrences a word from which a pattern is shown; with none it is not, between the two it has no vote.
+SHOWN = 0.02
 
 
 @dataclass
@@ -64,10 +74,12 @@ def openings(terms: dict[bytes, int]) -> set[bytes]:
     return {term.rstrip(b"$")[:SHORT] for term in terms}
 
 
-def hits(text: str | None, terms: dict[bytes, int], starts: set[bytes]) -> tuple[Counter, int]:
-    """Occurrences of terms, each word once by its longest term, and the number of words."""
-    found, every = Counter(), words(text)
+def hits(text: str | None, terms: dict[bytes, int], starts: set[bytes]) -> tuple[Counter, int, int]:
+    """Occurrences of terms, each word once by its longest term, the number of words, and of second persons."""
+    found, every, persons = Counter(), words(text), 0
     for raw, n in Counter(every).items():
+        if len(raw) < 12 and raw.strip(STRIP) in PERSONS:
+            persons += n
         if raw[:SHORT] in starts or raw[0] in STRIP:
             word = raw.strip(STRIP)
             if word[:SHORT] in starts:
@@ -75,18 +87,24 @@ def hits(text: str | None, terms: dict[bytes, int], starts: set[bytes]) -> tuple
                     if key in terms:
                         found[terms[key]] += n
                         break
-    return found, len(every)
+    return found, len(every), persons
+
+
+def patterns(text: str, persons: int, total: int) -> list[float]:
+    """Occurrences of each pattern for every word, 1 at most."""
+    masked = sum(m.start() > 0 and text[m.start() - 1].isalpha() for m in MASKS.finditer(text))
+    return [min(n / max(total, 1), 1.0) for n in (len(MARKS.findall(text)), len(CAPITALS.findall(text)), masked, persons)]
 
 
 def features(text: str | None, terms: dict[bytes, int], starts: set[bytes], voters: np.ndarray) -> np.ndarray:
     """Presence of each voter, share and number of hits, and patterns of the text."""
-    found, total = hits(text, terms, starts)
-    out = np.zeros(VOTERS + 5)
+    found, total, persons = hits(text, terms, starts)
+    out = np.zeros(WIDTH)
     for term in found:
         out[voters[term]] = 1.0
     count, text = sum(found.values()), text or ""
     out[VOTERS:] = (count > 0, min(count, 10) / 10, min(1.0, 50 * count / max(total, 1)),
-                    text.count("!") / (len(text) + 1), np.log1p(total) / 10)
+                    text.count("!") / (len(text) + 1), np.log1p(total) / 10, *patterns(text, persons, total))
     return out
 
 
@@ -134,39 +152,51 @@ def standing(terms: dict[bytes, tuple[int, int]]) -> list[tuple[bytes, int, int]
     return [(t, *kept[t]) for t in terms if t in kept]
 
 
-def label_model(votes: np.ndarray, rounds: int = 50) -> np.ndarray:
+def label_model(votes: np.ndarray, shown: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
     """Posterior chance of toxic from votes (1 toxic, -1 clean, 0 none), learned from the votes alone.
 
-    Accuracies come from expectation maximisation.  Voters that are right or wrong together beyond
-    what the classes explain are correlated: each one's say is divided by one plus the sum of its
-    positive correlations, so a crowd of copies weighs as one voter.
+    Accuracies come from expectation maximisation.  What a pattern speaks for is learned, too: ``shown``
+    (1 shown, -1 not, 0 neither) counts by how often either class gives each outcome, so a pattern that
+    both classes show alike has no say.  Voters that are right or wrong together beyond what the
+    classes explain are correlated: each one's say is divided by one plus the sum of its positive
+    correlations, so a crowd of copies weighs as one voter.
     """
+    shown = np.zeros((len(votes), 0)) if shown is None else shown
+    lexical = votes.shape[1]
     said = votes != 0
     posterior = np.clip(0.5 + 0.5 * votes.sum(1) / np.maximum(said.sum(1), 1), 0.02, 0.98)
-    share = np.ones(votes.shape[1])
+    share = np.ones(lexical + shown.shape[1])
     for step in range(rounds):
         right = np.where(votes > 0, posterior[:, None], np.where(votes < 0, 1 - posterior[:, None], 0.0))
         accuracy = np.clip((right.sum(0) + 2) / (said.sum(0) + 3), 0.55, 0.995)
+        # chance that a text of either class shows a pattern, of texts that show it or not
+        rates = [((shown > 0) * p[:, None]).sum(0) + 1 for p in (posterior, 1 - posterior)]
+        rates = [r / (((shown != 0) * p[:, None]).sum(0) + 2) for r, p in zip(rates, (posterior, 1 - posterior))]
         if step == rounds // 2:
             agrees = votes * np.where(posterior > 0.5, 1, -1)[:, None]
-            error = np.where(said, agrees - agrees.sum(0) / np.maximum(said.sum(0), 1), 0)
+            expected = posterior[:, None] * rates[0] + (1 - posterior[:, None]) * rates[1]
+            error = np.column_stack([np.where(said, agrees - agrees.sum(0) / np.maximum(said.sum(0), 1), 0),
+                                     np.where(shown != 0, (shown > 0) - expected, 0)])
             norm = np.sqrt((error ** 2).sum(0)) + 1e-9
             correlation = (error.T @ error) / np.outer(norm, norm)
             np.fill_diagonal(correlation, 0)
             share = 1 / (1 + np.clip(correlation, 0, 1).sum(0))
         prior = np.clip(posterior.mean(), 0.01, 0.99)
-        logit = np.log(prior / (1 - prior)) + votes @ (share * np.log(accuracy / (1 - accuracy)))
+        says = np.where(shown > 0, np.log(rates[0] / rates[1]), np.where(shown < 0, np.log((1 - rates[0]) / (1 - rates[1])), 0.0))
+        logit = (np.log(prior / (1 - prior)) + votes @ (share[:lexical] * np.log(accuracy / (1 - accuracy)))
+                 + says @ share[lexical:])
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return posterior
 
 
-def vote(x: np.ndarray) -> np.ndarray:
-    """Votes of lexicon voters and patterns on features."""
+def vote(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes of the lexicon on features, and which patterns are shown."""
     lexical = np.where(x[:, :VOTERS] > 0, 1, 0)
     some, count, dense = x[:, VOTERS], x[:, VOTERS + 1], x[:, VOTERS + 2]
-    patterns = [np.where(some > 0, 1, -1), np.where(count > 0.1, 1, np.where(some > 0, 0, -1)),
-                np.where(dense >= 0.1, 1, np.where(some > 0, 0, -1))]
-    return np.column_stack([lexical, *patterns])
+    amounts = [np.where(some > 0, 1, -1), np.where(count > 0.1, 1, np.where(some > 0, 0, -1)),
+               np.where(dense >= 0.1, 1, np.where(some > 0, 0, -1))]
+    held = x[:, -PATTERNS:]
+    return np.column_stack([lexical, *amounts]), np.where(held >= SHOWN, 1, np.where(held == 0, -1, 0))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -196,16 +226,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = np.array([features(t, terms, openings(terms), voters) for t in frame["text"]]).reshape(len(frame), VOTERS + 5)
+            x = np.array([features(t, terms, openings(terms), voters) for t in frame["text"]]).reshape(len(frame), WIDTH)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "x": list(x)})
 
     gathered = joined.mapInPandas(collect, "doc_id long, x array<double>").orderBy("doc_id").collect()
-    x = np.array([r["x"] for r in gathered]).reshape(len(gathered), VOTERS + 5)
-    mean, spread = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(VOTERS + 5), np.ones(VOTERS + 5))
+    x = np.array([r["x"] for r in gathered]).reshape(len(gathered), WIDTH)
+    mean, spread = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
     spread = np.where(spread < 1e-3, 1.0, spread)
     if not len(x) or not terms:
-        return Model(terms, voters, mean, spread, np.zeros(VOTERS + 5), -3.0)
-    weights, bias = logistic((x - mean) / spread, label_model(vote(x)))
+        return Model(terms, voters, mean, spread, np.zeros(WIDTH), -3.0)
+    weights, bias = logistic((x - mean) / spread, label_model(*vote(x)))
     return Model(terms, voters, mean, spread, weights, bias)
 
 

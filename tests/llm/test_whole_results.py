@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from atlas.llm import language_model, quality, tokens, urls
+from atlas.llm import language_model, quality, tokens, toxicity, urls
 from atlas.llm.queries import TOKENIZER, URL_RULES
 
 STEPS = sorted({*range(1, 5), *(math.floor(4 * 1.25 ** k) for k in range(1, 160))})
@@ -98,6 +98,35 @@ def test_threshold_of_quality_counts_all_labels(spark):
     assert quality.judge(table.limit(0), labels.limit(0)).count() == 0
 
 
+def test_patterns_of_texts():
+    text = "Hey YOU!! you, w*rd?! du $5 *bold* NO"
+    found, total, persons = toxicity.hits(text, {}, set())
+    assert (dict(found), total, persons) == ({}, 8, 3)
+    assert toxicity.patterns(text, persons, total) == [2 / 8, 1 / 8, 1 / 8, 3 / 8]
+    assert toxicity.patterns("", 0, 0) == [0, 0, 0, 0]
+
+
+def test_label_model_learns_what_patterns_speak_for():
+    rng = np.random.default_rng(15)
+    toxic = rng.random(6000) < 0.3
+    # three words of a lexicon that misses many toxic texts, counted by one voter that says clean without any
+    words = (rng.random((6000, 3)) < np.where(toxic, 0.45, 0.01)[:, None]).astype(int)
+    votes = np.column_stack([words, np.where(words.any(1), 1, -1)])
+    telling = np.where(rng.random(6000) < np.where(toxic, 0.8, 0.1), 1, -1)
+    reversed_, idle, rare = -telling, np.where(rng.random(6000) < 0.5, 1, -1), np.full(6000, -1)
+    without = toxicity.label_model(votes)
+    same = toxicity.label_model(votes, np.column_stack([rare]))
+    assert np.abs(without - same).max() < 0.02
+    for pattern in (telling, reversed_):
+        got = toxicity.label_model(votes, np.column_stack([pattern, idle]))
+        no_word = ~words.any(1)
+        shown, hidden = got[no_word & (telling > 0)], got[no_word & (telling < 0)]
+        assert shown.mean() > 2 * hidden.mean()
+        assert np.mean((got > 0.5) == toxic) >= np.mean((without > 0.5) == toxic)
+    apart = toxicity.label_model(votes, np.column_stack([idle]))
+    assert abs(apart[idle > 0].mean() - apart[idle < 0].mean()) < 0.05
+
+
 def without_repeated_lines(texts):
     """Texts by id without the lines of three-line windows that came before."""
     met, out = set(), {}
