@@ -5,7 +5,7 @@ before it kept.  SQL cannot express toxicity, packing and tokenization, so there
 the tests hold ``run`` against plain Python: planted toxic documents go, and all that follows is recomputed.
 
 NULL and empty texts pass every stage and are packed as the end id alone.  Rows without an id stay
-unless their text is toxic or holds a benchmark item.  Of rows with equal id and text one stays.  An
+unless their text is toxic or holds a benchmark item.  Of rows with equal id and words one stays.  An
 empty documents table gives no rows.
 """
 
