@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atlas.session import arrow_rows  # noqa: F401  (several operators take it from here)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,18 +21,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Steps that run inside hand ``rows`` rows at a time to Python workers; both sides hold a whole batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it what no column of ``df`` is called in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Rows with an article's text that a Python worker is handed at a time.
+ARTICLE_ROWS = 500
+
 
 @functools.cache
 def _local_root(_application: str) -> str:
@@ -58,6 +63,24 @@ def stage(df: DataFrame, label: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARTICLE_ROWS) -> Iterator[None]:
+    """Steps that run inside hand ``rows`` rows at a time to Python workers; both sides hold a whole batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stage_articles(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """``stage`` for what is scanned from articles: few of them reach a Python worker at a time."""
+    with arrow_rows(df.sparkSession):
+        return stage(df, label, *by)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a frame that comes from fewer file splits than there are cores.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from atlas.operators.dedupe import drop_repeats, keep_last
 from atlas.operators.stats import series_arrays
+from atlas.session import arrow_rows
 
 
 def _replace(df: DataFrame, path: str) -> DataFrame:
@@ -98,8 +99,9 @@ def write_year_partition(people: DataFrame, path: str) -> None:
 
     Rows are gathered by year first: a small year is one file, and a large one several.
     """
-    people.hint("rebalance", "birth_year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("birth_year").parquet(path)
+    with arrow_rows(people.sparkSession):
+        people.hint("rebalance", "birth_year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("birth_year").parquet(path)
 
 
 def chart_payload(series: DataFrame, name: str, x: str, *values: str) -> DataFrame:

@@ -143,6 +143,14 @@ def test_scanner_broken_markup():
     assert scan_text("[[a\nb]]")["links"] == []
 
 
+def test_scanner_gives_results_in_slices(monkeypatch):
+    monkeypatch.setattr(scanner, "SLICE", 1000)
+    texts = [None, "", "{{A|x=1}} [[B]] c", "y" * 2500, *["[[L]] z"] * 40]
+    slices = list(scanner.scanned_slices(texts))
+    assert [len(piece) for piece in slices[:1]] == [4] and max(map(len, slices)) <= 10
+    assert [row for piece in slices for row in piece.to_pylist()] == [scan_text(text or "") for text in texts]
+
+
 def test_scanner_is_linear():
     import time
     start = time.perf_counter()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atlas import fixed_values as fv
 from atlas.plans import pages, pageviews
-from atlas.session import scratch_dir, spread, stage
+from atlas.session import ARTICLE_ROWS, scratch_dir, spread, stage
 from atlas.sinks import tables as sinks
 from atlas.sources import dumps, tables
 
@@ -203,3 +203,24 @@ def test_scratch(spark):
     assert stage(df, "numbers").dtypes == df.dtypes and stage(df, "numbers").count() == 10
     assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 8
     assert spread(spark.range(0, 10, 1, 20)).rdd.getNumPartitions() == 20
+
+
+def _handed(spark, **columns):
+    """A partition of 2,000 rows with the given columns, and ``handed``: the rows that their Python worker got at once."""
+    import pyarrow as pa
+
+    @F.arrow_udf("long")
+    def handed(ids: pa.Array) -> pa.Array:
+        return pa.array([len(ids)] * len(ids))
+
+    return spark.range(2000).coalesce(1).select("id", *[F.expr(c).alias(name) for name, c in columns.items()], handed("id").alias("handed"))
+
+
+def test_years_are_written_few_articles_at_a_time(spark):
+    path = f"{scratch_dir(spark)}/people"
+    people = _handed(spark, birth_year="CAST(1800 + id % 3 AS INT)")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sinks.write_year_partition(people, path)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    found = tables.read_year_partition(spark, path).agg(F.count("*").alias("n"), F.max("handed").alias("most")).first()
+    assert found.n == 2000 and found.most <= ARTICLE_ROWS
