@@ -10,7 +10,7 @@ from atlas.catalog.registry import query
 from atlas.functions import geo, markup as mk, text as tx
 from atlas.operators.joins import first_resolved, points_in_polygons
 from atlas.plans import imports, pages, pageviews, trends
-from atlas.session import scratch_dir, spread, stage
+from atlas.session import scratch_dir, spread, stage, stage_articles
 from atlas.sinks import tables as sinks
 from atlas.sources import dumps, tables
 
@@ -366,7 +366,7 @@ FROM ({_FILED}) f LEFT JOIN [VIEWS] v ON v.title = f.title WHERE f.birth_year BE
 def people_of_fetched_years(spark, folder):
     """People of some years stored before any views were known, then of more years; stored ones are not parsed again."""
     path, views = f"{scratch_dir(spark)}/people", _views(spark, folder)
-    tagged = stage(pages.tag_pages(_raw_pages(spark, folder)), "tagged")
+    tagged = stage_articles(pages.tag_pages(_raw_pages(spark, folder)), "tagged")
     imports.fetch_people(tagged, views.limit(0), path, 1800, 1850)
     return imports.fetch_people(tagged, views, path, 1800, 1920).select("birth_year", "person_name", "died", "view_count")
 

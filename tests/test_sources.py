@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atlas import fixed_values as fv
 from atlas.plans import pages, pageviews
-from atlas.session import ARTICLE_ROWS, scratch_dir, spread, stage
+from atlas.session import ARTICLE_ROWS, scratch_dir, spread, stage, stage_articles
 from atlas.sinks import tables as sinks
 from atlas.sources import dumps, tables
 
@@ -224,3 +224,8 @@ def test_years_are_written_few_articles_at_a_time(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     found = tables.read_year_partition(spark, path).agg(F.count("*").alias("n"), F.max("handed").alias("most")).first()
     assert found.n == 2000 and found.most <= ARTICLE_ROWS
+
+
+def test_articles_are_staged_few_at_a_time(spark):
+    found = stage_articles(_handed(spark), "articles").agg(F.count("*").alias("n"), F.max("handed").alias("most")).first()
+    assert found.n == 2000 and found.most <= ARTICLE_ROWS
