@@ -10,7 +10,7 @@ from atlas.catalog.registry import query
 from atlas.functions import geo, markup as mk, text as tx
 from atlas.operators.joins import first_resolved, points_in_polygons
 from atlas.plans import imports, pages, pageviews, trends
-from atlas.session import scratch_dir, spread, stage, stage_articles
+from atlas.session import scratch_dir, spread, stage_articles
 from atlas.sinks import tables as sinks
 from atlas.sources import dumps, tables
 
@@ -400,7 +400,7 @@ def gender_scores(spark, folder):
     articles = _articles(spark, folder)
     years = tx.birth_category_years(
         tx.normalise_tags(tx.categories(mk.link_targets(F.col("wikitext")))), *fv.BIRTH_CATEGORY_YEARS)
-    people = stage(trends.parse_people(articles.select(
+    people = stage_articles(trends.parse_people(articles.select(
         "title", "wiki_id", F.col("kind").alias("infobox"), "wikitext", F.size(years).alias("times")
     ).where("times > 0"), "times"), "people")
     return trends.assign_genders(people, trends.first_name_scores(people, "times")).select("person_name", "gender")
@@ -502,7 +502,7 @@ SELECT a.title, f.link AS location FROM [ARTICLES] a LEFT JOIN (
   QUALIFY row_number() OVER (PARTITION BY title ORDER BY pos) = 1) f ON f.title = a.title
 """)
 def first_resolved_location(spark, folder):
-    people = stage(trends.parse_people(_articles(spark, folder).select(
+    people = stage_articles(trends.parse_people(_articles(spark, folder).select(
         "title", "wiki_id", F.col("kind").alias("infobox"), "wikitext")), "people")
     located = _places(spark, folder).where("lat IS NOT NULL").select(F.col("title").alias("location")).distinct()
     found = first_resolved(people, "person_name", F.concat("locations", "wikilinks"), located, "location")

@@ -8,7 +8,7 @@ from atlas import fixed_values as fv
 from atlas.functions import geo, markup as mk, predicates as pr, text as tx
 from atlas.operators import stats
 from atlas.operators.joins import first_hits, in_key_set, lookup, points_in_polygons
-from atlas.session import stage
+from atlas.session import stage, stage_articles
 
 
 def people_by_birth_category(pages: DataFrame, views: DataFrame,
@@ -128,7 +128,7 @@ def person_trends(pages: DataFrame, views: DataFrame, polygons: DataFrame, codes
     """
     years = tx.birth_category_years(F.col("categories"), first, last)
     filed = pages.withColumn("_times", F.size(years)).where("_times > 0")
-    people = keep(parse_people(filed, "_times"), "people")
+    people = (stage_articles if keep is stage else keep)(parse_people(filed, "_times"), "people")
     places = keep(located_countries(people, pages, polygons, codes), "places")
     scores = keep(first_name_scores(people, "_times"), "scores")
     field, occupation = field_votes(F.col("wikilinks"), F.col("infobox"))
