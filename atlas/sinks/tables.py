@@ -16,12 +16,14 @@ def _replace(df: DataFrame, path: str) -> DataFrame:
 
 def write_pages(pages: DataFrame, path: str) -> DataFrame:
     """Replace the pages; of pages with one title the lowest id stays."""
-    return _replace(drop_repeats(pages, "title", "wiki_id"), path)
+    with arrow_rows(pages.sparkSession):
+        return _replace(drop_repeats(pages, "title", "wiki_id"), path)
 
 
 def write_unique_pages(pages: DataFrame, path: str) -> DataFrame:
     """Replace the pages by ones whose titles don't repeat."""
-    return _replace(pages, path)
+    with arrow_rows(pages.sparkSession):
+        return _replace(pages, path)
 
 
 def record_load(spark: SparkSession, path: str, bucket: str, counters: dict[str, int]) -> DataFrame:
@@ -48,7 +50,8 @@ def write_property_values(values: DataFrame, path: str) -> DataFrame:
 
 def write_page_tags(tags: DataFrame, path: str) -> DataFrame:
     """The tag index, one row per page and tag, dealt and sorted by tag."""
-    return _replace(tags.repartitionByRange("kind", "tag", "title").sortWithinPartitions("kind", "tag"), path)
+    with arrow_rows(tags.sparkSession):
+        return _replace(tags.repartitionByRange("kind", "tag", "title").sortWithinPartitions("kind", "tag"), path)
 
 
 def write_pageviews(totals: DataFrame, path: str) -> DataFrame:

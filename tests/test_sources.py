@@ -229,3 +229,12 @@ def test_years_are_written_few_articles_at_a_time(spark):
 def test_articles_are_staged_few_at_a_time(spark):
     found = stage_articles(_handed(spark), "articles").agg(F.count("*").alias("n"), F.max("handed").alias("most")).first()
     assert found.n == 2000 and found.most <= ARTICLE_ROWS
+
+
+def test_tags_and_pages_are_written_few_articles_at_a_time(spark):
+    root = scratch_dir(spark)
+    pages_ = _handed(spark, title="string(id)", wiki_id="id", kind="'categories'", tag="'a'")
+    for table in (sinks.write_page_tags(pages_, f"{root}/tags"), sinks.write_pages(pages_, f"{root}/pages"),
+                  sinks.write_unique_pages(pages_, f"{root}/unique")):
+        found = table.agg(F.count("*").alias("n"), F.max("handed").alias("most")).first()
+        assert found.n == 2000 and found.most <= ARTICLE_ROWS
