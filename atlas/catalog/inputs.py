@@ -7,10 +7,13 @@ once as a SELECT that Spark and the checking database both understand.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from atlas.functions import text as tx
-from atlas.session import scratch_dir
+from atlas.session import scratch_dir, spread
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXY"
 _CODE = f"concat('N', substr('{_LETTERS}', CAST({{0}} AS INT) + 1, 1))"
@@ -298,22 +301,19 @@ _STATEMENTS = {
 }
 
 
-def triples_sql(stacked: bool) -> str:
-    """Statements as rows: one pass per table with ``stack``, or a plain union."""
+def triples_sql() -> str:
+    """Statements as rows, for the checking database: a plain union."""
     selects = []
     for table, (subject, rows) in _STATEMENTS.items():
-        source = "{" + table.strip() + "}"
-        quoted = [(f"'{p}'", o, f"'{lang}'" if lang else "CAST(NULL AS STRING)") for p, o, lang in rows]
-        if stacked:
-            cells = ", ".join(", ".join(row) for row in quoted)
-            inner = f"SELECT {subject} AS s, stack({len(rows)}, {cells}) AS (p, o, lang) FROM {source}"
-            selects.append(f"SELECT * FROM ({inner}) t WHERE o IS NOT NULL")
-        else:
-            selects += [f"SELECT {subject} AS s, {p} AS p, {o} AS o, {lang} AS lang FROM {source} "
-                        f"WHERE {o} IS NOT NULL" for p, o, lang in quoted]
+        selects += [f"SELECT {subject} AS s, {_quoted(p)} AS p, {o} AS o, {_quoted(lang)} AS lang FROM {{{table.strip()}}} "
+                    f"WHERE {o} IS NOT NULL" for p, o, lang in rows]
     return "\nUNION ALL\n".join(selects)
 
 
+def _quoted(text: str | None) -> str:
+    return "CAST(NULL AS STRING)" if text is None else f"'{text}'"
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -337,7 +337,7 @@ def check(sql: str) -> str:
     names = {
         "PERSONS": PERSONS, "CODES": CODES, "LABELS": LABELS, "TRENDS": TRENDS, "VIEW_LINES": VIEW_LINES,
         "ARTICLES": ARTICLES, "PLACES": PLACES, "VIEWS": VIEWS, "POLYGONS": POLYGONS,
-        "ENTITY_PARTS": ENTITY_PARTS, "NATION_NAMES": NATION_NAMES, "TRIPLES": triples_sql(False),
+        "ENTITY_PARTS": ENTITY_PARTS, "NATION_NAMES": NATION_NAMES, "TRIPLES": triples_sql(),
     }
     for name, text in names.items():
         sql = sql.replace(f"[{name}]", in_check(text))
@@ -367,7 +367,16 @@ def polygons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, folder: str) -> DataFrame:
-    return in_spark(spark, folder, triples_sql(True))
+    """Statements as rows: one pass per table with ``stack``.
+
+    A row becomes up to 18 statements, so a table of few file splits is spread over all cores before.
+    """
+    def statements(table, subject, rows):
+        cells = ", ".join(", ".join([_quoted(p), o, _quoted(lang)]) for p, o, lang in rows)
+        source = spread(in_spark(spark, folder, f"SELECT * FROM {{{table.strip()}}}"))
+        return source.selectExpr(f"{subject} AS s", f"stack({len(rows)}, {cells}) AS (p, o, lang)").where("o IS NOT NULL")
+
+    return reduce(DataFrame.unionAll, [statements(table, *of) for table, of in _STATEMENTS.items()])
 
 
 _DUMPS: dict[tuple[str, str], str] = {}

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from atlas.catalog import inputs
 from atlas.operators import joins, property_values as pv
 from atlas.plans import entities as en, imports, pages, persons as ps
 from atlas.sinks import tables as sinks, versions
@@ -231,3 +232,18 @@ def test_occupations_over_time_read_persons_once(spark):
 
     got = charts.top_occupations_over_time(people, labels, n=1, keep=keep).collect()
     assert [(r.series, r.x, r.y) for r in got] == [("y", 1900, 1)] and kept[0][0] == "cube"
+
+
+def test_statements_of_one_file_are_made_on_all_cores(spark, tmp_path):
+    names = "c_custkey LONG, c_name STRING, c_mktsegment STRING, c_nationkey LONG"
+    customers = [(k, f"name {k}", None if k % 5 == 0 else ["BUILDING", "FURNITURE", "AUTO"][k % 3], k % 25) for k in range(200)]
+    rows = {"customer": (customers + [customers[7], (None, None, None, None)], names),
+            "supplier": ([(k, f"s {k}", k % 25) for k in range(9)], "s_suppkey LONG, s_name STRING, s_nationkey LONG"),
+            "nation": ([(k, f"n {k}") for k in range(25)], "n_nationkey LONG, n_name STRING")}
+    for name, table in rows.items():
+        spark.createDataFrame(*table).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = inputs.triples(spark, str(tmp_path))
+    plain = inputs.in_spark(spark, str(tmp_path), inputs.triples_sql())
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    of_customers = got.where("p = 'P18'").select(F.spark_partition_id().alias("task")).distinct()
+    assert of_customers.count() == spark.sparkContext.defaultParallelism
