@@ -194,7 +194,8 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     pivots = distinct.agg(F.percentile_approx("drawn", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 10_000)).first()[0]
     pivots = np.array(sorted(set(pivots or [])), np.int64)
 
-    prefixes = entries(distinct.select("node", "size", "typical", "prefix"))
+    # shuffled once, for hubs and for the join with them
+    prefixes = entries(distinct.select("node", "size", "typical", "prefix")).repartition("gram")
     hubs = (prefixes.groupBy("gram").agg(F.max(F.struct("typical", "node", "size", "at")).alias("hub"), F.count("*").alias("n"))
             .where("n > 1").select("gram", "hub"))
     shared = stage(prefixes.join(hubs, "gram"), "shared")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from atlas.llm import language_model, quality, tokens, toxicity, urls
+from atlas.llm import jaccard, language_model, quality, tokens, toxicity, urls
 from atlas.llm.queries import TOKENIZER, URL_RULES
 
 STEPS = sorted({*range(1, 5), *(math.floor(4 * 1.25 ** k) for k in range(1, 160))})
@@ -212,3 +212,23 @@ def test_pipeline(spark, tmp_path):
             at += r["length"]
         assert at == len(ids)
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "toxicity" and all(r.offset + r["length"] <= 2048 for r in got)
+
+
+def test_prefixes_are_made_and_shuffled_once(spark, monkeypatch):
+    made, wanted, entries = spark.sparkContext.accumulator(0), [], jaccard.entries
+
+    def counted(distinct):
+        rows = entries(distinct)
+        wanted.append(rows.count())
+
+        def count(frames):
+            for frame in frames:
+                made.add(len(frame))
+                yield frame
+
+        return rows.mapInPandas(count, rows.schema)
+
+    monkeypatch.setattr(jaccard, "entries", counted)
+    docs = [(k, " ".join(f"w{(k // 3 * 50 + i) % 97 if i != k % 3 else k}" for i in range(40))) for k in range(30)]
+    found = jaccard.members(spark.createDataFrame(docs, "doc_id LONG, text STRING"), 3, 80)
+    assert found.count() == 30 and made.value == wanted[0] > 0
