@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from atlas.llm.common import free_name, shingles, text_bytes, word_hashes, words
 from atlas.llm.components import components
-from atlas.session import stage
+from atlas.session import arrow_bytes, stage
 
 #: Cells of one piece of the count sketch; least and most cells of all, and bytes of text for each in between.
 #: A byte for each cell is broadcast, so 32 MB at most; beyond that cells fill up, and rare n-grams are told
@@ -182,6 +182,11 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     ``least`` is the smallest document with an id that links lead to, itself included; NULL for an empty
     set, and where no document that links lead to has an id.
     """
+    with arrow_bytes(docs.sparkSession):
+        return _members(docs, n, percent)
+
+
+def _members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(sketch(docs, n, cells_for(text_bytes(docs))))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlas.llm import tokens
-from atlas.session import stage
+from atlas.session import arrow_bytes, stage
 
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
          "sequence_id long, offset long, used long, is_open boolean")
@@ -96,7 +96,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1,
             rows += [(*p, number, at, used, True) for p, at in pieces]
         yield _frame(rows)
 
-    packed = stage(docs.mapInPandas(fill, PIECE), "packed")
+    with arrow_bytes(docs.sparkSession):
+        packed = stage(docs.mapInPandas(fill, PIECE), "packed")
     left = packed.where("is_open")
     merged = _merge(left, size, open_windows)
     return (packed.where("NOT is_open").drop("is_open").unionByName(merged)

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +20,8 @@ DEFAULTS = {
 
 #: Rows with an article's text that a Python worker is handed at a time.
 ARTICLE_ROWS = 500
+#: Bytes of whole texts that a Python worker is handed at a time.
+TEXT_BYTES = 4 << 20
 
 
 @functools.cache
@@ -64,17 +66,25 @@ def stage(df: DataFrame, label: str, *by: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int = ARTICLE_ROWS) -> Iterator[None]:
-    """Steps that run inside hand ``rows`` rows at a time to Python workers; both sides hold a whole batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: int) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int = ARTICLE_ROWS) -> AbstractContextManager[None]:
+    """Steps that run inside hand ``rows`` rows at a time to Python workers; both sides hold a whole batch."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def arrow_bytes(spark: SparkSession, size: int = TEXT_BYTES) -> AbstractContextManager[None]:
+    """Steps that run inside hand about ``size`` bytes at a time to Python workers, but for a longer single row."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stage_articles(df: DataFrame, label: str, *by: str) -> DataFrame:
     """``stage`` for what is scanned from articles: few of them reach a Python worker at a time."""
     with arrow_rows(df.sparkSession):

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import uuid
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from atlas.llm import (common, components, decontaminate, jaccard, language_model, lines, neighbours, packing, quality,
                        tokens, toxicity, urls, wavelet)
 from atlas.llm.queries import URL_RULES
+from atlas.session import TEXT_BYTES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id LONG, text STRING, lang STRING, size LONG, n LONG"
@@ -49,6 +51,32 @@ def test_packing(spark, rows):
         assert end <= 64
 
 
+@pytest.mark.parametrize("step", [
+    lambda given: packing.pack(given, TOKENIZER).groupBy("doc_id").agg(F.sum("length")), lambda given: jaccard.join(given, 5, 80)])
+def test_workers_are_handed_few_bytes(spark, tmp_path, monkeypatch, step):
+    """Memory of a worker doesn't grow with the texts of a partition."""
+    frames, real = type(spark.range(0)), type(spark.range(0)).mapInPandas
+
+    def watched(self, function, *rest, **named):
+        def through(parts):
+            def noted():
+                for part in parts:
+                    held = sum(len(x) for name in part for x in part[name] if isinstance(x, (str, bytes)))
+                    (tmp_path / uuid.uuid4().hex).write_text(str(held))
+                    yield part
+            return function(noted())
+        return real(self, through, *rest, **named)
+
+    monkeypatch.setattr(frames, "mapInPandas", watched)
+    texts = F.concat(F.repeat(F.lit("word "), 100_000), F.col("id").cast("string"))
+    given = spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sorted(r.doc_id for r in step(given).collect()) == list(range(24))
+    handed = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(handed) >= 12_000_000 and max(handed) <= TEXT_BYTES + 1_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_encoder_is_exact():
     encoder = tokens.encoder(TOKENIZER)
     texts = ["Don't stop!! it's ok...", "ÉTÉ ñandú ΣΑΣ. İ| x", "<|endoftext|> a", "a1b2 　 c\x85d", "tail,### $$$"]
